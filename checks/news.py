@@ -453,6 +453,16 @@ def rss(t):
                 zip(["id", "main_image", "enclosure"], parts, strict=True)]
         item = F.concat(tags[0], F.coalesce(tags[1], F.lit("")),
                         F.coalesce(tags[2], F.lit("</item>")))
-        t.articles.where(F.col("id") % 2 == i).select(item.alias("value")).write.text(path)
+        documents = (
+            t.articles.where(F.col("id") % 2 == i)
+            .groupBy(F.floor(F.col("id") / 100).alias("document"))
+            .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        )
+        whole = F.concat(
+            F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel>'),
+            F.array_join("items", "\n"),
+            F.lit("</channel></rss>"),
+        )
+        documents.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     missing = f"{paths[0]}-none"
     return scan_rss(t.spark, [*paths, missing]).select("feed", "title", "link", "image_url")
