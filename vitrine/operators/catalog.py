@@ -32,7 +32,10 @@ def attach_cashback(catalog, stores):
         ["id"],
     ).drop("id")
     joined = spread_lookup(
-        catalog.withColumn("_program", F.lower("program_name")), rates, ["_program"]
+        catalog.withColumn("_program", F.lower("program_name")),
+        rates,
+        ["_program"],
+        spread_by=["sku", "name"],
     )
     return joined.withColumn("cashback_rate", F.coalesce("cashback_rate", F.lit(0.0))).drop(
         "_program"
@@ -113,7 +116,7 @@ def new_skus(catalog, products):
 
 def lookup_sku(products, skus):
     """Products with one of the given SKUs."""
-    return products.join(skus.select("sku").distinct(), "sku", "left_semi")
+    return spread_lookup(products, skus.select("sku").distinct(), ["sku"], how="left_semi")
 
 
 def accept_limit(accepted, n=10):

@@ -67,7 +67,7 @@ def match_post(comments, videos):
     )
     eligible = (F.lower("platform") == "instagram") & (F.col("post_id") != "")
     keyed = comments.withColumn("_post", F.when(eligible, F.col("post_id")))
-    return spread_lookup(keyed, posted, ["_post"]).drop("_post")
+    return spread_lookup(keyed, posted, ["_post"], spread_by=KEYS).drop("_post")
 
 
 def item_words(videos):
@@ -126,8 +126,9 @@ def match_keywords(comments, videos, keys=KEYS):
         )
         .select("token", F.substr("token", F.col("at"), F.col("n")).alias("word"))
     )
-    by_token = pieces.join(words, "word").groupBy("token").agg(F.max("video").alias("video"))
-    hits = spread_lookup(pairs, by_token, ["token"], how="inner")
+    found = spread_lookup(pieces, words, ["word"], how="inner")
+    by_token = found.groupBy("token").agg(F.max("video").alias("video"))
+    hits = spread_lookup(pairs, by_token, ["token"], how="inner", spread_by=keys)
     return hits.groupBy(*keys).agg(F.max("video").alias("video"))
 
 

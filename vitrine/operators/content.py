@@ -8,6 +8,7 @@ from ..dims.phrases import DEFAULT_VOICES
 from ..functions import content as C
 from ..functions.payload import parse_assets
 from ..functions.picks import draw_key
+from .grouping import spread_lookup
 
 # Fixed value: scenes used per request.
 SCENES_PER_REQUEST = 3
@@ -18,12 +19,14 @@ def select_personas(persona_table, model_id=None):
     return persona_table.where(F.col("model_id") == (model_id or DEFAULT_PERSONA))
 
 
-def scenes_for(requests, spark=None, scene_table=None):
-    """Adds ``pool``: scenes of (style, category), falling back on style, then category.
+def _fixed(dimension, given):
+    """Broadcast our own few-row tables; leave a given one to the optimizer."""
+    return F.broadcast(dimension) if given is None else dimension
 
-    Joins against the library only, which Catalyst broadcasts by its known size.
-    """
-    pools = scene_pools(spark or requests.sparkSession, scene_table)
+
+def scenes_for(requests, scene_table=None):
+    """Adds ``pool``: scenes of (style, category), falling back on style, then category."""
+    pools = scene_pools(requests.sparkSession, scene_table)
     own_styles = pools.select(F.col("style").alias("_own")).distinct()
     exact = pools.select(
         F.col("style").alias("_s1"), F.col("category").alias("_c1"), F.col("pool").alias("_p1")
@@ -33,12 +36,14 @@ def scenes_for(requests, spark=None, scene_table=None):
     )
     source = F.coalesce("_own", F.lit(texts.DEFAULT_STYLE))
     return (
-        requests.join(own_styles, F.col("style") == F.col("_own"), "left")
+        requests.join(_fixed(own_styles, scene_table), F.col("style") == F.col("_own"), "left")
         .withColumn("_source", source)
         .join(
-            exact, (F.col("_source") == F.col("_s1")) & (F.col("category") == F.col("_c1")), "left"
+            _fixed(exact, scene_table),
+            (F.col("_source") == F.col("_s1")) & (F.col("category") == F.col("_c1")),
+            "left",
         )
-        .join(default, F.col("_source") == F.col("_s2"), "left")
+        .join(_fixed(default, scene_table), F.col("_source") == F.col("_s2"), "left")
         .withColumn("pool", F.coalesce("_p1", "_p2"))
         .drop("_own", "_source", "_s1", "_c1", "_p1", "_s2", "_p2")
     )
@@ -85,7 +90,7 @@ def phrases_for(requests, phrase_table=None):
         F.struct("hooks", "problems").alias("d")
     )
     return (
-        requests.join(own, F.col("style") == F.col("_s"), "left")
+        requests.join(_fixed(own, phrase_table), F.col("style") == F.col("_s"), "left")
         .withColumn("_d", default.scalar())
         .withColumn("hooks", F.coalesce("_h", "_d.hooks"))
         .withColumn("problems", F.coalesce("_p", "_d.problems"))
@@ -100,7 +105,7 @@ def voice_for(requests, voice_table=None, name="model_name"):
     own = table.select(
         F.col("name").alias("_n"), *[F.col(v).alias(f"voice_{v}") for v in vendors]
     )
-    joined = requests.join(own, F.col(name) == F.col("_n"), "left").drop("_n")
+    joined = requests.join(_fixed(own, voice_table), F.col(name) == F.col("_n"), "left").drop("_n")
     for v in vendors:
         joined = joined.withColumn(
             f"voice_{v}", F.coalesce(f"voice_{v}", F.lit(DEFAULT_VOICES.get(v)))
@@ -160,7 +165,7 @@ def accept_until_mock(assets, run="run_id"):
     is_mock = F.lower("backend") == "mock"
     first_mock = assets.where(is_mock).groupBy(run).agg(F.min("pos").alias("_mock"))
     return (
-        assets.join(first_mock, run, "left")
+        spread_lookup(assets, first_mock, [run])
         .where(F.col("_mock").isNull() | (F.col("pos") < F.col("_mock")))
         .withColumn("created", F.col("_mock").isNull())
         .drop("_mock")

@@ -16,7 +16,7 @@ def coupons_with_store(coupons, stores):
         F.col("id").alias("store_id"),
         F.col("name").alias("store_name"),
     )
-    return spread_lookup(coupons, keyed, ["program_id"], how="inner")
+    return spread_lookup(coupons, keyed, ["program_id"], how="inner", spread_by=["id", "name"])
 
 
 def coupon_to_deal(coupons, stores):

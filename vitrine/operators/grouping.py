@@ -18,15 +18,18 @@ def top_in_group(df, keys, order, n=1):
     )
 
 
-def spread_lookup(left, right, on, how="left", salts=SALTS):
+def spread_lookup(left, right, on, how="left", spread_by=None, salts=SALTS):
     """Join many rows to a lookup table although one key may own a third of them.
 
-    The many side is spread over ``salts`` buckets by a hash of its own values and
-    the lookup side is repeated once per bucket. Rows without a key cannot match, so
-    they are spread over all partitions. When the lookup side turns out small, AQE
-    broadcasts it instead and nothing is shuffled.
+    The many side is spread over ``salts`` buckets by a hash of ``spread_by`` (all its
+    columns unless given) and the lookup side is repeated once per bucket. Rows without
+    a key cannot match, so they are spread over all partitions. Both sides are then
+    shuffled right before the join, so AQE can also split what one hash value still
+    holds, such as exact copies. When the lookup side turns out small, AQE broadcasts
+    it instead.
     """
-    spread = F.xxhash64(*[F.col(c) for c, t in left.dtypes if not t.startswith("map")])
+    by = spread_by or [c for c, t in left.dtypes if not t.startswith("map")]
+    spread = F.xxhash64(*[F.col(c) for c in by])
     keyless = F.lit(False)
     for key in on:
         keyless = keyless | F.col(key).isNull()

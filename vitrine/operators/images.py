@@ -5,6 +5,8 @@ import struct
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .grouping import spread_lookup
+
 JPEG_FRAMES = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
 
 
@@ -66,4 +68,5 @@ def image_sizes(images):
 def valid_images(catalog, images, key="image_path"):
     """Catalogue rows whose landed image has a width and a height."""
     good = image_sizes(images).where((F.col("width") > 0) & (F.col("height") > 0))
-    return catalog.join(good.select(F.col("path").alias(key)).distinct(), key, "left_semi")
+    paths = good.select(F.col("path").alias(key)).distinct()
+    return spread_lookup(catalog, paths, [key], how="left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .grouping import spread_lookup
 
 # Training parameters of the scheduled and of the streaming model.
 BATCH_PARAMS = {"maxIter": 5, "regParam": 0.1, "rank": 2}
@@ -125,9 +126,9 @@ def seeded_ratings(pairs, ratings, seeds):
     """Rating of each asked (user, product): the given ones, else the user's seed."""
     known = ratings.select("user", "product", F.col("rating").alias("_given"))
     seed = seeds.groupBy("user").agg(F.max("rating").alias("_seed"))
+    given = pairs.join(known, ["user", "product"], "left")
     return (
-        pairs.join(known, ["user", "product"], "left")
-        .join(seed, "user", "left")
+        spread_lookup(given, seed, ["user"])
         .withColumn("rating", F.coalesce("_given", "_seed"))
         .where(F.col("rating").isNotNull())
         .select("user", "product", "rating")

@@ -3,9 +3,10 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ..session import run_dir
 from .grouping import top_in_group
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def upsert(target, changes, keys):
@@ -49,7 +50,8 @@ def read_current(spark, path):
 def write_upsert(spark, path, changes, keys, buckets=BUCKETS):
     """Upsert ``changes`` (unique by key) into the table at ``path``; returns the version.
 
-    Only buckets that receive changes are rewritten, into new folders, and they count
+    The changes are computed once, into the shared folder. Only buckets that receive
+    changes are rewritten, into new folders, and they count
     once the commit rows are written. A run that dies before leaves the table as it
     was, and can be repeated. Without changes nothing happens. One writer at a time.
     """
@@ -57,7 +59,9 @@ def write_upsert(spark, path, changes, keys, buckets=BUCKETS):
     version = 1
     if newest is not None:
         version = newest.agg(F.max("version")).first()[0] + 1
-    changed = _with_bucket(changes, keys, buckets)
+    staged = run_dir(spark, "changes")
+    _with_bucket(changes, keys, buckets).write.parquet(staged)
+    changed = spark.read.parquet(staged)
     touched = changed.select("bucket").distinct()
     merged = changed
     if newest is not None:

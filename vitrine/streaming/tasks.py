@@ -4,7 +4,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-SHARDS = 16
+from ..operators.grouping import spread_lookup
+
+SHARDS = 4
 OUTPUT = (
     "product_id STRING, model_id STRING, scene STRING, task_id STRING, at BIGINT, open BOOLEAN"
 )
@@ -32,6 +34,7 @@ class TaskTracker(StatefulProcessor):
         )
 
     def _finish(self, at):
+        """Close the tasks started up to then."""
         closed = []
         for (model, scene), (task, started) in list(self.tasks.iterator()):
             if started <= at:
@@ -42,25 +45,25 @@ class TaskTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         for frame in rows:
+            last_finish, newest = -1, {}
+            columns = (frame[c] for c in ("kind", "at", "model_id", "scene", "task_id"))
+            for kind, at, model, scene, task in zip(*columns, strict=True):
+                if kind == "finished":
+                    last_finish = max(last_finish, int(at))
+                else:
+                    newest[model, scene] = max(newest.get((model, scene), (-1, "")), (int(at), task))
             out = []
-            finished = self.finished.get()[0] if self.finished.exists() else -1
-            ends = frame.loc[frame["kind"] == "finished", "at"]
-            if len(ends) and ends.max() > finished:
-                finished = int(ends.max())
+            finished = (self.finished.get() or (-1,))[0]
+            if last_finish > finished:
+                finished = last_finish
                 out += self._finish(finished)
-            starts = frame[(frame["kind"] == "started") & (frame["at"] > finished)]
-            newest = starts.sort_values(["at", "task_id"]).drop_duplicates(
-                ["model_id", "scene"], keep="last"
-            )
-            for event in newest.itertuples(index=False):
-                scene = (event.model_id, event.scene)
-                change = (event.task_id, int(event.at))
-                if self.tasks.containsKey(scene):
-                    stored = self.tasks.getValue(scene)
-                    if (stored[1], stored[0]) >= (change[1], change[0]):
-                        continue
-                self.tasks.updateValue(scene, change)
-                out.append((*scene, *change, True))
+            for scene, (at, task) in newest.items():
+                if at <= finished:
+                    continue
+                stored = self.tasks.getValue(scene)
+                if stored is None or (stored[1], stored[0]) < (at, task):
+                    self.tasks.updateValue(scene, (task, at))
+                    out.append((*scene, task, at, True))
             result = pd.DataFrame(out, columns=["model_id", "scene", "task_id", "at", "open"])
             result.insert(0, "product_id", key[0])
             yield result.astype({"at": "int64", "open": "bool"})
@@ -111,7 +114,7 @@ def open_tasks(events):
         .agg(F.max(F.struct("ts", "task_id")).alias("last"))
     )
     return (
-        started.join(finished, "product_id", "left")
+        spread_lookup(started, finished, ["product_id"])
         .where(F.col("finished_at").isNull() | (F.col("last.ts") > F.col("finished_at")))
         .select("product_id", "model_id", "scene", F.col("last.task_id").alias("task_id"))
     )
