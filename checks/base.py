@@ -13,6 +13,8 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
 CHECKS = {}
 
 INPUTS = {
@@ -209,7 +211,12 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def read(self, name):
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # A text file that cannot be split would keep one core busy and the rest idle.
+        if name in TEXT_KEYS and df.rdd.getNumPartitions() < min(cores, 64):
+            return df.repartition(min(cores, 64), TEXT_KEYS[name])
+        return df
 
     def sql(self, text):
         for name in TABLES:

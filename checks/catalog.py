@@ -357,7 +357,15 @@ DEALS = """
 
 @check("coupon_to_deal", DEALS, "coupons", "stores")
 def coupon_to_deal(t):
-    deals = deals_job(t.coupons, t.stores, run_dir(t.spark, "deals"))
+    return deal_text(D.coupon_to_deal(t.coupons, t.stores))
+
+
+@check("deals_table", DEALS, "coupons", "stores")
+def deals_table(t):
+    return deal_text(deals_job(t.coupons, t.stores, run_dir(t.spark, "deals")))
+
+
+def deal_text(deals):
     return deals.select(
         "name",
         "code",

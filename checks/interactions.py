@@ -180,8 +180,7 @@ def write_popularity(t):
 
     source, out = run_dir(t.spark, "log"), run_dir(t.spark, "popularity")
     t.interactions.select(F.to_json(F.struct("*")).alias("value")).write.text(source)
-    popularity_job(t.spark, source, out, AS_OF)
-    return t.spark.read.schema("productId BIGINT, popularity DOUBLE").json(out)
+    return popularity_job(t.spark, source, out, AS_OF)
 
 
 @check(

@@ -201,8 +201,7 @@ def recommendation_payload(t):
 @check("recommendations_table")
 def recommendations_table(t):
     out = run_dir(t.spark, "recs")
-    P.recommendations_job(t.spark, trained(t.spark, t.folder), out, n=10)
-    return t.spark.read.parquet(out)
+    return P.recommendations_job(t.spark, trained(t.spark, t.folder), out, n=10)
 
 
 @check(

@@ -62,13 +62,14 @@ def candidate_text(c):
     return F.left(strip_html(c), F.lit(CANDIDATE_CHARS))
 
 
-def words_of(c):
-    return F.filter(F.split(as_col(c), UNICODE_SPACE_RUN, -1), lambda w: w != "")
+def words_of(c, limit=-1):
+    """Words of a text; with a limit the last one holds the rest."""
+    return F.filter(F.split(as_col(c), UNICODE_SPACE_RUN, limit), lambda w: w != "")
 
 
 def slide_texts(description):
     """Words 1-20 and 21-40 of the stripped text, the second with its closing."""
-    words = words_of(strip_html(description))
+    words = words_of(strip_html(description), 2 * SLIDE_WORDS + 1)
     second = F.array_join(F.slice(words, SLIDE_WORDS + 1, SLIDE_WORDS), " ")
     closing = F.when(F.size(words) > 2 * SLIDE_WORDS, MORE_TEXT).otherwise(CLOSING_TEXT)
     return F.struct(

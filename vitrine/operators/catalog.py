@@ -116,7 +116,9 @@ def new_skus(catalog, products):
 
 def lookup_sku(products, skus):
     """Products with one of the given SKUs."""
-    return spread_lookup(products, skus.select("sku").distinct(), ["sku"], how="left_semi")
+    return spread_lookup(
+        products, skus.select("sku").distinct(), ["sku"], how="left_semi", salts=1
+    )
 
 
 def accept_limit(accepted, n=10):

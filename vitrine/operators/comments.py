@@ -7,7 +7,7 @@ from ..functions.payload import normalize_webhook
 from ..functions.social import reply_channel, reply_text
 from ..functions.text import trim_controls
 from .feed import newest_first
-from .grouping import spread_lookup, top_in_group
+from .grouping import measured_lookup, spread_lookup, top_in_group
 
 KEYS = ["comment_id", "platform"]
 # Fixed value: shorter item words never match.
@@ -91,7 +91,8 @@ def match_keywords(comments, videos, keys=KEYS):
     Item words hold no white space, so each hit lies within one token of the comment.
     Distinct tokens are cut to the lengths that item words have and joined to the
     words by equality: every joined pair is a true hit, and no pair of a comment and
-    a word that merely look alike is ever produced.
+    a word that merely look alike is ever produced. The matched tokens are computed
+    and measured first, so that the comments' tokens need no shuffle while they fit.
     """
     words = item_words(videos)
     sizes = words.select(F.length("word").alias("n")).agg(
@@ -128,7 +129,7 @@ def match_keywords(comments, videos, keys=KEYS):
     )
     found = spread_lookup(pieces, words, ["word"], how="inner")
     by_token = found.groupBy("token").agg(F.max("video").alias("video"))
-    hits = spread_lookup(pairs, by_token, ["token"], how="inner", spread_by=keys)
+    hits = measured_lookup(pairs, by_token, ["token"], how="inner", spread_by=keys)
     return hits.groupBy(*keys).agg(F.max("video").alias("video"))
 
 

@@ -54,15 +54,16 @@ def sample_scenes(requests, k=SCENES_PER_REQUEST, seed=0, key="product_id"):
 
     The draw orders each request's own array, so no row moves.
     """
-    keyed = F.transform(
+    draws = F.transform(
         "pool",
-        lambda s: F.struct(
+        lambda s, i: F.struct(
             draw_key(F.concat_ws("|", F.col(key).cast("string"), s["pos"].cast("string")), seed)
             .alias("draw"),
-            s.alias("scene"),
+            i.alias("at"),
         ),
     )
-    drawn = F.slice(F.transform(F.array_sort(keyed), lambda e: e["scene"]), 1, k)
+    first = F.slice(F.array_sort(draws), 1, k)
+    drawn = F.transform(first, lambda d: F.get(F.col("pool"), d["at"]))
     return requests.withColumn(
         "scenes", F.when(F.size("pool") > k, drawn).otherwise(F.col("pool"))
     )
@@ -165,7 +166,7 @@ def accept_until_mock(assets, run="run_id"):
     is_mock = F.lower("backend") == "mock"
     first_mock = assets.where(is_mock).groupBy(run).agg(F.min("pos").alias("_mock"))
     return (
-        spread_lookup(assets, first_mock, [run])
+        spread_lookup(assets, first_mock, [run], salts=1)
         .where(F.col("_mock").isNull() | (F.col("pos") < F.col("_mock")))
         .withColumn("created", F.col("_mock").isNull())
         .drop("_mock")

@@ -3,7 +3,10 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+from ..session import cut_lineage
+
+SALTS = 8
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def top_in_group(df, keys, order, n=1):
@@ -27,6 +30,10 @@ def spread_lookup(left, right, on, how="left", spread_by=None, salts=SALTS):
     shuffled right before the join, so AQE can also split what one hash value still
     holds, such as exact copies. When the lookup side turns out small, AQE broadcasts
     it instead.
+
+    A lookup side that may rival the many side in size takes ``salts=1``: nothing is
+    repeated, and splitting is left to AQE, which could not split a side that comes
+    straight from an aggregation by the same key.
     """
     by = spread_by or [c for c, t in left.dtypes if not t.startswith("map")]
     spread = F.xxhash64(*[F.col(c) for c in by])
@@ -40,3 +47,17 @@ def spread_lookup(left, right, on, how="left", spread_by=None, salts=SALTS):
         .join(right.withColumn("_salt", every_bucket), [*on, "_salt"], how)
         .drop("_salt")
     )
+
+
+def measured_lookup(left, right, on, how="left", spread_by=None, limit=BROADCAST_BYTES):
+    """Like ``spread_lookup``, but the lookup side is computed first and measured.
+
+    Up to ``limit`` bytes it is broadcast, and the many side is not shuffled at all.
+    Worth the extra job where the many side is far larger than the lookup side.
+    """
+    fixed = cut_lineage(right)
+    width = F.octet_length(F.to_json(F.struct("*")))
+    size = fixed.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+    if size <= limit:
+        return left.join(F.broadcast(fixed), on, how)
+    return spread_lookup(left, fixed, on, how, spread_by)

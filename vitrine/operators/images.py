@@ -69,4 +69,4 @@ def valid_images(catalog, images, key="image_path"):
     """Catalogue rows whose landed image has a width and a height."""
     good = image_sizes(images).where((F.col("width") > 0) & (F.col("height") > 0))
     paths = good.select(F.col("path").alias(key)).distinct()
-    return spread_lookup(catalog, paths, [key], how="left_semi")
+    return spread_lookup(catalog, paths, [key], how="left_semi", salts=1)

@@ -32,6 +32,6 @@ def fetch_new_products(catalog, products, loaded_at, n=10):
 
 
 def deals_job(coupons, stores, out):
-    deals = coupon_to_deal(coupons, stores)
-    deals.write.mode("overwrite").parquet(out)
-    return deals
+    """Write the deals of all stores' coupons; returns the written table."""
+    coupon_to_deal(coupons, stores).write.mode("overwrite").parquet(out)
+    return coupons.sparkSession.read.parquet(out)

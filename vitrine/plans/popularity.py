@@ -8,6 +8,5 @@ from ..sources.sinks import write_popularity
 def popularity_job(spark, path_or_topic, out, as_of, servers=None):
     """Read the whole log, score it and write one JSON line per product."""
     log = fill_interaction_nulls(scan_interactions(spark, path_or_topic, servers=servers))
-    scores = popularity_scores(log, as_of)
-    write_popularity(scores, out)
-    return scores
+    write_popularity(popularity_scores(log, as_of), out)
+    return spark.read.schema("productId BIGINT, popularity DOUBLE").json(out)

@@ -50,6 +50,5 @@ def recommendations_job(spark, path, out, n=20):
     model = load_model(spark, path)
     if model is None:
         return None
-    flat = flatten_recs(recommend_all(model, n))
-    flat.write.mode("overwrite").parquet(out)
-    return flat
+    flatten_recs(recommend_all(model, n)).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)

@@ -114,7 +114,7 @@ def open_tasks(events):
         .agg(F.max(F.struct("ts", "task_id")).alias("last"))
     )
     return (
-        spread_lookup(started, finished, ["product_id"])
+        spread_lookup(started, finished, ["product_id"], salts=1)
         .where(F.col("finished_at").isNull() | (F.col("last.ts") > F.col("finished_at")))
         .select("product_id", "model_id", "scene", F.col("last.task_id").alias("task_id"))
     )
