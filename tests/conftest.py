@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import __spark_entry__  # noqa: E402, F401 - ships the packages to Python workers
 from vitrine.session import build_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"

@@ -50,7 +50,9 @@ def tag_products(products, client_factory, image_base):
                     ids.append(row_id)
                 except Exception:  # noqa: BLE001 - one failed call must not end the job
                     continue
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "tags": tags})
+            yield pd.DataFrame(
+                {"id": pd.Series(ids, dtype="int64"), "tags": pd.Series(tags, dtype="object")}
+            )
 
     sent = products.where(
         F.col("thumbnail").isNotNull() & F.col("product_details").isNotNull()
