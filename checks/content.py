@@ -142,9 +142,6 @@ def planned_scenes(t):
     )
 
 
-PHRASES = {s: s for s in texts.HOOKS}
-
-
 def sql_by_style(lists):
     cases = " ".join(f"WHEN '{s}' THEN {sql_list(v)}" for s, v in lists.items())
     return f"CASE style {cases} ELSE {sql_list(lists['casual'])} END"

@@ -436,7 +436,7 @@ def extract_marked_json(t):
 @check(
     "scan_rss",
     """
-    SELECT id % 2 AS feed, concat('T', id) AS title, link,
+    SELECT CAST(id % 2 AS INTEGER) AS feed, concat('T', id) AS title, link,
       CASE WHEN id % 3 <> 0 THEN main_image WHEN id % 6 = 0 THEN enclosure END AS image_url
     FROM articles""",
     "articles",

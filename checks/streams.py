@@ -9,7 +9,7 @@ from vitrine.session import ROCKSDB, run_dir
 from vitrine.sources.files import scan_interactions, stream_ratings
 from vitrine.streaming import comments, enrichment, ratings, signups, tasks
 
-from .base import check, sql_stamp, stamp
+from .base import check, stamp
 from .catalog import TAGGED
 from .comments import ANSWERS, BASE, HANDLE, N
 from .interactions import DECODED, log_text, shown

@@ -23,7 +23,7 @@ def has_required_urls(catalog):
 def attach_cashback(catalog, stores):
     """Store rate by programme name, any case; 0.0 when there is none.
 
-    The reference key is the name UUID of the lower-case name. Equal names and
+    The lookup key is the name UUID of the lower-case name. Equal names and
     equal UUIDs are the same test, so the names are joined and no hash is computed.
     """
     rates = top_in_group(

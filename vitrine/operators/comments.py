@@ -6,6 +6,7 @@ from ..functions import non_empty
 from ..functions.payload import normalize_webhook
 from ..functions.social import reply_channel, reply_text
 from ..functions.text import trim_controls
+from ..session import materialize
 from .feed import newest_first
 from .grouping import measured_lookup, spread_lookup, top_in_group
 
@@ -94,12 +95,10 @@ def match_keywords(comments, videos, keys=KEYS):
     a word that merely look alike is ever produced. The matched tokens are computed
     and measured first, so that the comments' tokens need no shuffle while they fit.
     """
-    words = item_words(videos)
-    sizes = words.select(F.length("word").alias("n")).agg(
-        F.array_sort(F.collect_set("n")).alias("lengths"), F.max("n").alias("longest")
-    )
-    shape = sizes.select(F.struct("lengths", "longest").alias("s")).scalar()
-    window = F.col("_s.longest") + F.lit(WINDOW_STEP - 1)
+    words = materialize(item_words(videos), "words")
+    size = F.length("word")
+    lengths, longest = words.agg(F.array_sort(F.collect_set(size)), F.max(size)).first()
+    window = F.lit((longest or 0) + WINDOW_STEP - 1)
     token = F.col("token")
 
     tokens = F.array_distinct(F.split(F.lower("comment_text"), r"\s+"))
@@ -111,15 +110,14 @@ def match_keywords(comments, videos, keys=KEYS):
     )
     pairs = (
         comments.select(*keys, F.explode(tokens).alias("token"))
-        .withColumn("_s", shape)
-        .where(F.length(token) >= F.get(F.col("_s.lengths"), F.lit(0)))
+        .where(F.length(token) >= min(lengths, default=0))
         .select(*keys, F.explode(windows).alias("token"))
     )
+    every_length = F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))
     pieces = (
         pairs.select("token")
         .distinct()
-        .withColumn("_s", shape)
-        .select("token", F.explode("_s.lengths").alias("n"))
+        .select("token", every_length.alias("n"))
         .where(F.col("n") <= F.length("token"))
         .select(
             "token", "n", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1))
@@ -157,9 +155,10 @@ def choose_links(comments, videos, base_url, keys=KEYS):
     """Adds ``product_link``: by post, else by keyword, else the newest video's.
 
     A keyword match ends the search even if its video has no link; a post match
-    without a link does not. Comments must be unique by ``keys``.
+    without a link does not. Comments must be unique by ``keys``. They are written
+    out once, because the search reads them three times.
     """
-    posted = match_post(comments, videos)
+    posted = materialize(match_post(comments, videos), "comments")
     searched = posted.where(F.col("post_link").isNull())
     found = match_keywords(searched, videos, keys).select(
         *[F.col(k).alias(f"_{k}") for k in keys], "video"

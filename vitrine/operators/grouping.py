@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialize
 
 SALTS = 8
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -55,7 +55,7 @@ def measured_lookup(left, right, on, how="left", spread_by=None, limit=BROADCAST
     Up to ``limit`` bytes it is broadcast, and the many side is not shuffled at all.
     Worth the extra job where the many side is far larger than the lookup side.
     """
-    fixed = cut_lineage(right)
+    fixed = materialize(right, "lookup")
     width = F.octet_length(F.to_json(F.struct("*")))
     size = fixed.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     if size <= limit:

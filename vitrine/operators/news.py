@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import as_col, non_empty
 from ..functions import news as N
 from ..functions.payload import parse_news_result
-from ..functions.urls import join_urls, monetized_url
+from ..functions.urls import join_urls
 from .grouping import top_in_group
 
 # Candidates shown for choice, and images that make a gallery full.
@@ -180,7 +180,3 @@ def news_post(logs, created_at, passthrough=()):
             F.lit(False).alias("published"),
         )
     )
-
-
-def with_monetized_url(stories, site_id, link="original_link"):
-    return stories.withColumn("monetized_url", monetized_url(site_id, link))

@@ -5,7 +5,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialize
 from .grouping import spread_lookup
 
 # Training parameters of the scheduled and of the streaming model.
@@ -32,7 +32,7 @@ def dense_ids(df, column, name):
     in one place.
     """
     keys = df.select(column).distinct().repartitionByRange(column)
-    keys = cut_lineage(keys.withColumn("_part", F.spark_partition_id()))
+    keys = materialize(keys.withColumn("_part", F.spark_partition_id()), "keys")
     counts = keys.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -3,7 +3,7 @@
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..session import run_dir
+from ..session import materialize
 from .grouping import top_in_group
 
 BUCKETS = 32
@@ -59,9 +59,7 @@ def write_upsert(spark, path, changes, keys, buckets=BUCKETS):
     version = 1
     if newest is not None:
         version = newest.agg(F.max("version")).first()[0] + 1
-    staged = run_dir(spark, "changes")
-    _with_bucket(changes, keys, buckets).write.parquet(staged)
-    changed = spark.read.parquet(staged)
+    changed = materialize(_with_bucket(changes, keys, buckets), "changes")
     touched = changed.select("bucket").distinct()
     merged = changed
     if newest is not None:

@@ -1,7 +1,5 @@
 """Session building and the shared scratch folder."""
 
-from __future__ import annotations
-
 import tempfile
 import uuid
 
@@ -56,9 +54,12 @@ def run_dir(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def materialize(df, name):
+    """Write a frame to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, and later reads take only the columns
+    they need.
+    """
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
