@@ -106,5 +106,5 @@ def scene_pools(spark, scene_table=None):
         )
     scene = F.struct("pos", "name", "duration", "motion_prompt")
     return scene_table.groupBy("style", "category").agg(
-        F.array_sort(F.collect_list(scene)).alias("pool")
+        F.sort_array(F.collect_list(scene)).alias("pool")
     )

@@ -130,7 +130,7 @@ def ingest_summary(accepted, n=10):
     """Number and names of the products a fetch added, at most ``n`` by its limit."""
     added = accept_limit(accepted, n).agg(
         F.count(F.lit(1)).alias("products_added"),
-        F.array_sort(F.collect_list(F.struct("pos", "product_name"))).alias("_rows"),
+        F.sort_array(F.collect_list(F.struct("pos", "product_name"))).alias("_rows"),
     )
     return added.select(
         "products_added", F.transform("_rows", lambda r: r["product_name"]).alias("products")

@@ -77,7 +77,7 @@ def item_words(videos):
     Length counts UTF-16 units, so that two emoji make a usable word.
     """
     words = videos.where(F.col("item_name").isNotNull()).select(
-        F.explode(F.array_distinct(F.split(F.lower("item_name"), r"\s+"))).alias("word"),
+        F.explode_outer(F.array_distinct(F.split(F.lower("item_name"), r"\s+"))).alias("word"),
         "created_at",
         "id",
         "affiliate_link",
@@ -97,7 +97,7 @@ def match_keywords(comments, videos, keys=KEYS):
     """
     words = materialize(item_words(videos), "words")
     size = F.length("word")
-    lengths, longest = words.agg(F.array_sort(F.collect_set(size)), F.max(size)).first()
+    lengths, longest = words.agg(F.sort_array(F.collect_set(size)), F.max(size)).first()
     window = F.lit((longest or 0) + WINDOW_STEP - 1)
     token = F.col("token")
 
@@ -108,10 +108,12 @@ def match_keywords(comments, videos, keys=KEYS):
             lambda i: F.substr(token, i, window),
         )
     )
+    # Inner explodes make Spark test the array's size first, computing it once more;
+    # outer ones do not, and the null rows they add have no length.
     pairs = (
-        comments.select(*keys, F.explode(tokens).alias("token"))
+        comments.select(*keys, F.explode_outer(tokens).alias("token"))
         .where(F.length(token) >= min(lengths, default=0))
-        .select(*keys, F.explode(windows).alias("token"))
+        .select(*keys, F.explode_outer(windows).alias("token"))
     )
     every_length = F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))
     pieces = (
@@ -120,8 +122,9 @@ def match_keywords(comments, videos, keys=KEYS):
         .select("token", every_length.alias("n"))
         .where(F.col("n") <= F.length("token"))
         .select(
-            "token", "n", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1))
-            .alias("at")
+            "token",
+            "n",
+            F.explode_outer(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1)).alias("at"),
         )
         .select("token", F.substr("token", F.col("at"), F.col("n")).alias("word"))
     )

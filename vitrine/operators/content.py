@@ -62,7 +62,7 @@ def sample_scenes(requests, k=SCENES_PER_REQUEST, seed=0, key="product_id"):
             i.alias("at"),
         ),
     )
-    first = F.slice(F.array_sort(draws), 1, k)
+    first = F.slice(F.sort_array(draws), 1, k)
     drawn = F.transform(first, lambda d: F.get(F.col("pool"), d["at"]))
     return requests.withColumn(
         "scenes", F.when(F.size("pool") > k, drawn).otherwise(F.col("pool"))
@@ -70,9 +70,14 @@ def sample_scenes(requests, k=SCENES_PER_REQUEST, seed=0, key="product_id"):
 
 
 def scene_index(requests):
-    """One row per planned scene, numbered from 1."""
+    """One row per planned scene, numbered from 1.
+
+    The outer form keeps Spark from testing the array's size first, which would draw
+    the scenes twice more.
+    """
     rest = [c for c in requests.columns if c not in ("pool", "scenes")]
-    return requests.select(*rest, F.posexplode("scenes").alias("at", "s")).select(
+    exploded = requests.select(*rest, F.posexplode_outer("scenes").alias("at", "s"))
+    return exploded.where(F.col("at").isNotNull()).select(
         *rest,
         (F.col("at") + 1).alias("scene_no"),
         F.col("s.name").alias("scene_name"),
@@ -178,7 +183,8 @@ def logged_assets(logs, run="run_id"):
     rest = [c for c in logs.columns if c not in ("log", "exit_code")]
     return (
         logs.where(F.col("exit_code") == 0)
-        .select(*rest, F.posexplode(parse_assets("log")).alias("pos", "a"))
+        .select(*rest, F.posexplode_outer(parse_assets("log")).alias("pos", "a"))
+        .where(F.col("pos").isNotNull())
         .select(*rest, "pos", "a.*")
     )
 

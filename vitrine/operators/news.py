@@ -32,7 +32,7 @@ def first_stories(stories, n=CANDIDATES, order=("pos",)):
 def candidate_block(stories, n=CANDIDATES):
     """Text listing the first ``n`` stories for an editor to choose from."""
     first = first_stories(stories, n).agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("pos", "title", "link", "description", "image_url"))
         ).alias("rows")
     )

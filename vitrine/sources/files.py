@@ -135,7 +135,10 @@ def scan_asset_cache(spark, path):
     files = spark.read.option("wholetext", "true").text(path)
     product = F.regexp_extract(F.input_file_name(), r"cache_([^/]*)\.json$", 1)
     entries = F.from_json("value", schemas.CACHE_ENTRY)
-    return files.select(product.alias("product_id"), F.explode(entries).alias("model_id", "e")).select(
+    rows = files.select(
+        product.alias("product_id"), F.explode_outer(entries).alias("model_id", "e")
+    )
+    return rows.where(F.col("model_id").isNotNull()).select(
         "product_id", "model_id", "e.vton_image", "e.storyboard_images"
     )
 
