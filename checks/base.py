@@ -40,7 +40,8 @@ INPUTS = {
           concat('https://buy.example.com/', p_partkey) AS buy_url,
           CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '4.95' END AS price_shipping,
           p_type AS description_long
-        FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)""",
+        FROM (SELECT *, p_partkey % (SELECT count(*) FROM supplier) AS seller FROM part)
+        JOIN supplier ON s_suppkey = seller""",
     # catalogue pages that repeat SKUs: four rows per SKU on average
     "repeats": """
         SELECT l_orderkey * 10 + l_linenumber AS pos,
@@ -85,7 +86,8 @@ INPUTS = {
           CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false ELSE NULL END AS published,
           CASE WHEN o_orderkey % 4 = 0 THEN concat('ig-', o_orderkey) END AS instagram_post_id,
           p_partkey AS product_id, o_orderdate AS created_at
-        FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""",
+        FROM (SELECT *, o_orderkey % (SELECT count(*) FROM part) AS shown FROM orders)
+        JOIN part ON p_partkey = shown""",
     # five platforms, own-handle rows, some post ids of videos, some texts naming items
     "comments": """
         SELECT concat(conv_id, '-', turn) AS comment_id,
