@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import mixing, shards, warc
+from . import decontam, mixing, rules, shards, warc
 
 SHARDS = 24
 
@@ -11,6 +11,23 @@ def read(spark, folder, table):
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op2_prefix_decontamination(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontam.decontaminate(docs, read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op4_quality_rules(spark, folder):
+    judged = rules.quality_rules(read(spark, folder, "documents"), carry=["doc_id"])
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op5_rendezvous_sharding(spark, folder):
     docs = read(spark, folder, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -42,9 +59,44 @@ def op10_source_mix(spark, folder):
 
 
 QUERIES = {
+    "op2_prefix_decontamination": op2_prefix_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op2_prefix_decontamination": r"""
+        WITH w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+          FROM documents),
+        b AS (
+          SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+          FROM benchmark),
+        iw AS (
+          SELECT DISTINCT item_id, least(len(ws), 13) AS k,
+            array_to_string(ws[i:i + 12], ' ') AS win
+          FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i
+                FROM b WHERE len(ws) > 0)),
+        sizes AS (SELECT DISTINCT k FROM iw),
+        dw AS (
+          SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win
+          FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i
+                FROM w, sizes WHERE len(ws) >= k)),
+        hits AS (SELECT doc_id, dw.k, i, item_id FROM dw JOIN iw USING (win) WHERE dw.k = iw.k),
+        n AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(*) AS n_items,
+                 string_agg(item, ',' ORDER BY item) AS items
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits)
+               GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit,
+          coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+          coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}
