@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, rules, shards, warc
+from . import decontam, forest, mixing, rules, shards, warc
 
 SHARDS = 24
 
@@ -11,6 +11,11 @@ def read(spark, folder, table):
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_ngram_jaccard_join(spark, folder):
+    classes = forest.ngram_classes(read(spark, folder, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op2_prefix_decontamination(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     found = decontam.decontaminate(docs, read(spark, folder, "benchmark"))
@@ -59,6 +64,7 @@ def op10_source_mix(spark, folder):
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_prefix_decontamination": op2_prefix_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
