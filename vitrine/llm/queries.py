@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontam, forest, mixing, rules, shards, warc
+from . import classifier, decontam, forest, mixing, rules, shards, warc
 
 SHARDS = 24
 
@@ -25,6 +25,16 @@ def op2_prefix_decontamination(spark, folder):
     )
 
 
+def op3_byte_network(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    network = classifier.fit_quality(docs, read(spark, folder, "labels"))
+    scored = classifier.score_quality(docs, network)
+    return scored.select(
+        "doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op4_quality_rules(spark, folder):
     judged = rules.quality_rules(read(spark, folder, "documents"), carry=["doc_id"])
     return judged.select(
@@ -66,6 +76,7 @@ def op10_source_mix(spark, folder):
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_prefix_decontamination": op2_prefix_decontamination,
+    "op3_byte_network": op3_byte_network,
     "op4_quality_rules": op4_quality_rules,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
     "op8_warc_round_trip": op8_warc_round_trip,
