@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, forest, mixing, rules, shards, warc
+from . import classifier, decontam, forest, mixing, rules, shards, substrings, warc
 
 SHARDS = 24
 
@@ -58,6 +58,11 @@ def op5_rendezvous_sharding(spark, folder):
     )
 
 
+def op7_super_kmer_dedup(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(docs, with_text=False, carry=["doc_id"])
+
+
 def op8_warc_round_trip(spark, folder):
     records = warc.round_trip(read(spark, folder, "pages"))
     number = lambda c: F.expr(f"try_cast({c} AS BIGINT)")
@@ -79,11 +84,31 @@ QUERIES = {
     "op3_byte_network": op3_byte_network,
     "op4_quality_rules": op4_quality_rules,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
+    "op7_super_kmer_dedup": op7_super_kmer_dedup,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op10_source_mix": op10_source_mix,
 }
 
 ORACLES = {
+    "op7_super_kmer_dedup": r"""
+        WITH w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+          FROM documents),
+        win AS (
+          SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win
+          FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i
+                FROM w WHERE len(ws) >= 13)),
+        firsts AS (SELECT win, min(doc_id) AS first FROM win GROUP BY win),
+        gone AS (
+          SELECT doc_id, list_distinct(list(p)) AS ps
+          FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p
+                FROM win JOIN firsts USING (win) WHERE first < doc_id)
+          GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+          sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE
+            list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN gone USING (doc_id)""",
     "op2_prefix_decontamination": r"""
         WITH w AS (
           SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
