@@ -1,5 +1,7 @@
 """Words, row keys and written intermediates shared by the operators of this package."""
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from ..session import run_dir
@@ -12,6 +14,13 @@ def words(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
 
 
+def lower_ascii(text):
+    """The text, "" for null, with A-Z and no other letter lower-cased."""
+    value = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(value) == F.char_length(value)
+    return F.when(plain, F.lower(value)).otherwise(F.translate(value, ascii_uppercase, ascii_lowercase))
+
+
 def text_key(text):
     """64-bit hash that, next to the id, tells rows with the same id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

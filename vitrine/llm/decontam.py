@@ -8,25 +8,19 @@ gives the place of the window, which must lie within the text, and there the wor
 compared one by one.
 """
 
-import string
-
 from pyspark.sql import functions as F
 
-from .common import same, stage, text_key
+from .common import lower_ascii, same, stage, text_key
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 SHINGLE = 3
-UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def plain_words(text):
     """Runs of ASCII letters and digits and of all code points above 127; only A-Z are
     lower-cased. A null text has none."""
-    value = F.coalesce(text, F.lit(""))
-    ascii_only = F.octet_length(value) == F.char_length(value)
-    lowered = F.when(ascii_only, F.lower(value)).otherwise(F.translate(value, UPPER, LOWER))
-    return F.array_remove(F.split(lowered, SEPARATORS, -1), "")
+    return F.array_remove(F.split(lower_ascii(text), SEPARATORS, -1), "")
 
 
 def _shingles(array, size):

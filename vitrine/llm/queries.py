@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, forest, mixing, rules, shards, substrings, warc
+from . import classifier, decontam, forest, lattice, mixing, rules, shards, substrings, warc
 
 SHARDS = 24
 
@@ -58,6 +58,11 @@ def op5_rendezvous_sharding(spark, folder):
     )
 
 
+def op6_subword_lattice(spark, folder):
+    scored = lattice.score_documents(read(spark, folder, "documents").select("doc_id", "text"))
+    return scored.drop("text_key")
+
+
 def op7_super_kmer_dedup(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text")
     return substrings.remove_repeats(docs, with_text=False, carry=["doc_id"])
@@ -84,6 +89,7 @@ QUERIES = {
     "op3_byte_network": op3_byte_network,
     "op4_quality_rules": op4_quality_rules,
     "op5_rendezvous_sharding": op5_rendezvous_sharding,
+    "op6_subword_lattice": op6_subword_lattice,
     "op7_super_kmer_dedup": op7_super_kmer_dedup,
     "op8_warc_round_trip": op8_warc_round_trip,
     "op10_source_mix": op10_source_mix,
