@@ -3,7 +3,7 @@
 A token is a path through the lattice of vocabulary pieces that spell it; its probability is
 the sum over all paths, by a forward recursion in log space. Piece weights start from the
 scores that the vocabulary file has and take up the counts of the pieces' best paths over
-the training documents. A token of the training documents has one more path, the arc of the
+the distinct words of the training documents. A token of the training documents has one more path, the arc of the
 whole token, weighed by its count; all such arcs together weigh as much as tokens that
 occurred more than once do (Good and Turing's estimate).
 """
@@ -125,7 +125,10 @@ def token_counts(docs, text="text", trained="trained"):
 
 def learned_pieces(counts, prior):
     """Piece -> log probability: the prior's pieces after one pass over the training words.
-    A row per piece is collected, so the vocabulary bounds it."""
+
+    Each distinct word counts once, since the pieces have to spell the words that have no
+    or hardly any count of their own. A row per piece is collected: the vocabulary bounds it.
+    """
     lattice = Lattice(prior)
 
     def count(batches):
@@ -133,15 +136,15 @@ def learned_pieces(counts, prior):
 
         sums = {}
         for batch in batches:
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("count").to_pylist()):
+            for word in batch.column("word").to_pylist():
                 for piece in lattice.best(word):
-                    sums[piece] = sums.get(piece, 0) + n
+                    sums[piece] = sums.get(piece, 0) + 1
         if sums:
             yield pa.RecordBatch.from_pydict(
                 {"piece": pa.array(list(sums), pa.string()), "n": pa.array(list(sums.values()), pa.int64())}
             )
 
-    trained = counts.where("count > 0").select("word", "count")
+    trained = counts.where("count > 0").select("word")
     parts = trained.mapInArrow(count, "piece STRING, n BIGINT")
     sums = {r["piece"]: r["n"] for r in parts.groupBy("piece").agg(F.sum("n").alias("n")).collect()}
     total = sum(sums.get(p, 0) for p in prior) + PRIOR_COUNT
