@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, forest, lattice, mixing, rules, shards, substrings, warc
+from . import classifier, decontam, forest, lattice, lines, mixing, rules, shards, substrings, warc
 
 SHARDS = 24
 
@@ -77,6 +77,11 @@ def op8_warc_round_trip(spark, folder):
     )
 
 
+def op9_fuzzy_line_dedup(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, carry=["doc_id"]).drop("kept_text")
+
+
 def op10_source_mix(spark, folder):
     docs = read(spark, folder, "documents").select("doc_id", "text", "source")
     taken = mixing.words_taken(*mixing.mix_sources(docs))
@@ -92,6 +97,7 @@ QUERIES = {
     "op6_subword_lattice": op6_subword_lattice,
     "op7_super_kmer_dedup": op7_super_kmer_dedup,
     "op8_warc_round_trip": op8_warc_round_trip,
+    "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_source_mix": op10_source_mix,
 }
 
