@@ -36,6 +36,11 @@ def stage(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs, names):
+    """The named columns as one struct ``_row``, so that none can clash on the way."""
+    return F.struct(*[docs[c] for c in names]).alias("_row")
+
+
 def same(left, right, names):
     """Null-safe equality of two frames in the named columns."""
     condition = F.lit(True)

@@ -10,7 +10,7 @@ compared one by one.
 
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, same, stage, text_key
+from .common import lower_ascii, packed, same, stage, text_key
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -99,7 +99,7 @@ def contaminated_windows(docs, windows, doc="doc_id", text="text", shingle=SHING
 
 
 def decontaminate(docs, benchmark, doc="doc_id", text="text", item="item_id",
-                  item_text="text", window=WINDOW, shingle=SHINGLE):
+                  item_text="text", window=WINDOW, shingle=SHINGLE, carry=None):
     """Every document with the words and items by which it overlaps the benchmark.
 
     Adds to the documents' columns: ``n_words``; ``n_hit``, words inside any occurrence of
@@ -109,10 +109,11 @@ def decontaminate(docs, benchmark, doc="doc_id", text="text", item="item_id",
 
     A null text has no words and is clean; null ids are kept and matched null-safely; rows
     alike in id and text get equal results; items without words match nothing; with an
-    empty benchmark nothing is hit. Columns of those names in the input are replaced.
+    empty benchmark nothing is hit. Columns of those names in the input are replaced; ``carry``
+    names the input columns to keep (all).
     """
     added = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in carry or docs.columns if c not in added]
     parts = stage(item_windows(benchmark, item, item_text, window), "item-windows")
     name = F.sha2(F.concat_ws(" ", "words"), 256)
     parts = parts.select("item_id", "words", name.alias("window_id"))
@@ -135,9 +136,9 @@ def decontaminate(docs, benchmark, doc="doc_id", text="text", item="item_id",
     hit = spans.alias("s").join(items.alias("i"), same(spans, items, ["key", "text_key"])).select(
         "s.*", "i.items"
     )
-    base = docs.select(*kept).withColumns(
-        {"_key": F.col(doc), "_text_key": text_key(F.col(text)),
-         "n_words": F.size(plain_words(F.col(text))).cast("bigint")}
+    base = docs.select(
+        packed(docs, kept), F.col(doc).alias("_key"), text_key(F.col(text)).alias("_text_key"),
+        F.size(plain_words(F.col(text))).cast("bigint").alias("n_words"),
     )
     matches = base["_key"].eqNullSafe(hit["key"]) & (base["_text_key"] == hit["text_key"])
     rows = base.join(hit, matches, "left")
@@ -150,4 +151,4 @@ def decontaminate(docs, benchmark, doc="doc_id", text="text", item="item_id",
     )
     rows = rows.withColumn("n_items", F.size("items").cast("bigint"))
     rows = rows.withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
-    return rows.select(*kept, *added)
+    return rows.select("_row.*", *added)

@@ -11,7 +11,7 @@ groups of like texts, in which every pair is verified on the shingles themselves
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import same, stage, text_key
+from .common import packed, same, stage, text_key
 from .components import connected_components
 from .hashing import grouped, mix, shingle_sets
 
@@ -310,7 +310,9 @@ def keep_one(docs, key="doc_id", text="text", **options):
     classes = ngram_classes(docs, key, text, **options)
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
     keep = classes.where(first).select("doc_id", "text_key").distinct()
-    tagged = docs.withColumn("_text_key", text_key(F.col(text)))
-    matches = tagged[key].eqNullSafe(keep["doc_id"]) & (tagged["_text_key"] == keep["text_key"])
+    tagged = docs.select(
+        packed(docs, docs.columns), F.col(key).alias("_key"), text_key(F.col(text)).alias("_text_key")
+    )
+    matches = tagged["_key"].eqNullSafe(keep["doc_id"]) & (tagged["_text_key"] == keep["text_key"])
     kept = tagged.join(keep, matches, "left_semi")
-    return kept.dropDuplicates([key, "_text_key"]).drop("_text_key")
+    return kept.dropDuplicates(["_key", "_text_key"]).select("_row.*")

@@ -12,7 +12,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from .common import same, stage, text_key
+from .common import packed, stage, text_key
 from .components import connected_components
 
 SHINGLE = 10
@@ -183,13 +183,13 @@ def dedup_lines(docs, key="doc_id", text="text", carry=None, **options):
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     some = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("bigint")
     base = docs.select(
-        *kept, F.col(key).alias("_key"), text_key(F.col(text)).alias("_text_key"),
+        packed(docs, kept), F.col(key).alias("_key"), text_key(F.col(text)).alias("_text_key"),
         F.col(text).alias("_text"), some.alias("n_lines"),
     )
     found = base["_key"].eqNullSafe(gone["doc_id"]) & (base["_text_key"] == gone["text_key"])
     none = F.expr("cast(array() as array<int>)")
     rows = base.join(gone, found, "left").select(
-        *[base[c] for c in kept], "_text", "n_lines", F.coalesce("removed", none).alias("removed")
+        "_row", "_text", "n_lines", F.coalesce("removed", none).alias("removed")
     )
     left = F.expr("filter(split(_text, '\\n', -1), (x, i) -> NOT array_contains(removed, i))")
     return rows.withColumns(
@@ -197,4 +197,4 @@ def dedup_lines(docs, key="doc_id", text="text", carry=None, **options):
             "n_removed": F.size("removed").cast("bigint"),
             "kept_text": F.when(F.size("removed") == 0, F.col("_text")).otherwise(F.array_join(left, "\n")),
         }
-    ).select(*kept, *added)
+    ).select("_row.*", *added)

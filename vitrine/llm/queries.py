@@ -17,8 +17,8 @@ def op1_ngram_jaccard_join(spark, folder):
 
 
 def op2_prefix_decontamination(spark, folder):
-    docs = read(spark, folder, "documents").select("doc_id", "text")
-    found = decontam.decontaminate(docs, read(spark, folder, "benchmark"))
+    docs, benchmark = read(spark, folder, "documents"), read(spark, folder, "benchmark")
+    found = decontam.decontaminate(docs, benchmark, carry=["doc_id"])
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",

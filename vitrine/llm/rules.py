@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import stage, words
+from .common import packed, stage, words
 
 SYMBOLS = "#*$%&|<>"
 STOPS = r"[.,;:!?'\"()\-]+"
@@ -174,14 +174,16 @@ def quality_rules(docs, text="text", lang="lang", most_char=MOST_CHAR_DISTANCE,
              "char_distance", "word_distance", "base_failed", "kept"]
     kept = [c for c in carry or docs.columns if c not in added]
     of_words = stage(word_references(docs, text, lang, common).coalesce(1), "word-references")
-    rows = docs.select(*kept, F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    rows = docs.select(
+        packed(docs, kept), F.col(lang).alias("_lang"), F.col(text).alias("_text")
+    )
     measured = measures(rows, "_text")
     measured = measured.alias("m").join(
         of_words.alias("w"), F.col("m._lang").eqNullSafe(F.col("w._lang")), "left"
     )
     measured = measured.select("m.*", *[f"w.{c}" for c in of_words.columns[1:]])
     measured = word_distance(measured).select(
-        *kept, "_lang", "_classes", "ref_words", *[c for c in added[:5]], "word_distance"
+        "_row", "_lang", "_classes", "ref_words", *added[:5], "word_distance"
     )
     measured = stage(measured, "measures")
     of_classes = class_references(measured)
@@ -196,4 +198,4 @@ def quality_rules(docs, text="text", lang="lang", most_char=MOST_CHAR_DISTANCE,
         | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_word))
     )
     rows = rows.withColumn("base_failed", base).withColumn("kept", ~base & ~unlike)
-    return rows.select(*kept, *added)
+    return rows.select("_row.*", *added)

@@ -12,7 +12,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import functions as F
 
-from .common import stage, text_key
+from .common import packed, stage, text_key
 from .hashing import grouped, mix, word_hashes
 
 WINDOW = 13
@@ -279,9 +279,10 @@ def remove_repeats(docs, key="doc_id", text="text", window=WINDOW, buckets=None,
     hits = stage(_hits(blobs, window), "repeats")
     hits = hits.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("_starts"))
     base = docs.select(
-        *kept, F.coalesce(F.col(key).cast("bigint"), F.lit(int(ID_MAX))).alias("_key"),
+        packed(docs, kept), F.coalesce(F.col(key).cast("bigint"), F.lit(int(ID_MAX))).alias("_key"),
         text_key(F.col(text)).alias("_text_key"), F.col(text).alias("_text"),
     )
     found = (base["_key"] == hits["doc_id"]) & (base["_text_key"] == hits["text_key"])
-    joined = base.join(hits, found, "left").select(*[base[c] for c in kept], "_text", "_starts")
-    return _kept(joined, window, with_text)
+    joined = base.join(hits, found, "left").select("_row", "_text", "_starts")
+    cut = _kept(joined, window, with_text)
+    return cut.select("_row.*", *cut.columns[1:])

@@ -178,33 +178,33 @@ def parse(data):
     )
 
 
-def with_revisits(pages, key="page_id", payload="html", least_bytes=0):
-    """Pages with ``digest`` (hex), ``first_id`` (whose response holds the payload) and ``revisit``.
+def with_revisits(pages, least_bytes=0):
+    """Rows (id, url, payload) with ``digest`` (hex), ``first_id`` (whose response holds the payload) and ``revisit``.
 
     Of equal payloads of at least ``least_bytes`` that with the largest id is stored. A null
     id counts as the smallest; pages that tie on the largest id are all stored. Digests are
     counted before the join, and only repeated ones are joined, so a hot payload is one row.
     """
-    data = F.coalesce(F.col(payload), F.lit(""))
-    tagged = pages.withColumns({"digest": F.sha1(data.cast("binary")), "_bytes": F.octet_length(data)})
-    stored = tagged.where(F.col("_bytes") >= least_bytes).groupBy("digest").agg(
-        F.max(key).alias("first_id"), F.count("*").alias("_count")
+    tagged = pages.withColumn("digest", F.sha1("payload"))
+    large = F.octet_length("payload") >= least_bytes
+    stored = tagged.where(large).groupBy("digest").agg(
+        F.max("id").alias("first_id"), F.count("*").alias("count")
     )
-    stored = stored.where("_count > 1").select("digest", "first_id")
+    stored = stored.where("count > 1").select("digest", "first_id")
     joined = tagged.join(stored, "digest", "left")
-    other = F.col("first_id").isNotNull() & ~F.col(key).eqNullSafe(F.col("first_id"))
-    return joined.withColumn("revisit", other & (F.col("_bytes") >= least_bytes)).drop("_bytes")
+    other = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
+    return joined.withColumn("revisit", other)
 
 
 def write_archives(pages, key="page_id", url="url", payload="html", least_bytes=0,
                    archive_bytes=ARCHIVE_BYTES):
     """The pages as rows (archive, content), each a WARC of about ``archive_bytes`` before
     compression. A null payload is an empty one, a null url an empty one."""
-    rows = with_revisits(pages, key, payload, least_bytes).select(
+    plain = pages.select(
         F.col(key).alias("id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"),
-        F.col("first_id"), F.col("revisit"),
     )
+    rows = with_revisits(plain, least_bytes)
     longest = archive_bytes
 
     def write(batches):
