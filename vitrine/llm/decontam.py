@@ -95,7 +95,8 @@ def contaminated_windows(docs, windows, doc="doc_id", text="text", shingle=SHING
         f"transform(filter(places, p -> {fits}), "
         "p -> named_struct('start', p.start, 'window_id', p.window_id, 'size', size(p.wanted)))"
     )
-    return joined.select("key", "text_key", found.alias("found")).where(F.size("found") > 0)
+    joined = joined.select("key", "text_key", found.alias("found")).where(F.size("found") > 0)
+    return joined.dropDuplicates(["key", "text_key"])
 
 
 def decontaminate(docs, benchmark, doc="doc_id", text="text", item="item_id",
