@@ -33,7 +33,12 @@ def test_scene_library_shape():
     for style, category, *_ in rows:
         sizes[style, category] = sizes.get((style, category), 0) + 1
     assert {c for _, c in sizes} == {"dress", "outerwear", "pants", "tops"}
-    assert all(n == (20 if s == "authentic_ugc" else 3) for (s, _), n in sizes.items())
+    assert all(n == (9 if s == "authentic_ugc" else 4) for (s, _), n in sizes.items())
+    names = {}
+    for style, category, _, name, *_ in rows:
+        names.setdefault((style, category), []).append(name)
+    own = [frozenset(names["authentic_ugc", c]) for c in ("dress", "outerwear", "pants", "tops")]
+    assert len(set(own)) == 4 and all(len(set(n)) == len(n) for n in names.values())
 
 
 def requests(spark, *rows):
@@ -55,7 +60,7 @@ def test_scenes_and_fallbacks(spark):
     pools = {(r.style, r.category): r.pool for r in scene_pools(spark).collect()}
     assert rows[3].pool == pools["casual", "dress"]
     assert rows[4].pool == pools["casual", "tops"]
-    assert len(rows[5].pool) == 20 and len(rows[5].scenes) == 3
+    assert len(rows[5].pool) == 9 and len(rows[5].scenes) == 3
     assert len({s.name for s in rows[5].scenes}) == 3
 
 

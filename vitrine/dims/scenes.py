@@ -1,7 +1,7 @@
-"""Scene library, built from a rule: one look per style, one move per shot.
+"""Scene library of our own: what the camera does, times what the garment does.
 
-Shot names and durations of the planned styles are fixed values; the motion
-texts are our own wording. Shoes and accessories have no scenes in any style.
+A style orders the shots, a category says how its garments move. Shoes and accessories
+have no scenes in any style. Tables of another library can be passed in.
 """
 
 from pyspark.sql import functions as F
@@ -10,81 +10,74 @@ SCENE_SCHEMA = (
     "style STRING, category STRING, pos INT, name STRING, duration INT, motion_prompt STRING"
 )
 
-# Shot names by style and category ("*" stands for every other category).
-SHOTS = {
-    "streetwear": {
-        "dress": ["Detail", "Walk", "Turn"],
-        "outerwear": ["Detail", "Walk", "Outro"],
-        "pants": ["Walk", "Turn", "Pose"],
-        "tops": ["Detail", "Walk", "Outro"],
-    },
-    "editorial": {
-        "dress": ["Intro", "Walk", "Reveal"],
-        "*": ["Intro", "Walk", "Pose"],
-    },
-    "casual": {
-        "pants": ["Intro", "Walk", "Pose"],
-        "*": ["Intro", "Walk", "Outro"],
-    },
-    "curvy-chic": {"*": ["Intro", "Walk", "Outro"]},
-}
-
-# Seconds per shot; opening and turning shots are short.
-SHORT_SHOTS = {"Detail": 2, "Intro": 2}
-SHORT_TURN = ("streetwear", "pants", "Turn")
-
-# Twenty phone-camera shots for the vlog style, used for every category.
-VLOG_STYLE = "authentic_ugc"
-VLOG_SHOTS = [
-    ("Mirror Hello", 2), ("Bed Haul", 3), ("Full Fit", 3), ("Close Look", 2), ("Unboxing", 3),
-    ("Dance", 3), ("Seated Chat", 3), ("Walk In", 2), ("Pocket Test", 2), ("Coffee Break", 3),
-    ("Back View", 3), ("Fabric Pull", 2), ("Hanger View", 2), ("Jump Cut", 2), ("Adjusting", 3),
-    ("Pairing Ideas", 3), ("Laughing", 2), ("Window Light", 3), ("Fast Zoom", 2), ("Wave Out", 3),
-]
+# Fixed value: the street style opens tops with this shot.
+OPENING = "Detail"
 
-LOOKS = {
-    "streetwear": "city street film, handheld camera, concrete and neon",
-    "editorial": "studio fashion film, slow camera, one key light",
-    "casual": "sunny home vlog, soft light, friendly pace",
-    "curvy-chic": "warm studio film, confident pace, soft shadows",
-    VLOG_STYLE: "upright phone video in a lived-in bedroom, clean frame",
-}
-
-GARMENTS = {
-    "streetwear": {"dress": "dress", "outerwear": "jacket", "pants": "pants", "tops": "graphic tee"},
-    "editorial": {"dress": "gown", "outerwear": "coat", "pants": "trousers", "tops": "silk blouse"},
-    "casual": {"dress": "dress", "outerwear": "cardigan", "pants": "jeans", "tops": "casual tee"},
-    "curvy-chic": {"dress": "dress", "outerwear": "blazer", "pants": "jeans", "tops": "silk shirt"},
-    VLOG_STYLE: {"dress": "dress", "outerwear": "jacket", "pants": "pants", "tops": "top"},
+# Shot -> (seconds, what is seen). {garment} and {motion} come from the category.
+SHOTS = {
+    OPENING: (2, "the weave and seams of the {garment} fill the frame"),
+    "Arrival": (3, "the model steps into the picture, the {garment} seen whole"),
+    "Motion": (4, "{motion}"),
+    "Stillness": (3, "the model waits, light moving slowly over the {garment}"),
+    "Departure": (2, "the model leaves, the back of the {garment} last"),
+    "Layering": (4, "a second piece goes on over the {garment} and off again"),
+    "Daylight": (3, "the {garment} held up to a window, then worn"),
+    "Question": (3, "the model talks to the viewer and points at the {garment}"),
 }
 
-MOVES = {
-    "Detail": "close view of the {garment}, hands smoothing the cloth",
-    "Intro": "model presents the {garment} to the camera",
-    "Walk": "model walks toward the camera, {garment} flowing in wind",
-    "Turn": "model turns once, {garment} swaying naturally",
-    "Reveal": "model turns to show the back of the {garment}",
-    "Pose": "model holds a pose in the {garment}",
-    "Outro": "model smiles over the shoulder in the {garment}",
+# Style -> (garment words by category, surroundings, shots in order)
+STYLES = {
+    "streetwear": (
+        {"tops": "graphic tee"},
+        "outdoors after rain",
+        [OPENING, "Motion", "Arrival", "Departure"],
+    ),
+    "editorial": (
+        {"tops": "silk blouse"},
+        "on a plain coloured ground",
+        ["Stillness", "Motion", OPENING, "Departure"],
+    ),
+    "casual": (
+        {"tops": "casual tee"},
+        "in a garden",
+        ["Arrival", "Daylight", "Motion", "Stillness"],
+    ),
+    "curvy-chic": (
+        {"tops": "silk shirt"},
+        "in a hotel hall",
+        ["Arrival", "Motion", "Layering", OPENING],
+    ),
+    "authentic_ugc": (
+        {"tops": "casual tee"},
+        "filmed by the model",
+        ["Question", "Daylight", "Arrival", "Motion", OPENING, "Layering", "Departure"],
+    ),
 }
 
-
-def _shots(style, category):
-    if style == VLOG_STYLE:
-        return VLOG_SHOTS
-    names = SHOTS[style].get(category) or SHOTS[style]["*"]
-    return [
-        (n, 2 if (style, category, n) == SHORT_TURN else SHORT_SHOTS.get(n, 3)) for n in names
-    ]
+# Category -> (garment word unless the style has its own, how such garments move, own shots
+# of the self-filmed style)
+CATEGORIES = {
+    "dress": ("dress", "one slow turn, the hem flowing in wind", [("Stairs", 4), ("Pockets", 2)]),
+    "outerwear": ("coat", "collar up, hands into the pockets", [("Buttons", 2), ("Lining", 3)]),
+    "pants": ("trousers", "three steps past a low camera, the legs swaying naturally",
+              [("Kneeling", 3), ("Waistband", 2)]),
+    "tops": ("top", "arms up and down again, the cloth swaying naturally",
+             [("Tucked", 3), ("Sleeves", 2)]),
+}
+SELF_FILMED = "authentic_ugc"
 
 
 def scene_rows():
     rows = []
-    for style, garments in GARMENTS.items():
-        for category, garment in garments.items():
-            for pos, (name, seconds) in enumerate(_shots(style, category)):
-                move = MOVES.get(name, name.lower() + " with the {garment}").format(garment=garment)
-                rows.append((style, category, pos, name, seconds, f"{LOOKS[style]}: {move}"))
+    for style, (words, place, order) in STYLES.items():
+        for category, (word, motion, own) in CATEGORIES.items():
+            garment = words.get(category, word)
+            shots = [(n, *SHOTS[n]) for n in order]
+            if style == SELF_FILMED:
+                shots += [(n, s, n.lower() + " of the {garment}, close by") for n, s in own]
+            for pos, (name, seconds, seen) in enumerate(shots):
+                text = seen.format(garment=garment, motion=motion)
+                rows.append((style, category, pos, name, seconds, f"{text}, {place}"))
     return rows
 
 
