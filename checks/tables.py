@@ -6,6 +6,7 @@ from vitrine.operators import images as G
 from vitrine.operators import upsert as K
 from vitrine.session import run_dir
 from vitrine.sources.files import scan_table
+from vitrine.sources.sinks import batched_upsert
 
 from .base import check
 
@@ -48,6 +49,52 @@ def write_upsert(t):
     return K.read_current(t.spark, path)
 
 
+@check(
+    "write_upsert_rebucketed",
+    """
+    SELECT l_orderkey AS id, CASE WHEN l_orderkey % 2 = 0 THEN max(l_linenumber) ELSE 0 END AS n
+    FROM lineitem GROUP BY l_orderkey""",
+)
+def write_upsert_rebucketed(t):
+    """Repeated keys, then a change of the bucket count."""
+    path = run_dir(t.spark, "lines")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"))
+    K.write_upsert(t.spark, path, rows.withColumn("n", F.lit(0)), ["id"], 8, order=["n"])
+    K.write_upsert(t.spark, path, rows.where("id % 2 = 0"), ["id"], 32, order=["n"])
+    K.remove_superseded(t.spark, path)
+    return K.read_current(t.spark, path)
+
+
+@check(
+    "write_upsert_null_keys",
+    """
+    SELECT CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS id,
+      max(o_orderkey) AS last
+    FROM orders GROUP BY 1""",
+)
+def write_upsert_null_keys(t):
+    path = run_dir(t.spark, "customers")
+    key = F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey"))
+    rows = t.orders.select(key.alias("id"), F.col("o_orderkey").alias("last"))
+    for part in (rows.where("last % 2 = 0"), rows):
+        K.write_upsert(t.spark, path, part, ["id"], order=["last"])
+    return K.read_current(t.spark, path)
+
+
+@check(
+    "batched_upsert_repeats",
+    """
+    SELECT CAST(l_partkey AS VARCHAR(20)) AS sku, max(l_orderkey * 10 + l_linenumber) AS pos
+    FROM lineitem GROUP BY 1""",
+)
+def batched_upsert_repeats(t):
+    """Several rows of a SKU in one load: the last place counts."""
+    path = run_dir(t.spark, "repeats")
+    rows = t.repeats.select("sku", "pos", F.lit("2024-01-31").alias("update_at"))
+    batched_upsert(t.spark, rows, path)
+    return K.read_current(t.spark, path).select("sku", "pos")
+
+
 @check(
     "latest_changes",
     """

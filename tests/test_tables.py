@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import ratings as R
 from vitrine.operators import upsert as K
 from vitrine.plans import recommendations as P
-from vitrine.session import run_dir, shared_dir
+from vitrine.session import delete_folder, list_folders, run_dir, shared_dir
 from vitrine.sources import files, jdbc, sinks
 from vitrine.sources.models import latest_model, load_model
 
@@ -38,6 +38,62 @@ def test_half_written_version_does_not_count(spark):
     assert {(r.id, r.value) for r in K.read_current(spark, path).collect()} == {(1, "b"), (2, "a")}
 
 
+def test_bucket_count_is_kept_and_can_change(spark):
+    path = run_dir(spark, "t")
+    K.write_upsert(spark, path, table(spark, [(i, "a") for i in range(20)]), ["id"], buckets=8)
+    K.write_upsert(spark, path, table(spark, [(i, "b") for i in range(0, 20, 2)]), ["id"])
+    assert K.read_current(spark, path).count() == 20
+    K.write_upsert(spark, path, table(spark, [(i, "c") for i in range(0, 20, 5)]), ["id"], buckets=32)
+    got = {r.id: r.value for r in K.read_current(spark, path).collect()}
+    want = {i: "c" if i % 5 == 0 else "b" if i % 2 == 0 else "a" for i in range(20)}
+    assert got == want and K.read_current(spark, path).count() == 20
+    assert K.remove_superseded(spark, path) > 0
+    assert {r.id: r.value for r in K.read_current(spark, path).collect()} == want
+    assert list_folders(spark, f"{path}/rows") == ["version=3"]
+    assert K.remove_superseded(spark, path) == 0
+
+
+def test_null_keys_replace_each_other(spark):
+    path = run_dir(spark, "t")
+    K.write_upsert(spark, path, table(spark, [(None, "a"), (1, "a")]), ["id"])
+    K.write_upsert(spark, path, table(spark, [(None, "b")]), ["id"])
+    assert {(r.id, r.value) for r in K.read_current(spark, path).collect()} == {(None, "b"), (1, "a")}
+
+
+def test_missing_log_never_leads_to_an_overwrite(spark):
+    path = run_dir(spark, "t")
+    K.write_upsert(spark, path, table(spark, [(i, "a") for i in range(20)]), ["id"])
+    delete_folder(spark, f"{path}/commits")
+    with pytest.raises(RuntimeError):
+        K.write_upsert(spark, path, table(spark, [(1, "b")]), ["id"])
+    with pytest.raises(RuntimeError):
+        K.read_current(spark, path)
+    assert spark.read.parquet(f"{path}/rows").count() == 20
+
+
+def test_dead_first_write_can_be_repeated(spark):
+    path = run_dir(spark, "t")
+    spark.createDataFrame([], K.COMMIT).write.parquet(f"{path}/commits")
+    table(spark, [(1, "lost")]).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(
+        f"{path}/rows/version=1"
+    )
+    assert K.read_current(spark, path) is None
+    assert K.write_upsert(spark, path, table(spark, [(1, "a")]), ["id"]) == 1
+    assert [r.value for r in K.read_current(spark, path).collect()] == ["a"]
+
+
+def test_repeated_keys_need_an_order(spark):
+    path = run_dir(spark, "t")
+    rows = [(1, "b"), (1, "c"), (1, "a"), (2, "z")]
+    with pytest.raises(ValueError):
+        K.write_upsert(spark, path, table(spark, rows), ["id"])
+    for parts in (1, 2, 4):
+        K.write_upsert(spark, path, table(spark, rows).repartition(parts), ["id"], order=["value"])
+        assert {(r.id, r.value) for r in K.read_current(spark, path).collect()} == {(1, "c"), (2, "z")}
+    left = [f for f in list_folders(spark, shared_dir(spark)) if f.startswith("changes-")]
+    assert left == []
+
+
 def test_untouched_buckets_are_not_rewritten(spark):
     path = run_dir(spark, "t")
     rows = table(spark, [(i, "a") for i in range(100)])

@@ -1,23 +1,30 @@
 """Insert-or-replace by key, as a join and as a versioned table of Parquet folders."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import delete_folder, list_folders, materialize, read_if_present
 from .grouping import top_in_group
 
 BUCKETS = 32
+#: Rows that one bucket should hold when the table's first load decides on the count.
+ROWS_PER_BUCKET = 2_000_000
+COMMIT = "bucket INT, version INT, buckets INT, base INT"
 
 
 def upsert(target, changes, keys):
-    """Target rows without a change, and the changes."""
-    kept = target.join(changes.select(*keys), keys, "left_anti")
+    """Target rows without a change, and the changes; null keys match each other."""
+    renamed = changes.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for key in keys:
+        same = same & target[key].eqNullSafe(renamed[f"_{key}"])
+    kept = target.join(renamed, same, "left_anti")
     return kept.unionByName(changes.select(*target.columns))
 
 
 def latest_changes(changes, keys, order):
-    """One row per key: the last in the given order."""
-    return top_in_group(changes, keys, [F.desc(c) for c in order])
+    """One row per key: the last in the given order, ties going to the largest row as text."""
+    text = F.to_json(F.struct(*[F.col(c) for c in changes.columns]))
+    return top_in_group(changes, keys, [*[F.desc(c) for c in order], F.desc(text)])
 
 
 def _with_bucket(df, keys, buckets):
@@ -27,12 +34,23 @@ def _with_bucket(df, keys, buckets):
 
 
 def _commits(spark, path):
-    """(bucket, version) of the newest committed folder of each bucket, or None."""
-    try:
-        log = spark.read.schema("bucket INT, version INT").parquet(f"{path}/commits")
-    except AnalysisException:
-        return None
-    return log.groupBy("bucket").agg(F.max("version").alias("version"))
+    """(commit log, its last row), both None before the first write began.
+
+    The log is there, if empty, before any rows are. Rows without a log mean that it was
+    lost: starting anew would overwrite them.
+    """
+    log = read_if_present(spark, f"{path}/commits", COMMIT)
+    if log is None:
+        if list_folders(spark, f"{path}/rows"):
+            raise RuntimeError(f"{path} has rows but no commit log")
+        return None, None
+    return log, log.orderBy(F.desc("version")).first()
+
+
+def _newest(log, last):
+    """(bucket, version) of the newest folder of each bucket since the last full rewrite."""
+    rows = log.where(F.col("base") == last["base"])
+    return rows.groupBy("bucket").agg(F.max("version").alias("version"))
 
 
 def _rows(spark, path, newest):
@@ -43,36 +61,84 @@ def _rows(spark, path, newest):
 
 def read_current(spark, path):
     """The table as last committed, or None before the first write."""
-    newest = _commits(spark, path)
-    return None if newest is None else _rows(spark, path, newest).drop("bucket")
+    log, last = _commits(spark, path)
+    return None if last is None else _rows(spark, path, _newest(log, last)).drop("bucket")
 
 
-def write_upsert(spark, path, changes, keys, buckets=BUCKETS):
-    """Upsert ``changes`` (unique by key) into the table at ``path``; returns the version.
+def write_upsert(spark, path, changes, keys, buckets=None, order=None):
+    """Upsert ``changes`` into the table at ``path``; returns the version.
 
-    The changes are computed once, into the shared folder. Only buckets that receive
-    changes are rewritten, into new folders, and they count
-    once the commit rows are written. A run that dies before leaves the table as it
-    was, and can be repeated. Without changes nothing happens. One writer at a time.
+    Of changes with equal keys the last by ``order`` counts; without an order they must be
+    unique. The changes are computed once, into the shared folder, and removed at the end.
+    Only buckets that receive changes are rewritten, into new folders, and they count once
+    the commit rows are written. A run that dies before leaves the table as it was, and
+    can be repeated. Without changes nothing happens. One writer at a time.
+
+    The bucket count is kept in the log. The first load sets it by its size unless
+    ``buckets`` is given; a later call with another count rewrites the whole table by it.
     """
-    newest = _commits(spark, path)
-    version = 1
-    if newest is not None:
-        version = newest.agg(F.max("version")).first()[0] + 1
-    changed = materialize(_with_bucket(changes, keys, buckets), "changes")
-    touched = changed.select("bucket").distinct()
-    merged = changed
-    if newest is not None:
-        current = _rows(spark, path, newest.join(touched, "bucket", "left_semi"))
-        merged = upsert(current, changed, keys)
+    if order is not None:
+        changes = latest_changes(changes, keys, order)
+    changed = materialize(changes, "changes")
+    scratch = changed.inputFiles()[0].rsplit("/", 1)[0] if changed.inputFiles() else None
+    try:
+        if order is None:
+            twice = changed.groupBy(*keys).count().where("count > 1").limit(1).collect()
+            if twice:
+                raise ValueError(f"changes repeat a key, and no order is given: {twice[0]}")
+        return _commit(spark, path, changed, keys, buckets)
+    finally:
+        if scratch:
+            delete_folder(spark, scratch)
+
+
+def _commit(spark, path, changed, keys, buckets):
+    log, last = _commits(spark, path)
+    count = changed.count()
+    if not count:
+        return 0 if last is None else last["version"]
+    if last is None:
+        if log is None:
+            spark.createDataFrame([], COMMIT).write.parquet(f"{path}/commits")
+        buckets = buckets or max(BUCKETS, -(-count // ROWS_PER_BUCKET))
+        version = base = 1
+        merged = _with_bucket(changed, keys, buckets)
+    else:
+        version = last["version"] + 1
+        if buckets in (None, last["buckets"]):
+            buckets, base = last["buckets"], last["base"]
+            changed = _with_bucket(changed, keys, buckets)
+            touched = _newest(log, last).join(changed.select("bucket").distinct(), "bucket", "left_semi")
+            merged = upsert(_rows(spark, path, touched), changed, keys)
+        else:
+            base = version
+            whole = upsert(_rows(spark, path, _newest(log, last)).drop("bucket"), changed, keys)
+            merged = _with_bucket(whole, keys, buckets)
     folder = f"{path}/rows/version={version}"
     # AQE merges small buckets into one task and splits large ones.
     balanced = merged.hint("rebalance", F.col("bucket"))
     balanced.write.mode("overwrite").partitionBy("bucket").parquet(folder)
     written = spark.read.schema(merged.schema).parquet(folder).select("bucket").distinct()
-    if written.isEmpty():
-        return version - 1
-    written.coalesce(1).withColumn("version", F.lit(version)).write.mode("append").parquet(
-        f"{path}/commits"
-    )
+    row = written.select(
+        "bucket", F.lit(version).alias("version"), F.lit(buckets).alias("buckets"),
+        F.lit(base).alias("base"),
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return version
+
+
+def remove_superseded(spark, path):
+    """Delete the folders that no longer count; returns how many. Not while others read them."""
+    log, last = _commits(spark, path)
+    if last is None:
+        return 0
+    kept = {f"version={r.version}/bucket={r.bucket}" for r in _newest(log, last).collect()}
+    gone = 0
+    for version in list_folders(spark, f"{path}/rows"):
+        own = [f"{version}/{b}" for b in list_folders(spark, f"{path}/rows/{version}")]
+        old = [b for b in own if b not in kept]
+        targets = [version] if len(old) == len(own) else old
+        for target in targets:
+            delete_folder(spark, f"{path}/rows/{target}")
+        gone += len(old)
+    return gone

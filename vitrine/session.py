@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,3 +64,32 @@ def materialize(df, name):
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_if_present(spark, path, schema):
+    """The Parquet table at the path, or None if there is no such path; other faults raise."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _path(spark, path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_folders(spark, path):
+    """Names of the folders below a path, sorted; none if there is no such path."""
+    where, files = _path(spark, path)
+    if not files.exists(where):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(where) if f.isDirectory())
+
+
+def delete_folder(spark, path):
+    """Remove a folder in whatever store it lies."""
+    where, files = _path(spark, path)
+    files.delete(where, True)

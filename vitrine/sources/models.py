@@ -1,17 +1,18 @@
 """Versioned model folders with a commit log."""
 
-from pyspark.errors import AnalysisException
 from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import functions as F
 
+from ..session import list_folders, read_if_present
+
 COMMIT = "version INT, folder STRING, rmse DOUBLE"
 
 
 def _commits(spark, path):
-    try:
-        return spark.read.schema(COMMIT).parquet(f"{path}/commits")
-    except AnalysisException:
-        return None
+    log = read_if_present(spark, f"{path}/commits", COMMIT)
+    if log is None and list_folders(spark, f"{path}/versions"):
+        raise RuntimeError(f"{path} has models but no commit log")
+    return log
 
 
 def latest_model(spark, path):

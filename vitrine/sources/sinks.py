@@ -3,7 +3,7 @@
 from ..operators.content import REQUEST, cache_rows
 from ..operators.interactions import popularity_payload
 from ..operators.ratings import to_json_rows
-from ..operators.upsert import latest_changes, write_upsert
+from ..operators.upsert import write_upsert
 
 
 def write_popularity(scores, path):
@@ -42,16 +42,20 @@ def send_in_batches(df, sender_factory, batch_size=10):
     df.foreachPartition(run)
 
 
-def batched_upsert(spark, products, path, keys=("sku",), order=("update_at",)):
-    """Store mapped catalogue rows by SKU."""
-    return write_upsert(spark, path, latest_changes(products, list(keys), order), list(keys))
+def batched_upsert(spark, products, path, keys=("sku",), order=("update_at", "pos")):
+    """Store mapped catalogue rows by SKU; of a repeated SKU the last load and place count.
+
+    Columns of ``order`` that the rows don't have are left out.
+    """
+    order = [c for c in order if c in products.columns]
+    return write_upsert(spark, path, products, list(keys), order=order)
 
 
-def write_tags(spark, tags, path):
-    """Store tags by product id."""
-    return write_upsert(spark, path, tags.dropDuplicates(["id"]), ["id"])
+def write_tags(spark, tags, path, order=()):
+    """Store tags by product id; of a repeated id the last by ``order`` counts."""
+    return write_upsert(spark, path, tags, ["id"], order=list(order))
 
 
-def write_asset_cache(spark, outputs, path):
+def write_asset_cache(spark, outputs, path, order=()):
     """Store images of outputs that are at least partly done, by product and persona."""
-    return write_upsert(spark, path, cache_rows(outputs).dropDuplicates(REQUEST), REQUEST)
+    return write_upsert(spark, path, cache_rows(outputs), REQUEST, order=list(order))

@@ -1,19 +1,19 @@
 """Webhook stream to stored replies."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.comments import normalize_webhooks
 from ..plans.replies import answer_comments
+from ..session import read_if_present
 
 
 def stored_comments(spark, store, before=None):
     """Comments stored so far, optionally only those of earlier batches."""
-    try:
-        rows = spark.read.schema(schemas.COMMENT + ", batch_id BIGINT").parquet(store)
-    except AnalysisException:
-        rows = spark.createDataFrame([], schemas.COMMENT + ", batch_id BIGINT")
+    schema = schemas.COMMENT + ", batch_id BIGINT"
+    rows = read_if_present(spark, store, schema)
+    if rows is None:
+        rows = spark.createDataFrame([], schema)
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)
     return rows.drop("batch_id")
