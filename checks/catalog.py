@@ -157,6 +157,34 @@ def scan_catalog_pages(t):
     )
 
 
+@check(
+    "first_accepted_of_pages",
+    """
+    SELECT sku, name FROM (
+      SELECT *, row_number() OVER (PARTITION BY sku ORDER BY pos) AS rn FROM repeats)
+    WHERE rn = 1 ORDER BY pos LIMIT 10""",
+    "repeats",
+)
+def first_accepted_of_pages(t):
+    """Landed pages in any file order: rows count by the page's number and their place on it."""
+    path = run_dir(t.spark, "pages")
+    number = F.floor(F.col("pos") / 400).cast("int") + 1
+    pages = t.repeats.groupBy(number.alias("page")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "sku", "name"))),
+            lambda x: F.struct(x["sku"].alias("sku"), x["name"].alias("name")),
+        ).alias("data")
+    )
+    last = pages.agg(F.max("page").alias("n")).scalar()
+    href = F.concat(F.lit("https://api.example.com/items?limit=400&page="), F.col("page") + 1)
+    following = F.when(F.col("page") < last, F.struct(href.alias("href")))
+    paging = F.struct(last.alias("totalPages"), following.alias("next"))
+    landed = pages.select(F.struct(paging.alias("pagination")).alias("meta"), "data")
+    landed.repartition(5, F.xxhash64("meta")).write.json(path)
+    rows = files.scan_catalog_pages(t.spark, path)
+    return C.accept_limit(C.first_per_sku(rows), 10).select("sku", "name")
+
+
 @check(
     "scan_coupon_pages",
     "SELECT id, program_id, code, start_date, end_date FROM coupons",

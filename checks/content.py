@@ -598,8 +598,6 @@ def store_cache(t):
       2 AS images FROM nation WHERE n_nationkey % 5 <> 0""",
 )
 def read_cache(t):
-    from pathlib import PurePosixPath
-
     path = run_dir(t.spark, "cache")
     entry = F.struct(
         F.col("n_name").alias("vton_image"), F.array("n_name", "n_name").alias("storyboard_images")
@@ -608,19 +606,9 @@ def read_cache(t):
         F.to_json(F.create_map(F.lit("model_1"), entry))
     )
     rows = t.nation.select(F.concat(F.lit("p"), "n_nationkey").alias("name"), text.alias("text"))
-    folder = str(PurePosixPath(path.removeprefix("file:")))
-
-    def put(batches):
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for batch in batches:
-            for name, body in zip(batch["name"], batch["text"], strict=True):
-                with open(f"{folder}/cache_{name}.json", "w") as out:
-                    out.write(body)
-            yield batch[["name"]]
-
-    rows.mapInPandas(put, "name STRING").count()
+    # a folder per product, named like the file
+    named = rows.withColumn("entry", F.concat(F.lit("cache_"), "name", F.lit(".json")))
+    named.select("entry", "text").write.partitionBy("entry").text(path)
     return scan_asset_cache(t.spark, path).select(
         "product_id", "model_id", "vton_image", F.size("storyboard_images").alias("images")
     )

@@ -274,12 +274,7 @@ def image_id(t):
     "images",
 )
 def first_image(t):
-    from vitrine.operators.grouping import top_in_group
-
-    rows = top_in_group(t.images, ["article", "pos", "url"], ["pos"])
-    return W.first_image(rows.withColumn("pos", F.struct("pos", "url"))).select(
-        "article", "image_id", "pos.pos", "url"
-    )
+    return W.first_image(t.images).select("article", "image_id", "pos", "url")
 
 
 IDS = f"regexp_extract_all(html, {quoted(N.PHOTO_ID)}, 1)"
@@ -406,11 +401,12 @@ def news_logs(t):
     SELECT id, CASE WHEN id % 3 <> 0 THEN concat('/a.jpg,/', id) ELSE '' END AS image_urls, title,
       social_caption AS summary_text, source_url, monetized_url, '{CREATED}' AS created_at,
       false AS published
-    FROM posts WHERE id % 7 <> 0 AND id % 5 <> 0""",
+    FROM posts WHERE id % 7 <> 0 AND id % 5 <> 0 AND id % 11 <> 0""",
     "posts",
 )
 def news_post(t):
-    rows = W.news_post(news_logs(t), CREATED, passthrough=("id",)).drop("social_caption")
+    logs = news_logs(t).withColumn("exit_code", F.when(F.col("id") % 11 == 0, 1).otherwise(0))
+    rows = W.news_post(logs, CREATED, passthrough=("id",)).drop("social_caption")
     return rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 

@@ -30,13 +30,25 @@ def split_ratings(t):
     return training.unionByName(test)
 
 
-@check("split_share")
+@check(
+    "split_share",
+    f"""
+    WITH r AS ({RATED})
+    SELECT side, true AS in_bounds, count(*) AS all_rows
+    FROM r CROSS JOIN (VALUES ('test'), ('training')) s(side) GROUP BY side""",
+    "interactions",
+)
 def split_share(t):
+    """A fifth of the rows, give or take, is the test side."""
     training, test = R.split_ratings(rated(t))
     sides = training.withColumn("side", F.lit("training")).unionByName(
         test.withColumn("side", F.lit("test"))
     )
-    return sides.groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+    counts = sides.groupBy("side").agg(F.count(F.lit(1)).alias("rows"))
+    every = rated(t).agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = F.col("rows") / every
+    wanted = F.when(F.col("side") == "test", 0.2).otherwise(0.8)
+    return counts.select("side", (F.abs(share - wanted) < 0.1).alias("in_bounds"), every.alias("all_rows"))
 
 
 @cache
@@ -53,6 +65,18 @@ def model(t):
     return load_model(t.spark, trained(t.spark, t.folder))
 
 
+@cache
+def _fitted(spark, folder):
+    from .base import Tables
+
+    return R.train_als(rated(Tables(spark, folder), keep=()))
+
+
+def fitted(t):
+    """A model of all ratings, so that every user and product is known."""
+    return _fitted(t.spark, t.folder)
+
+
 USERS = 'SELECT DISTINCT "user" FROM (' + RATED + ")"
 
 
@@ -65,18 +89,21 @@ def train_als(t):
     )
 
 
-@check("score")
+@check("score", f"SELECT *, true AS predicted FROM ({RATED})", "interactions")
 def score(t):
-    return R.score(model(t), rated(t)).select("id", "user", "product", "rating", "prediction")
+    """Every rating of known users and products gets a number."""
+    rows = R.score(fitted(t), rated(t))
+    number = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return rows.select("id", "user", "product", "rating", number.alias("predicted"))
 
 
-@check("model_rmse")
+@check("model_rmse", "SELECT true AS better")
 def model_rmse(t):
     """Error of the model next to that of always guessing the mean."""
     predictions = R.score(model(t), rated(t))
     mean = predictions.agg(F.avg("rating").alias("m")).scalar()
     baseline = R.rmse(predictions.withColumn("prediction", mean))
-    return R.rmse(predictions).select("rmse", baseline.scalar().alias("mean_rmse"))
+    return R.rmse(predictions).select((F.col("rmse") < baseline.scalar()).alias("better"))
 
 
 @check(
@@ -92,7 +119,11 @@ def rmse(t):
     return R.rmse(rows).select(F.round("rmse", 6).alias("rmse"))
 
 
-@check("champion_challenger")
+@check(
+    "champion_challenger",
+    "SELECT * FROM (VALUES ('first', true, 1, true), ('worse', false, 1, true)) "
+    "t(model, saved, newest, first_is_better)",
+)
 def champion_challenger(t):
     """A second model trained worse on purpose is not saved over the first."""
     spark = t.spark
@@ -103,9 +134,11 @@ def champion_challenger(t):
     second = P.champion_challenger(spark, worse, ratings, path)
     ratings.unpersist()
     newest = latest_model(spark, path)["version"]
-    rows = [("first", first["new"], first["version"]), ("worse", second["new"], second["version"])]
-    names = "model STRING, rmse DOUBLE, saved_version INT"
-    return spark.createDataFrame(rows, names).withColumn("newest", F.lit(newest))
+    better = first["new"] < second["new"] and second["old"] == first["new"]
+    rows = [("first", first["version"] == 1), ("worse", second["version"] is not None)]
+    return spark.createDataFrame(rows, "model STRING, saved BOOLEAN").withColumns(
+        {"newest": F.lit(newest), "first_is_better": F.lit(better)}
+    )
 
 
 @check(
@@ -121,9 +154,33 @@ def load(t):
     return load_model(t.spark, path).userFactors.agg(F.count(F.lit(1)).alias("users"))
 
 
-@check("recommend_user")
+def best_first(ratings):
+    """Whether an array of ratings never rises."""
+    return F.expr(f"forall(sequence(0, size({ratings}) - 1), i -> i = 0 OR {ratings}[i - 1] >= {ratings}[i])")
+
+
+@check(
+    "recommend_user",
+    f"""
+    WITH r AS ({RATED}), u AS (SELECT min("user") AS "user" FROM r)
+    SELECT CAST(min(u."user") AS INTEGER) AS user_id, least(10, count(DISTINCT r.product)) AS n,
+      least(10, count(DISTINCT r.product)) AS known_products, true AS descending
+    FROM r CROSS JOIN u""",
+    "interactions",
+)
 def recommend_user(t):
-    return R.flatten_recs(R.recommend_user(model(t), 8, 10))
+    """Ten different rated products of one user, best first."""
+    rows = rated(t, keep=())
+    user = rows.agg(F.min("user")).first()[0]
+    recs = R.recommend_user(fitted(t), user, 10)
+    flat = R.flatten_recs(recs).join(
+        rows.select(F.col("product").alias("product_id")).distinct(), "product_id"
+    )
+    known = flat.select("product_id").distinct().agg(F.count(F.lit(1))).scalar()
+    return recs.select(
+        F.col("user").alias("user_id"), F.size("recommendations").cast("bigint").alias("n"),
+        known.alias("known_products"), best_first("recommendations.rating").alias("descending"),
+    )
 
 
 @check(
@@ -150,19 +207,44 @@ def recommend_all(t):
     )
 
 
-@check("flatten_recs")
+def line_recs(t):
+    """Recommendations made of order lines: per order its parts with the quantities."""
+    rec = F.struct(
+        F.col("l_partkey").cast("int").alias("product"), F.col("l_quantity").alias("rating")
+    )
+    return t.lineitem.groupBy(F.col("l_orderkey").cast("int").alias("user")).agg(
+        F.collect_list(rec).alias("recommendations")
+    )
+
+
+@check(
+    "flatten_recs",
+    """
+    SELECT CAST(l_orderkey AS INTEGER) AS user_id, CAST(l_partkey AS INTEGER) AS product_id,
+      l_quantity AS rating FROM lineitem""",
+)
 def flatten_recs(t):
-    return R.flatten_recs(R.recommend_all(model(t), 10))
+    return R.flatten_recs(line_recs(t))
 
 
-@check("top_products_global")
+@check(
+    "top_products_global",
+    """
+    SELECT CAST(l_partkey AS INTEGER) AS product_id, l_quantity AS rating FROM lineitem
+    ORDER BY l_quantity DESC, l_partkey, l_orderkey LIMIT 10""",
+)
 def top_products_global(t):
-    return R.top_products_global(R.recommend_all(model(t), 10))
+    return R.top_products_global(line_recs(t))
 
 
-@check("top_products_distinct")
+@check(
+    "top_products_distinct",
+    """
+    SELECT CAST(l_partkey AS INTEGER) AS product_id, max(l_quantity) AS rating FROM lineitem
+    GROUP BY 1 ORDER BY rating DESC, product_id LIMIT 10""",
+)
 def top_products_distinct(t):
-    return R.top_products_global(R.recommend_all(model(t), 10), distinct=True)
+    return R.top_products_global(line_recs(t), distinct=True)
 
 
 @check(
@@ -198,10 +280,64 @@ def recommendation_payload(t):
     return R.recommendation_payload(recs)
 
 
-@check("recommendations_table")
+@check("recommendations_table", "SELECT true AS ten_or_fewer, true AS known_users, true AS known_products")
 def recommendations_table(t):
+    """The job's table names rated users and products only, ten a user at most."""
     out = run_dir(t.spark, "recs")
-    return P.recommendations_job(t.spark, trained(t.spark, t.folder), out, n=10)
+    flat = P.recommendations_job(t.spark, trained(t.spark, t.folder), out, n=10)
+    rows = rated(t, keep=())
+    users = rows.select(F.col("user").alias("user_id")).distinct()
+    products = rows.select(F.col("product").alias("product_id")).distinct()
+    most = flat.groupBy("user_id").count().agg(F.max("count")).first()[0]
+    return t.spark.range(1).select(
+        F.lit(most is not None and 0 < most <= 10).alias("ten_or_fewer"),
+        F.lit(flat.join(users, "user_id", "left_anti").isEmpty()).alias("known_users"),
+        F.lit(flat.join(products, "product_id", "left_anti").isEmpty()).alias("known_products"),
+    )
+
+
+LARGE = 10_000_000_000
+
+
+@check(
+    "train_large_ids",
+    f"""
+    SELECT count(DISTINCT "user") * 0 + 1 AS model_version, true AS known_users,
+      true AS known_products FROM ({RATED})""",
+    "interactions",
+)
+def train_large_ids(t):
+    """Training and recommending with ids beyond 32 bits."""
+    path, out = run_dir(t.spark, "model"), run_dir(t.spark, "recs")
+    wide = t.interactions.withColumns(
+        {c: F.col(c) * F.lit(LARGE) for c in ("userId", "productId")}
+    )
+    outcome = P.train_job(t.spark, wide, path)
+    flat = P.recommendations_job(t.spark, path, out, n=5)
+    rows = rated(t, keep=())
+    users = rows.select((F.col("user") * F.lit(LARGE)).alias("user_id")).distinct()
+    products = rows.select((F.col("product") * F.lit(LARGE)).alias("product_id")).distinct()
+    return t.spark.range(1).select(
+        F.lit(outcome["version"]).cast("bigint").alias("model_version"),
+        F.lit(not flat.isEmpty() and flat.join(users, "user_id", "left_anti").isEmpty()).alias("known_users"),
+        F.lit(flat.join(products, "product_id", "left_anti").isEmpty()).alias("known_products"),
+    )
+
+
+@check(
+    "batch_gate",
+    """
+    SELECT o_custkey % 7 AS batch, count(*) > 10 AS large FROM orders
+    WHERE o_orderkey % 40 < o_custkey % 7 GROUP BY 1""",
+)
+def batch_gate(t):
+    """Whether batches of different sizes are large enough to train on."""
+    from vitrine.streaming.ratings import batch_gate as gate
+
+    rows = t.orders.where("o_orderkey % 40 < o_custkey % 7")
+    batches = [(i, gate(rows.where(F.col("o_custkey") % 7 == i))) for i in range(1, 7)
+               if not rows.where(F.col("o_custkey") % 7 == i).isEmpty()]
+    return t.spark.createDataFrame(batches, "batch BIGINT, large BOOLEAN")
 
 
 @check(

@@ -16,10 +16,10 @@ from .interactions import DECODED, log_text, shown
 from .ratings import RATED, rated
 
 
-def landed(df, name, files=4, kind="json"):
-    """Rows written as several files, so that a stream takes several batches."""
+def landed(df, name, kind="json"):
+    """Rows written as they are spread."""
     path = run_dir(df.sparkSession, name)
-    df.repartition(files).write.format(kind).save(path)
+    df.write.format(kind).save(path)
     return path
 
 
@@ -65,7 +65,14 @@ def read_ratings(t):
     return t.spark.read.parquet(out)
 
 
-@check("rating_stream")
+@check(
+    "rating_stream",
+    f"""
+    SELECT true AS some_users, true AS known_users, true AS known_products, true AS descending,
+      CAST(count(*) AS BIGINT) AS stored
+    FROM ({RATED})""",
+    "interactions",
+)
 def rating_stream(t):
     """Ratings stored, model kept, top products of every user written."""
     source = landed(rated(t, keep=()), "ratings")
@@ -75,7 +82,20 @@ def rating_stream(t):
         once=True,
     )
     query.awaitTermination()
-    return t.spark.read.parquet(recs)
+    rows = rated(t, keep=())
+    found = ratings.stored_recs(t.spark, recs)
+    users = rows.select(F.col("user").alias("user_id")).distinct()
+    products = rows.select(F.col("product").alias("product_id")).distinct()
+    nested = read_current(t.spark, recs).select(F.expr(
+        "forall(sequence(1, size(recommendations) - 1), i -> i < 1 OR "
+        "recommendations[i - 1].rating >= recommendations[i].rating)").alias("ok"))
+    return t.spark.range(1).select(
+        F.lit(found.count() > 0).alias("some_users"),
+        F.lit(found.join(users, "user_id", "left_anti").isEmpty()).alias("known_users"),
+        F.lit(found.join(products, "product_id", "left_anti").isEmpty()).alias("known_products"),
+        F.lit(nested.where("NOT ok").isEmpty()).alias("descending"),
+        F.lit(t.spark.read.parquet(store).count()).alias("stored"),
+    )
 
 
 @check("comment_stream", ANSWERS.replace(f"AND {N} % 4 <> 0", ""), "comments", "videos")
@@ -118,7 +138,7 @@ def open_tasks(t):
 @check("track_tasks", OPEN, "tasks")
 def track_tasks(t):
     """Keyed state over several batches; what is still open at the end."""
-    source = landed(t.tasks, "tasks", files=3, kind="parquet")
+    source = landed(t.tasks, "tasks", kind="parquet")
     out, checkpoint = folders(t, "out", "checkpoint")
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     events = (

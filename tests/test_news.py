@@ -114,6 +114,8 @@ def test_rss(spark, tmp_path):
         + item.format("Two", "l2", "&lt;img src=\"d2\"&gt;", "")
         + item.format("", "l3", "", "")
         + item.format("Four", "l4", "text", '<enclosure url="e4"/>')
+        + item.format("Five", "l5", "", '<media:content url=""/><media:content url="m5?a=1&amp;b"/><media:content url="m6"/>')
+        + item.format("Six", "l6", "", '<media:thumbnail url="t6"/><media:content url="m7"/>')
         + "</channel></rss>"
     )
     good, broken = tmp_path / "good.xml", tmp_path / "broken.xml"
@@ -121,7 +123,8 @@ def test_rss(spark, tmp_path):
     broken.write_text("<rss><channel><item><title>cut")
     rows = scan_rss(spark, [str(good), str(broken), str(tmp_path / "none.xml")])
     got = [(r.feed, r.title, r.link, r.image_url) for r in rows.orderBy("feed", "pos").collect()]
-    assert got == [(0, "One", "l1", "m1"), (0, "Two", "l2", "d2"), (0, "Four", "l4", "e4")]
+    assert got == [(0, "One", "l1", "m1"), (0, "Two", "l2", "d2"), (0, "Four", "l4", "e4"),
+                   (0, "Five", "l5", "m5?a=1&b"), (0, "Six", "l6", "t6")]
 
 
 def test_marked_json(one):

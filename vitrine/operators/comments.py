@@ -8,7 +8,7 @@ from ..functions.social import reply_channel, reply_text
 from ..functions.text import trim_controls
 from ..session import materialize
 from .feed import newest_first
-from .grouping import measured_lookup, spread_lookup, top_in_group
+from .grouping import written_lookup, spread_lookup, top_in_group
 
 KEYS = ["comment_id", "platform"]
 # Fixed value: shorter item words never match.
@@ -130,7 +130,7 @@ def match_keywords(comments, videos, keys=KEYS):
     )
     found = spread_lookup(pieces, words, ["word"], how="inner")
     by_token = found.groupBy("token").agg(F.max("video").alias("video"))
-    hits = measured_lookup(pairs, by_token, ["token"], how="inner", spread_by=keys)
+    hits = written_lookup(pairs, by_token, ["token"], how="inner", spread_by=keys)
     return hits.groupBy(*keys).agg(F.max("video").alias("video"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 SALTS = 8
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def top_in_group(df, keys, order, n=1):
@@ -49,15 +48,10 @@ def spread_lookup(left, right, on, how="left", spread_by=None, salts=SALTS):
     )
 
 
-def measured_lookup(left, right, on, how="left", spread_by=None, limit=BROADCAST_BYTES):
-    """Like ``spread_lookup``, but the lookup side is computed first and measured.
+def written_lookup(left, right, on, how="left", spread_by=None):
+    """Like ``spread_lookup``, but the lookup side is computed once, into the shared folder.
 
-    Up to ``limit`` bytes it is broadcast, and the many side is not shuffled at all.
-    Worth the extra job where the many side is far larger than the lookup side.
+    Spark then knows its size before the join and broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold``: the many side is not shuffled at all.
     """
-    fixed = materialize(right, "lookup")
-    width = F.octet_length(F.to_json(F.struct("*")))
-    size = fixed.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-    if size <= limit:
-        return left.join(F.broadcast(fixed), on, how)
-    return spread_lookup(left, fixed, on, how, spread_by)
+    return spread_lookup(left, materialize(right, "lookup"), on, how, spread_by)

@@ -117,9 +117,9 @@ def direct_story(stories, brand_tag, default_image):
 
 
 def first_image(images, group="article"):
-    """First occurrence of each image of an article."""
+    """First occurrence of each image of an article; of equal places the least url."""
     return top_in_group(
-        images.withColumn("image_id", N.image_id("url")), [group, "image_id"], ["pos"]
+        images.withColumn("image_id", N.image_id("url")), [group, "image_id"], ["pos", "url"]
     )
 
 
@@ -163,8 +163,13 @@ def gallery(articles, main, link, html, description, name="gallery"):
 
 
 def news_post(logs, created_at, passthrough=()):
-    """Post rows from generator logs whose result reports success."""
+    """Post rows from generator logs whose result reports success.
+
+    Where the logs have an ``exit_code``, only runs that ended with 0 count.
+    """
     result = parse_news_result("log")
+    if "exit_code" in logs.columns:
+        logs = logs.where(F.col("exit_code") == 0)
     return (
         logs.select(*passthrough, result.alias("r"))
         .where(F.col("r").isNotNull())

@@ -41,6 +41,39 @@ def dense_ids(df, column, name):
     return numbered.select(column, (F.col("start") + F.col("_at")).cast("int").alias(name))
 
 
+def id_maps(ratings):
+    """{column: (value, index)} if any id is beyond 32 bits, which ALS can't take; else None."""
+    most = ratings.agg(
+        F.max(F.greatest(F.abs("user"), F.abs("product")).cast("decimal(20,0)"))
+    ).first()[0]
+    if most is None or most <= INT_MAX:
+        return None
+    return {c: dense_ids(ratings, c, f"{c}_index") for c in ("user", "product")}
+
+
+def with_indices(ratings, ids):
+    """Ratings with the maps' indices for ids; rows with unknown ids go. Without maps the
+    ids are cast."""
+    if ids is None:
+        fits = F.greatest(F.abs("user"), F.abs("product")) <= INT_MAX
+        return ratings.where(fits).withColumns({c: F.col(c).cast("int") for c in ("user", "product")})
+    for column, table in ids.items():
+        ratings = spread_lookup(ratings, table, [column], how="inner", salts=1)
+        ratings = ratings.drop(column).withColumnRenamed(f"{column}_index", column)
+    return ratings
+
+
+def with_ids(flat, ids):
+    """Flat recommendations with the ids that the indices stand for."""
+    if ids is None:
+        return flat
+    for column, table in (("user_id", ids["user"]), ("product_id", ids["product"])):
+        value, index = table.columns
+        named = table.select(F.col(index).alias(column), F.col(value).alias("_value"))
+        flat = flat.join(named, column).drop(column).withColumnRenamed("_value", column)
+    return flat.select("user_id", "product_id", "rating")
+
+
 def train_als(ratings, params=None, seed=SEED):
     als = ALS(
         userCol="user",

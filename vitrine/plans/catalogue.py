@@ -12,6 +12,7 @@ from ..operators.catalog import (
 from ..operators.deals import coupon_to_deal
 from ..operators.images import valid_images
 from ..sources.sinks import batched_upsert
+from ..sources.versions import publish
 
 
 def catalogue_job(spark, catalog, stores, path, loaded_at, images=None):
@@ -32,6 +33,5 @@ def fetch_new_products(catalog, products, loaded_at, n=10):
 
 
 def deals_job(coupons, stores, out):
-    """Write the deals of all stores' coupons; returns the written table."""
-    coupon_to_deal(coupons, stores).write.mode("overwrite").parquet(out)
-    return coupons.sparkSession.read.parquet(out)
+    """Write the deals of all stores' coupons as a new version; returns the written table."""
+    return publish(coupon_to_deal(coupons, stores), out)

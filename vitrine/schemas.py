@@ -51,9 +51,7 @@ COMMENT = (
 WEBHOOK = "platform STRING, payload STRING, received_at TIMESTAMP"
 
 RSS_ITEM = (
-    "title STRING, link STRING, description STRING, "
-    "`media:content` STRUCT<_url: STRING>, `media:thumbnail` STRUCT<_url: STRING>, "
-    "enclosure STRUCT<_url: STRING>"
+    "title STRING, link STRING, description STRING, enclosure STRUCT<_url: STRING>"
 )
 
 GENERATED_ASSET = (

@@ -81,6 +81,12 @@ def _path(spark, path):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def place_of(spark, path):
+    """The full path without its store, or None if there is none such."""
+    where, files = _path(spark, path)
+    return files.makeQualified(where).toUri().getPath() if files.exists(where) else None
+
+
 def list_folders(spark, path):
     """Names of the folders below a path, sorted; none if there is no such path."""
     where, files = _path(spark, path)

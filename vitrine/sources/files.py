@@ -1,15 +1,14 @@
 """Readers of landed files and tables."""
 
 import logging
-from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import non_empty
 from ..functions.news import story_image
 from ..operators.interactions import decode_interactions
+from ..session import place_of
 
 log = logging.getLogger(__name__)
 
@@ -56,16 +55,22 @@ def stream_ratings(spark, path_or_topic, servers=None, files_per_trigger=None):
 def scan_pages(spark, path, item, multiline=False):
     """Rows of all landed pages, one page per line, or one per file with ``multiline``.
 
-    ``page``, ``line`` and ``at`` give a row's place. A page that cannot be read gives
-    no rows.
+    ``pos`` orders the rows as the service pages them, however files are packed: by the
+    number of the page (one before that in its link to the next page, the last page by the
+    total), then the place on it. ``page``, the file, parts pages of equal number. A page
+    that cannot be read gives no rows.
     """
     pages = spark.read.schema(schemas.page_of(item)).option("multiLine", multiline).json(path)
-    numbered = pages.select(
-        F.input_file_name().alias("page"),
-        F.monotonically_increasing_id().alias("line"),
-        F.posexplode("data"),
+    paging = F.col("meta.pagination")
+    following = F.regexp_extract(paging["next"]["href"], r"[?&]page=([0-9]+)", 1)
+    number = F.coalesce(
+        F.expr("try_cast(_next AS INT)") - 1, F.col("meta.pagination.totalPages"), F.lit(0)
     )
-    return numbered.select("page", "line", F.col("pos").alias("at"), "col.*")
+    numbered = pages.withColumn("_next", following).select(
+        F.input_file_name().alias("page"), number.alias("number"), F.posexplode("data").alias("at", "c")
+    )
+    place = F.struct("number", "page", "at")
+    return numbered.select("page", "number", "at", place.alias("pos"), "c.*")
 
 
 def scan_catalog_pages(spark, path, multiline=False):
@@ -81,46 +86,47 @@ def scan_stores(spark, path, network="pepper"):
 
 
 def scan_rss(spark, paths):
-    """Items of all feeds in the given order, those with a title and a link.
+    """Items of all feeds, those with a title and a link, in one scan.
 
-    Feeds are read one by one so that the order is kept; a missing or broken feed adds
-    no rows.
+    ``feed`` is the feed's place among the paths, ``pos`` the item's place in its file. The
+    image is the first media element with an address in the order of the text, content or
+    thumbnail. A missing feed, and one that isn't closed, add no rows.
     """
-    feeds = []
+    places = {}
     for i, path in enumerate(paths):
-        reader = (
-            spark.read.format("xml")
-            .schema(schemas.RSS_ITEM)
-            .option("rowTag", "item")
-            .option("mode", "PERMISSIVE")
-            .option("ignoreCorruptFiles", "true")
-        )
-        try:
-            items = reader.load(path)
-        except AnalysisException as error:
-            log.warning("feed %s skipped: %s", path, error.getCondition())
-            continue
-        feeds.append(
-            items.select(F.lit(i).alias("feed"), F.monotonically_increasing_id().alias("pos"), "*")
-        )
-    if not feeds:
+        place = place_of(spark, path)
+        if place is None:
+            log.warning("feed %s skipped: no such path", path)
+        else:
+            places.setdefault(place, i)
+    if not places:
         raise ValueError("no feed could be read")
-    media = F.coalesce(
-        non_empty(F.col("`media:content`")["_url"]), non_empty(F.col("`media:thumbnail`")["_url"])
+    files = spark.read.text([paths[i] for i in places.values()], wholetext=True)
+    name = F.regexp_replace(F.input_file_name(), r"^[A-Za-z0-9+.\-]+:(//[^/]*)?", "")
+    feed = F.coalesce(
+        *[F.when((name == p) | name.startswith(p + "/"), F.lit(i)) for p, i in places.items()]
     )
-    image = story_image(media, "description", F.col("enclosure")["_url"])
-    return (
-        reduce(lambda a, b: a.unionByName(b), feeds)
-        .select(
-            "feed",
-            "pos",
-            F.coalesce("title", F.lit("")).alias("title"),
-            F.coalesce("link", F.lit("")).alias("link"),
-            F.coalesce("description", F.lit("")).alias("description"),
-            image.alias("image_url"),
-        )
-        .where((F.col("title") != "") & (F.col("link") != ""))
+    closed = F.col("value").rlike(r"</(rss|rdf:RDF|channel)\s*>\s*$")
+    raw = F.regexp_extract_all("value", F.lit(r"(?s)<item[\s>].*?</item\s*>"), F.lit(0))
+    items = files.where(closed).select(feed.alias("feed"), F.posexplode(raw).alias("pos", "raw"))
+    items = items.select(
+        "feed", F.col("pos").cast("bigint").alias("pos"), "raw",
+        F.from_xml("raw", schemas.RSS_ITEM).alias("i"),
+    )
+    media = F.regexp_extract(
+        "raw", r"""(?s)<media:(?:content|thumbnail)\b[^>]*?\burl\s*=\s*["']\s*([^"'\s][^"']*)["']""", 1
     )
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        media = F.replace(media, F.lit(code), F.lit(char))
+    image = story_image(non_empty(media), "i.description", F.col("i.enclosure")["_url"])
+    return items.select(
+        "feed",
+        "pos",
+        F.coalesce("i.title", F.lit("")).alias("title"),
+        F.coalesce("i.link", F.lit("")).alias("link"),
+        F.coalesce("i.description", F.lit("")).alias("description"),
+        image.alias("image_url"),
+    ).where((F.col("title") != "") & (F.col("link") != ""))
 
 
 def scan_table(spark, folder, name):
@@ -128,12 +134,13 @@ def scan_table(spark, folder, name):
 
 
 def scan_asset_cache(spark, path):
-    """(product_id, model_id, vton_image, storyboard_images) from ``cache_<product>.json`` files.
+    """(product_id, model_id, vton_image, storyboard_images) from ``cache_<product>.json``,
+    files or folders of files.
 
     An unreadable file counts as empty.
     """
-    files = spark.read.option("wholetext", "true").text(path)
-    product = F.regexp_extract(F.input_file_name(), r"cache_([^/]*)\.json$", 1)
+    files = spark.read.text(path, wholetext=True).select("value")
+    product = F.regexp_extract(F.input_file_name(), r"cache_([^/]*)\.json(?:/[^/]*)?$", 1)
     entries = F.from_json("value", schemas.CACHE_ENTRY)
     rows = files.select(
         product.alias("product_id"), F.explode_outer(entries).alias("model_id", "e")

@@ -1,6 +1,7 @@
 """Logs a query's start, progress, idling and end."""
 
 import logging
+from collections import deque
 
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -8,8 +9,10 @@ log = logging.getLogger(__name__)
 
 
 class ProgressListener(StreamingQueryListener):
-    def __init__(self):
-        self.events = []
+    """Keeps the last ``most`` events; all of them are logged."""
+
+    def __init__(self, most=1000):
+        self.events = deque(maxlen=most)
 
     def _note(self, kind, detail):
         self.events.append((kind, detail))

@@ -9,13 +9,17 @@ from ..operators.ratings import (
     split_ratings,
     train_als,
 )
+from ..operators.upsert import read_current, write_upsert
 from ..plans.recommendations import champion_challenger
+from ..schemas import RATING
+from ..session import read_if_present
 from ..sources.models import load_model
 
 # Rows a batch must exceed, trigger, and recommendations kept per user.
 MIN_ROWS = 10
 TRIGGER = "10 seconds"
 TOP = 100
+TRAINED = "batch_id BIGINT"
 
 
 def batch_gate(batch, min_rows=MIN_ROWS):
@@ -28,28 +32,56 @@ def precompute_recs(model, n=TOP):
     return flatten_recs(recommend_all(model, n))
 
 
+def recommendations_of(model, users, n=TOP):
+    """Top ``n`` of the given users only."""
+    return model.recommendForUserSubset(users.select("user").distinct(), n)
+
+
+def stored_recs(spark, recs_path):
+    """The flat recommendations as last committed, or None."""
+    table = read_current(spark, recs_path)
+    return None if table is None else flatten_recs(table)
+
+
+def _trained_until(spark, model_dir):
+    log = read_if_present(spark, f"{model_dir}/trained", TRAINED)
+    last = None if log is None else log.agg(F.max("batch_id")).first()[0]
+    return -1 if last is None else last
+
+
 def rating_batch(spark, model_dir, store, recs_path, params=None, min_rows=MIN_ROWS):
     """Handler of one micro-batch.
 
     Every batch is stored under its id, so a repeated batch replaces itself. Training
-    uses all stored ratings and runs when the batch is large enough.
+    uses all stored ratings and runs once more than ``min_rows`` have come since the
+    last training; give a stream with a long history a larger number. Other batches
+    only renew the recommendations of their own users. Recommendations are a
+    versioned table by user.
     """
 
     def handle(batch, batch_id):
         batch.na.drop().write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
-        if not batch_gate(batch, min_rows):
-            return
-        ratings = spark.read.parquet(store).where(F.col("batch_id") <= batch_id)
-        ratings = ratings.select("user", "product", "rating").persist()
-        try:
-            training, test = split_ratings(ratings)
-            model = train_als(training, params or STREAM_PARAMS)
-            champion_challenger(spark, model, test, model_dir)
-            best = load_model(spark, model_dir)
-            if best is not None:
-                precompute_recs(best).write.mode("overwrite").parquet(recs_path)
-        finally:
-            ratings.unpersist()
+        stored = spark.read.schema(RATING + ", batch_id BIGINT").parquet(store)
+        stored = stored.where(F.col("batch_id") <= batch_id)
+        fresh = stored.where(F.col("batch_id") > _trained_until(spark, model_dir))
+        if batch_gate(fresh, min_rows):
+            ratings = stored.select("user", "product", "rating").persist()
+            try:
+                training, test = split_ratings(ratings)
+                model = train_als(training, params or STREAM_PARAMS)
+                saved = champion_challenger(spark, model, test, model_dir)["version"]
+            finally:
+                ratings.unpersist()
+            mark = spark.createDataFrame([(batch_id,)], TRAINED).coalesce(1)
+            mark.write.mode("append").parquet(f"{model_dir}/trained")
+        else:
+            saved = None
+        best = load_model(spark, model_dir)
+        if best is not None:
+            # a new model renews all users, otherwise only those of the batch have changed
+            own = stored.where(F.col("batch_id") == batch_id)
+            recs = recommend_all(best, TOP) if saved else recommendations_of(best, own, TOP)
+            write_upsert(spark, recs_path, recs, ["user"])
 
     return handle
 
