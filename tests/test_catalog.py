@@ -2,13 +2,14 @@
 
 import base64
 
+import pytest
 from pyspark.sql import functions as F
 
 from vitrine import schemas
 from vitrine.operators import catalog as C
 from vitrine.operators import deals as D
 from vitrine.operators import images as G
-from vitrine.operators.tagging import KeywordTagger, tag_products
+from vitrine.operators.tagging import KeywordTagger, patient, tag_products, tag_results
 from vitrine.plans.catalogue import catalogue_job, fetch_new_products
 from vitrine.operators.upsert import read_current
 from vitrine.session import run_dir
@@ -137,12 +138,34 @@ def test_tagger(spark):
         [(1, "t", "red dress"), (2, "t", "bad"), (3, None, "x"), (4, "t", None), (5, "t", "hat")],
         "id BIGINT, thumbnail STRING, product_details STRING",
     )
-    tags = tag_products(rows, Flaky, "https://proxy")
+    tags = tag_products(rows, Flaky, "https://proxy", first=0.01)
     got = {r.id: r.tags for r in tags.collect()}
     assert set(got) == {1, 5}
     assert got[1].category == "dress" and got[1].color == "red"
     assert got[1].sub_categories == ["dress"]
     assert C.enrich_with_tags(rows, tags).count() == 2
+    results = tag_results(rows, Flaky, "https://proxy", first=0.01).collect()
+    assert {(r.id, r.error) for r in results if r.error} == {(2, "RuntimeError: service down")}
+
+
+def test_failed_calls_are_repeated_with_growing_waits():
+    waits, turns = [], []
+
+    def call():
+        turns.append(1)
+        if len(turns) < 4:
+            raise OSError("busy")
+        return "ok"
+
+    assert patient(call, sleep=waits.append) == "ok" and waits == [2.0, 4.0, 8.0]
+    turns.clear()
+    with pytest.raises(OSError):
+        patient(call, tries=3, sleep=waits.append)
+    assert len(turns) == 3
+    waits.clear()
+    with pytest.raises(ZeroDivisionError):
+        patient(lambda: 1 / 0, tries=7, sleep=waits.append)
+    assert max(waits) == 30.0
 
 
 def test_image_headers():

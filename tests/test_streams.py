@@ -6,8 +6,9 @@ import time
 from pyspark.sql import functions as F
 
 from vitrine import schemas
-from vitrine.session import ROCKSDB, run_dir
-from vitrine.streaming import comments, signups, tasks
+from vitrine.session import ROCKSDB, list_folders, run_dir, shared_dir
+from vitrine.sources.models import latest_model, load_model
+from vitrine.streaming import comments, ratings, signups, tasks
 from vitrine.streaming.progress import ProgressListener
 
 
@@ -80,12 +81,42 @@ def test_comment_stream_is_repeatable(spark, tmp_path):
     assert run() == ["c1", "c2"]
     write(source, "2.json", [hook(2, 4), hook(3, 5)])
     assert run() == ["c1", "c2", "c3"]
+    before = list_folders(spark, shared_dir(spark))
     process = comments.comment_batch(spark, videos, store, "own", "https://base")
     again = spark.read.schema(schemas.WEBHOOK).json(str(source / "2.json"))
     process(again, 1)
     assert sorted(r.comment_id for r in comments.stored_comments(spark, store).collect()) == [
         "c1", "c2", "c3"
     ]
+    # intermediates go with the batch
+    assert list_folders(spark, shared_dir(spark)) == before
+    own = [r.bucket for r in comments.with_bucket(spark.createDataFrame(
+        [("x", "c1")], "platform STRING, comment_id STRING")).collect()]
+    history = comments.stored_comments(spark, store, before=9, buckets=own)
+    assert [r.comment_id for r in history.collect()] == ["c1"]
+    # only the folders of the batch's own buckets are read
+    scan = history._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in scan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_ratings_train_once_enough_have_come(spark):
+    rows = [(u, p, float(1 + (u * p) % 5)) for u in range(8) for p in range(1, 6)]
+    schema = "user INT, product INT, rating DOUBLE"
+    model, store, recs = (run_dir(spark, n) for n in ("model", "store", "recs"))
+    handle = ratings.rating_batch(spark, model, store, recs, min_rows=10)
+    handle(spark.createDataFrame(rows[:5], schema), 0)
+    assert load_model(spark, model) is None and ratings.stored_recs(spark, recs) is None
+    handle(spark.createDataFrame(rows[5:], schema), 1)
+    first = latest_model(spark, model)
+    assert first["version"] == 1
+    users = {r.user_id for r in ratings.stored_recs(spark, recs).collect()}
+    assert users <= set(range(8)) and len(users) > 4
+    # too few new ratings: no training, and only the batch's user is renewed
+    handle(spark.createDataFrame([(3, 2, 4.0)], schema), 2)
+    assert latest_model(spark, model)["version"] == 1
+    log = spark.read.parquet(f"{recs}/commits").where("version = 2")
+    assert log.count() == 1
+    assert {r.user_id for r in ratings.stored_recs(spark, recs).collect()} == users
 
 
 def test_signups_and_progress(spark, tmp_path):

@@ -1,5 +1,7 @@
 """Product tagging through an injected client, one per partition."""
 
+import time
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -31,27 +33,51 @@ class KeywordTagger:
         }
 
 
-def tag_products(products, client_factory, image_base):
-    """(id, tags) from a client's ``tag(image_url, description)``.
+# Calls per product, and seconds to wait between them at least and at most.
+TRIES = 5
+FIRST_WAIT, LONGEST_WAIT = 2.0, 30.0
+
+
+def patient(call, tries=TRIES, first=FIRST_WAIT, longest=LONGEST_WAIT, sleep=time.sleep):
+    """The call's result, after up to ``tries`` tries with doubling waits between them."""
+    for turn in range(tries):
+        try:
+            return call()
+        except Exception:
+            if turn + 1 == tries:
+                raise
+            sleep(min(longest, first * 2**turn))
+
 
-    Products without a thumbnail or text are not sent; a product whose call fails gets
-    no row. The client is made once per partition.
+def tag_results(products, client_factory, image_base, tries=TRIES, first=FIRST_WAIT):
+    """(id, tags, error) from a client's ``tag(image_url, description)``.
+
+    Products without a thumbnail or text are not sent. A failed call is repeated; one that
+    fails to the end gives a row with the error and without tags. The client is made once
+    per partition.
     """
 
     def run(batches):
         client = client_factory()
         for batch in batches:
-            ids, tags = [], []
+            ids, tags, errors = [], [], []
             for row_id, url, text in zip(
                 batch["id"], batch["image_url"], batch["description"], strict=True
             ):
+                ids.append(row_id)
                 try:
-                    tags.append(client.tag(url, text))
-                    ids.append(row_id)
-                except Exception:  # noqa: BLE001 - one failed call must not end the job
-                    continue
+                    found = patient(lambda u=url, t=text: client.tag(u, t), tries, first)
+                    tags.append(found)
+                    errors.append(None)
+                except Exception as error:  # noqa: BLE001 - one failed call must not end the job
+                    tags.append(None)
+                    errors.append(f"{type(error).__name__}: {error}")
             yield pd.DataFrame(
-                {"id": pd.Series(ids, dtype="int64"), "tags": pd.Series(tags, dtype="object")}
+                {
+                    "id": pd.Series(ids, dtype="int64"),
+                    "tags": pd.Series(tags, dtype="object"),
+                    "error": pd.Series(errors, dtype="object"),
+                }
             )
 
     sent = products.where(
@@ -61,4 +87,10 @@ def tag_products(products, client_factory, image_base):
         proxy_image_url(image_base, "thumbnail").alias("image_url"),
         F.col("product_details").alias("description"),
     )
-    return sent.mapInPandas(run, schemas.TAGGED_PRODUCT)
+    return sent.mapInPandas(run, f"{schemas.TAGGED_PRODUCT}, error STRING")
+
+
+def tag_products(products, client_factory, image_base, tries=TRIES, first=FIRST_WAIT):
+    """(id, tags) of the products whose call succeeded."""
+    results = tag_results(products, client_factory, image_base, tries, first)
+    return results.where(F.col("error").isNull()).select("id", "tags")

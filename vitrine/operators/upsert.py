@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..session import delete_folder, list_folders, materialize, read_if_present
+from ..session import delete_folder, list_folders, materialize, read_if_present, scratch
 from .grouping import top_in_group
 
 BUCKETS = 32
@@ -79,17 +79,13 @@ def write_upsert(spark, path, changes, keys, buckets=None, order=None):
     """
     if order is not None:
         changes = latest_changes(changes, keys, order)
-    changed = materialize(changes, "changes")
-    scratch = changed.inputFiles()[0].rsplit("/", 1)[0] if changed.inputFiles() else None
-    try:
+    with scratch(spark):
+        changed = materialize(changes, "changes")
         if order is None:
             twice = changed.groupBy(*keys).count().where("count > 1").limit(1).collect()
             if twice:
                 raise ValueError(f"changes repeat a key, and no order is given: {twice[0]}")
         return _commit(spark, path, changed, keys, buckets)
-    finally:
-        if scratch:
-            delete_folder(spark, scratch)
 
 
 def _commit(spark, path, changed, keys, buckets):

@@ -1,7 +1,9 @@
 """Session building and the shared scratch folder."""
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -55,6 +57,22 @@ def run_dir(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_made = threading.local()
+
+
+@contextmanager
+def scratch(spark):
+    """Removes what ``materialize`` writes inside, once the block has used it."""
+    outer, own = getattr(_made, "paths", None), []
+    _made.paths = own
+    try:
+        yield
+    finally:
+        _made.paths = outer
+        for path in own:
+            delete_folder(spark, path)
+
+
 def materialize(df, name):
     """Write a frame to the shared folder and read it back.
 
@@ -62,6 +80,8 @@ def materialize(df, name):
     they need.
     """
     path = run_dir(df.sparkSession, name)
+    if getattr(_made, "paths", None) is not None:
+        _made.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

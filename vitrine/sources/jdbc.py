@@ -21,26 +21,30 @@ def split_options(column, lower, upper, partitions):
     }
 
 
-def scan_products_jdbc(spark, url, table, fetchsize=1000, split=None, **login):
+def scan_products_jdbc(spark, url, table, fetchsize=1000, split=None, where=None, **login):
     """Product table with 0 for null numbers.
 
     ``split`` is ``(column, lower, upper, partitions)``; without it one task reads all.
+    ``where`` is applied before the nulls are filled, so that the database can run it.
     """
     reader = spark.read.format("jdbc").options(**read_options(url, table, fetchsize, **login))
     if split:
         reader = reader.options(**split_options(*split))
-    return reader.load().na.fill(0)
+    rows = reader.load()
+    return (rows if where is None else rows.where(where)).na.fill(0)
 
 
 def scan_products_incremental(spark, url, table, since, column="update_at", split=None, **login):
-    """Rows changed after ``since``; the predicate runs in the database.
+    """Rows changed at or after ``since``; the predicate runs in the database.
 
     Spark has no streaming JDBC source, so a job keeps the last mark and reads on from it.
+    Rows at the mark come again, as others may have been committed at the same time since;
+    upserts by key take them as they are.
     """
     reader = spark.read.format("jdbc").options(**read_options(url, table, **login))
     if split:
         reader = reader.options(**split_options(*split))
-    return reader.load().where(F.col(column) > F.lit(since).cast("timestamp"))
+    return reader.load().where(F.col(column) >= F.lit(since).cast("timestamp"))
 
 
 def high_water_mark(rows, column="update_at"):

@@ -3,36 +3,52 @@
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.comments import normalize_webhooks
+from ..operators.comments import KEYS, normalize_webhooks
 from ..plans.replies import answer_comments
-from ..session import read_if_present
+from ..session import materialize, read_if_present, scratch
 
 
-def stored_comments(spark, store, before=None):
-    """Comments stored so far, optionally only those of earlier batches."""
-    schema = schemas.COMMENT + ", batch_id BIGINT"
+BUCKETS = 256
+PLACES = "batch_id BIGINT, bucket INT"
+
+
+def with_bucket(rows):
+    """Adds the folder that a comment is stored in, by its key."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int"))
+
+
+def stored_comments(spark, store, before=None, buckets=None):
+    """Comments stored so far, optionally those of earlier batches or some buckets only."""
+    schema = f"{schemas.COMMENT}, {PLACES}"
     rows = read_if_present(spark, store, schema)
     if rows is None:
         rows = spark.createDataFrame([], schema)
     if before is not None:
         rows = rows.where(F.col("batch_id") < before)
-    return rows.drop("batch_id")
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(buckets))
+    return rows.drop("batch_id", "bucket")
 
 
 def comment_batch(spark, videos, store, handle, base_url, seed=0):
     """Handler of one micro-batch: one plan for the whole batch, one folder per batch.
 
     Repeats are found in the stored comments, not in a watermarked state: a watermark
-    would drop late comments, and the table answers the same question exactly. A
-    repeated batch reads only earlier batches and replaces its own folder.
+    would drop late comments, and the table answers the same question exactly. Only the
+    buckets of the batch's own comments are read. A repeated batch reads only earlier
+    batches and replaces its own folder. Intermediates go once the batch is stored.
     """
 
     def process(batch, batch_id):
-        history = stored_comments(spark, store, before=batch_id)
-        rows = answer_comments(
-            normalize_webhooks(batch), videos, history, handle, base_url, seed
-        )
-        rows.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        with scratch(spark):
+            comments = materialize(normalize_webhooks(batch), "batch")
+            # at most BUCKETS numbers
+            own = [r.bucket for r in with_bucket(comments).select("bucket").distinct().collect()]
+            history = stored_comments(spark, store, batch_id, own)
+            rows = answer_comments(comments, videos, history, handle, base_url, seed)
+            rows = with_bucket(rows).repartition("bucket")
+            folder = f"{store}/batch_id={batch_id}"
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
     return process
 

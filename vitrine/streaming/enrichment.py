@@ -1,23 +1,34 @@
 """Product stream to stored tags."""
 
-from ..operators.tagging import tag_products
+from ..operators.tagging import tag_results
+from ..session import materialize, scratch
 from ..sources.sinks import write_tags
 
 # Fixed value: trigger of the enrichment stream.
 TRIGGER = "5 seconds"
 
 
-def enrichment_batch(spark, client_factory, image_base, store):
-    """Handler of one micro-batch: tag its products and upsert the tags by product id."""
+def enrichment_batch(spark, client_factory, image_base, store, rejects=None):
+    """Handler of one micro-batch: tag its products and upsert the tags by product id.
+
+    The client is called once; with ``rejects`` the products whose calls failed are kept
+    there with their errors, a folder per batch.
+    """
 
     def process(batch, batch_id):
-        write_tags(spark, tag_products(batch, client_factory, image_base), store)
+        with scratch(spark):
+            results = materialize(tag_results(batch, client_factory, image_base), "tagged")
+            write_tags(spark, results.where("error IS NULL").select("id", "tags"), store)
+            if rejects:
+                failed = results.where("error IS NOT NULL").select("id", "error")
+                failed.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
 
     return process
 
 
-def run_enrichment_stream(stream, client_factory, image_base, store, checkpoint, once=False):
-    process = enrichment_batch(stream.sparkSession, client_factory, image_base, store)
+def run_enrichment_stream(stream, client_factory, image_base, store, checkpoint, once=False,
+                          rejects=None):
+    process = enrichment_batch(stream.sparkSession, client_factory, image_base, store, rejects)
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if once else {"processingTime": TRIGGER}
     return writer.trigger(**trigger).start()

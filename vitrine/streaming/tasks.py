@@ -84,7 +84,12 @@ def sharded(events, shards=SHARDS):
 
 
 def track_tasks(events, ttl_ms=None, shards=SHARDS):
-    """Stream of task changes; ``open`` tells started from cleared tasks."""
+    """Stream of task changes; ``open`` tells started from cleared tasks.
+
+    Without a change for ``ttl_ms`` a product's state goes, so give it to a stream that
+    never ends. It needs processing time, by which a run over what is available now would
+    not end; None keeps the state.
+    """
     timed = events.withColumn("at", F.unix_micros("ts")).drop("ts")
     return (
         sharded(timed, shards)
