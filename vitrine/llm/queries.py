@@ -102,6 +102,44 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op8_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h,
+                max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, n AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr(
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            ((CAST(concat('0x', substr(h, 5 * (i // 4) + 1, 5)) AS BIGINT)
+              >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+          CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM d""",
+    "op10_source_mix": r"""
+        WITH d AS (
+          SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
+          FROM documents),
+        s AS (SELECT source, sum(size) AS source_size,
+                CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+                  WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+              FROM d GROUP BY source),
+        l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+                - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+        t AS (SELECT source, source_size,
+                least(2.0::DOUBLE * source_size, weight * max(level) OVER ()) AS target FROM l),
+        p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source
+                ORDER BY md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))), doc_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+        q AS (SELECT doc_id, source, size, start, source_size, target, round(target) AS quota
+              FROM p JOIN t USING (source))
+        SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, source,
+          CAST(greatest(least(start + size, quota) - start, 0)
+             + greatest(least(source_size + start + size, quota) - source_size - start, 0)
+            AS BIGINT) AS taken
+        FROM q""",
     "op7_super_kmer_dedup": r"""
         WITH w AS (
           SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
