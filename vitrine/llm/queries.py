@@ -102,6 +102,30 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_rendezvous_sharding": """
+        WITH tbl AS (
+          SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+          FROM range(256) r(i)),
+        d AS (
+          SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+            xor(list_reduce(list_prepend(4294967295, list_transform(
+              regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+              lambda p: CAST(concat('0x', p) AS BIGINT))),
+              lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc,
+            list_transform(range(25), lambda i: CAST(concat('0x', substr(md5(
+              concat_ws('|', '0', i, doc_id)), 1, 15)) AS BIGINT)) AS h
+          FROM documents, tbl),
+        p AS (
+          SELECT *, list_position(h[1:24], list_max(h[1:24])) - 1 AS shard,
+            list_position(h, list_max(h)) - 1 AS grown_shard,
+            CAST(concat('0x', substr(md5(concat_ws('|', doc_id, crc, size)), 1, 15)) AS BIGINT)
+              % 1024 AS cut
+          FROM d)
+        SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard,
+          row_number() OVER (PARTITION BY shard ORDER BY cut, doc_id, crc, size) - 1 AS slot,
+          grown_shard
+        FROM p""",
     "op8_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h,

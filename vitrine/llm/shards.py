@@ -56,8 +56,8 @@ def number_slots(rows, order, shard="shard", spread_by=None, ranges=RANGES):
     given). Ranges are numbered on their own and shifted by the sizes of those before,
     so that no task holds a shard. The shift table has shards x ranges rows at most.
     """
-    by = [F.col(c) for c in spread_by or order]
-    cut = F.pmod(F.xxhash64(*by), F.lit(ranges)).cast("int")
+    by = [key_text(F.col(c)) for c in spread_by or order]
+    cut = F.pmod(point(F.concat_ws("|", *by)), F.lit(ranges)).cast("int")
     rows = rows.withColumn("_range", cut)
     shift = Window.partitionBy(shard).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
