@@ -173,12 +173,14 @@ def _hits(blobs, window):
         bounds = np.concatenate([[0], np.cumsum(counts)])
         order = np.argsort(rank, kind="stable")
         edges = np.flatnonzero(np.diff(rank[order], prepend=rank[order[:1]] + np.uint64(1)))
+        # only groups that more than one document is in can hold a repeat
+        low = np.minimum.reduceat(np.minimum.reduceat(docs, bounds[:-1])[order], edges)
+        high = np.maximum.reduceat(np.maximum.reduceat(docs, bounds[:-1])[order], edges)
+        ends = np.append(edges[1:], len(order))
         found = {}
-        for a, b in zip(edges, np.append(edges[1:], len(order))):
-            rows = order[a:b]
+        for g in np.flatnonzero(low != high):
+            rows = order[edges[g] : ends[g]]
             place = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
-            if len(place) == 1 or (docs[place] == docs[place[0]]).all():
-                continue
             for doc, key, start in repeated(
                 [strings[r] for r in rows], counts[rows], docs[place], keys[place], starts[place], window
             ):
