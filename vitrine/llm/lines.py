@@ -17,24 +17,28 @@ from .components import connected_components
 
 SHINGLE = 10
 THRESHOLD = 0.8
-HASHES = 16
-ROWS = 2
-SHORT_WORDS = 32
-LONG_WORDS = 20
-ROUNDS = 3
+HASHES = 27
+ROWS = 3
+SHORT_WORDS = 16
+LONG_WORDS = 12
+ROUNDS = 2
+#: Ids of candidate lines are broadcast up to so many; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 def plain_line(line):
     """Lower-cased, trimmed, each run of ASCII white space one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    # most lines have single spaces only and need no replacing
+    spaced = F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")
+    return F.trim(F.lower(F.when(line.rlike(r"[\x09-\x0D]|  "), spaced).otherwise(line)))
 
 
 def occurrences(docs, key="doc_id", text="text"):
     """(doc_id, text_key, pos, line) of every line with a word, positions from 0."""
     lines = F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "raw")
     rows = docs.select(F.col(key).alias("doc_id"), text_key(F.col(text)).alias("text_key"), lines)
-    rows = rows.select("doc_id", "text_key", "pos", plain_line(F.col("raw")).alias("line"))
-    return rows.where("line <> ''")
+    rows = rows.where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select("doc_id", "text_key", "pos", plain_line(F.col("raw")).alias("line"))
 
 
 def line_id(line):
@@ -42,9 +46,10 @@ def line_id(line):
     return F.xxhash64(line)
 
 
-def _windows(line, at, shingle):
-    """Windows of a line at the places that a pattern names; a shorter line is one window."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s){at}(?=(.{{{shingle}}}))"), 1)
+def _windows(line, skip, shingle):
+    """Windows of a line where a match starts; what ``skip`` matches is passed over. A line
+    shorter than a window is one."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}})){skip}"), 1)
     return F.when(F.char_length(line) < shingle, F.array(line)).otherwise(found)
 
 
@@ -53,15 +58,15 @@ def every_window(line, shingle=SHINGLE):
 
 
 def word_windows(line, shingle=SHINGLE):
-    return _windows(line, "(?:^|(?<= ))", shingle)
+    return _windows(line, "[^ ]+ ?", shingle)
 
 
 def _masks(hashes, seed):
-    """One mask per hash function, spread over the hash range by their first bits."""
+    """One 32-bit mask per hash function, spread over the hash range by their first bits."""
     rng = random.Random(seed)
-    step = 2**64 // hashes
+    step = 2**32 // hashes
     values = [i * step + rng.randrange(step) for i in range(hashes)]
-    return [v - 2**64 if v >= 2**63 else v for v in values]
+    return [v - 2**32 if v >= 2**31 else v for v in values]
 
 
 def band_keys(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS, seed=0):
@@ -76,7 +81,7 @@ def band_keys(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS, seed=0):
     kinds = F.array(F.struct(F.lit(0).alias("kind"), short.alias("w")), F.struct(F.lit(1).alias("kind"), long.alias("w")))
     each = lines.select(line_id(F.col("line")).alias("id"), F.explode(kinds).alias("k"))
     each = each.select("id", "k.kind", F.explode("k.w").alias("w"))
-    each = each.select("id", "kind", F.xxhash64("w").alias("h"))
+    each = each.select("id", "kind", F.hash("w").alias("h"))
     mins = [
         F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}")
         for i, m in enumerate(_masks(hashes, seed))
@@ -91,8 +96,12 @@ def band_keys(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS, seed=0):
 
 def _verified(pairs, lines, threshold, shingle):
     """The pairs (a, b) whose lines have at least the threshold's Jaccard similarity."""
-    both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("left")), "a")
-    both = both.join(lines.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
+    of = lambda node, line, n: lines.select(
+        F.col("id").alias(node), F.col("line").alias(line), F.col("windows").alias(n)
+    )
+    both = pairs.join(of("a", "left", "m"), "a").join(of("b", "right", "n"), "b")
+    # sets of very different size can't be alike
+    both = both.where(F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9)
     hashed = lambda c: F.array_distinct(F.transform(every_window(F.col(c), shingle), lambda w: F.xxhash64(w)))
     sets = both.select("a", "b", hashed("left").alias("x"), hashed("right").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -119,10 +128,14 @@ def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, ro
     keyed = stage(band_keys(lines, shingle, hashes, rows), "line-bands")
     shared = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     bucketed = stage(keyed.join(shared.select("band"), "band"), "line-buckets")
-    wanted = bucketed.select("id").distinct()
+    wanted = stage(bucketed.select("id").distinct(), "line-ids")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = lines.withColumn("id", line_id(F.col("line"))).join(wanted, "id", "left_semi")
     # equal lines are one
-    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    texts = texts.groupBy("id").agg(F.first("line").alias("line"))
+    count = F.size(F.array_distinct(every_window(F.col("line"), shingle)))
+    texts = stage(texts.withColumn("windows", count), "line-texts")
     edges = None
     for turn in range(rounds):
         members = stage(_rooted(bucketed, edges), "line-members")
