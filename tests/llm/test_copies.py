@@ -224,6 +224,35 @@ def test_lines(spark):
         assert r.kept_text == (None if r.text is None else "\n".join(kept))
 
 
+def test_lines_of_any_word_count_meet(spark):
+    """Lines of 11 words or fewer and the same line as one of 16 words or more, at 0.8 or above."""
+    rng = random.Random(4)
+    rows, pairs = [], 0
+    for i in range(60):
+        line = " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(rng.choice((10, 11))))
+        longer = line + (" | | | | | |" if i % 2 else " a b c d e f")
+        assert len(line.split(" ")) <= 11 and len(longer.split(" ")) >= 16
+        x, y = ({t[j : j + 10] for j in range(len(t) - 9)} for t in (line, longer))
+        assert len(x & y) >= 0.8 * len(x | y)
+        rows += [(2 * i, line, "en", "src0", 0, "k", "w", 7, "s", 3, "c", 1)]
+        rows += [(2 * i + 1, longer, "en", "src0", 0, "k", "w", 7, "s", 3, "c", 1)]
+        pairs += 1
+    found = {r.doc_id: r.removed for r in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert all(found[2 * i] == [] and found[2 * i + 1] == [0] for i in range(pairs))
+
+
+def test_windows_are_hashed_as_they_are():
+    given_lines = ["a", "0123456789", "0123456789x", "ab😀", "ab", "x0123456789", "0123456789"]
+    hashes, starts = lines.window_hashes(given_lines)
+    sets = [set(h.tolist()) for h in np.split(hashes, starts[1:])]
+    plain = [{t[i : i + 10] for i in range(max(1, len(t) - 9))} for t in given_lines]
+    for i, j in itertools.product(range(len(plain)), repeat=2):
+        assert len(sets[i] & sets[j]) == len(plain[i] & plain[j])
+    near = lines.alike(given_lines, given_lines[1:] + given_lines[:1], 0.5)
+    want = [2 * len(x & y) >= len(x | y) for x, y in zip(plain, plain[1:] + plain[:1])]
+    assert near.tolist() == want
+
+
 def test_lines_take_null_ids_and_empty_tables(spark):
     assert len(lines.dedup_lines(frame(spark, odd())).collect()) == len(odd())
     assert lines.dedup_lines(frame(spark, [])).count() == 0

@@ -1,29 +1,29 @@
 """Fuzzy line dedup: MinHash of character shingles, exact Jaccard, distributed union-find.
 
 A line's shingles are its windows of ten characters, lower-cased and with single spaces.
-Signatures are taken of all windows of a short line, and of those at word starts of a long
-one; lines between the two sizes get both, so that lines of similar size always share a
-kind. Band keys bring lines together; there each is compared with one line per round, drawn
-anew, and only with lines that it doesn't hang together with yet, before the pairs left
-between components are compared one by one.
+Every line is signed on all of them. Band keys bring lines together; there each is compared
+with one line per round, drawn anew, and only with lines that it doesn't hang together with
+yet, before the pairs left between components are compared one by one. Signatures and
+comparisons are numpy inside tasks; Spark deals out the lines, bands and pairs.
 """
 
-import random
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from .common import packed, stage, text_key
 from .components import connected_components
+from .hashing import BASE, INVERSE, grouped, mix, powers
 
 SHINGLE = 10
 THRESHOLD = 0.8
-HASHES = 27
-ROWS = 3
-SHORT_WORDS = 16
-LONG_WORDS = 12
+#: 13 bands of 4: at the threshold a pair shares a band with a probability of 0.9989.
+HASHES = 52
+ROWS = 4
 ROUNDS = 2
 #: Ids of candidate lines are broadcast up to so many; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Bytes that one character takes while its line is hashed.
+CHAR_BYTES = 8
 
 
 def plain_line(line):
@@ -46,68 +46,103 @@ def line_id(line):
     return F.xxhash64(line)
 
 
-def _windows(line, skip, shingle):
-    """Windows of a line where a match starts; what ``skip`` matches is passed over. A line
-    shorter than a window is one."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}})){skip}"), 1)
-    return F.when(F.char_length(line) < shingle, F.array(line)).otherwise(found)
-
-
-def every_window(line, shingle=SHINGLE):
-    return _windows(line, "", shingle)
-
-
-def word_windows(line, shingle=SHINGLE):
-    return _windows(line, "[^ ]+ ?", shingle)
-
+def window_hashes(lines, shingle=SHINGLE):
+    """(hashes, starts): a hash for each window of every line, those of a line together, and
+    where those of each line start. A line shorter than a window is one."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    n = len(codes)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((codes + np.uint64(1)) * powers(BASE, n), out=sums[1:])
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    ends = np.cumsum(sizes)
+    counts = np.maximum(sizes - shingle + 1, 1)
+    starts = np.cumsum(counts) - counts
+    first = np.arange(counts.sum()) + np.repeat(ends - sizes - starts, counts)
+    last = first + np.repeat(np.minimum(sizes, shingle), counts)
+    return mix((sums[last] - sums[first]) * powers(INVERSE, n + 1)[first]), starts
+
+
+def signed_bands(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS):
+    """A key for each ``rows`` min-hashes of all windows, one row of keys per line."""
+    found, starts = window_hashes(lines, shingle)
+    found = (found >> np.uint64(32)).astype(np.uint32)
+    multipliers = (mix(np.arange(1, hashes + 1, dtype=np.uint64) * BASE) | np.uint64(1)).astype(np.uint32)
+    mins = np.empty((len(lines), hashes), np.uint64)
+    for i, m in enumerate(multipliers):
+        mins[:, i] = np.minimum.reduceat(found * m, starts)
+    mins = mins.reshape(len(lines), hashes // rows, rows)
+    keys = np.broadcast_to(np.arange(hashes // rows, dtype=np.uint64), mins.shape[:2]).copy()
+    for r in range(rows):
+        keys = mix(keys * BASE + mins[:, :, r])
+    return keys.view(np.int64)
+
+
+def _decoded(column):
+    return [x.decode("utf-8", "replace") for x in column.to_pylist()]
+
+
+def band_keys(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS):
+    """(id, b0, b1, ...) of every distinct line: its band keys."""
+    names = [f"b{i}" for i in range(hashes // rows)]
+
+    def sign(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            # equal lines of a batch are signed once
+            texts = dict(zip(batch.column("id").to_pylist(), _decoded(batch.column("line"))))
+            for group in grouped(texts.items(), lambda x: CHAR_BYTES * len(x[1])):
+                keys = signed_bands([x for _, x in group], shingle, hashes, rows)
+                ids = pa.array([i for i, _ in group], pa.int64())
+                columns = [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(len(names))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", *names])
+
+    each = lines.where("line IS NOT NULL")
+    each = each.select(line_id(F.col("line")).alias("id"), F.col("line").cast("binary").alias("line"))
+    signed = each.mapInArrow(sign, ", ".join(f"{c} BIGINT" for c in ["id", *names]))
+    return signed.groupBy("id").agg(*[F.first(c).alias(c) for c in names])
+
+
+def alike(left, right, threshold=THRESHOLD, shingle=SHINGLE):
+    """Whether the lines of each pair have at least the threshold's Jaccard similarity."""
+    bits = max(1, (len(left) - 1).bit_length())
+
+    def sets(lines):
+        found, starts = window_hashes(lines, shingle)
+        counts = np.diff(starts, append=len(found))
+        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+        # the number of the pair stands before the hash
+        return np.unique(owner << np.uint64(64 - bits) | found >> np.uint64(bits))
+
+    def sizes(keys):
+        return np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=len(left))
+
+    x, y = sets(left), sets(right)
+    every = np.sort(np.concatenate([x, y]))
+    shared = sizes(every[1:][every[1:] == every[:-1]])
+    return shared >= threshold * (sizes(x) + sizes(y) - shared) - 1e-9
 
-def _masks(hashes, seed):
-    """One 32-bit mask per hash function, spread over the hash range by their first bits."""
-    rng = random.Random(seed)
-    step = 2**32 // hashes
-    values = [i * step + rng.randrange(step) for i in range(hashes)]
-    return [v - 2**32 if v >= 2**31 else v for v in values]
 
+def _verified(pairs, lines, threshold, shingle):
+    """The pairs (a, b) whose lines have at least the threshold's Jaccard similarity."""
 
-def band_keys(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS, seed=0):
-    """(id, band) of every distinct line: a key for each ``rows`` min-hashes of a signature.
-
-    The least of the shingle hashes under each mask is a min-hash: with random hashes the
-    nearest to a random point is a random shingle, and points far apart draw on their own.
-    """
-    size = F.size(F.split("line", " ", -1))
-    short = F.when(size < SHORT_WORDS, every_window(F.col("line"), shingle))
-    long = F.when(size >= LONG_WORDS, word_windows(F.col("line"), shingle))
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), short.alias("w")), F.struct(F.lit(1).alias("kind"), long.alias("w")))
-    each = lines.select(line_id(F.col("line")).alias("id"), F.explode(kinds).alias("k"))
-    each = each.select("id", "k.kind", F.explode("k.w").alias("w"))
-    each = each.select("id", "kind", F.hash("w").alias("h"))
-    mins = [
-        F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}")
-        for i, m in enumerate(_masks(hashes, seed))
-    ]
-    signed = each.groupBy("id", "kind").agg(*mins)
-    bands = [
-        F.xxhash64(F.col("kind"), F.lit(b), *[f"m{b + i}" for i in range(rows)])
-        for b in range(0, hashes, rows)
-    ]
-    return signed.select("id", F.explode(F.array(*bands)).alias("band"))
+    def verify(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            rows = list(zip(_decoded(batch.column("left")), _decoded(batch.column("right"))))
+            groups = grouped(rows, lambda x: CHAR_BYTES * (len(x[0]) + len(x[1])))
+            found = [alike([x for x, _ in g], [y for _, y in g], threshold, shingle) for g in groups]
+            if found:
+                near = batch.select(["a", "b"]).filter(pa.array(np.concatenate(found)))
+                if near.num_rows:
+                    yield near
 
-def _verified(pairs, lines, threshold, shingle):
-    """The pairs (a, b) whose lines have at least the threshold's Jaccard similarity."""
-    of = lambda node, line, n: lines.select(
-        F.col("id").alias(node), F.col("line").alias(line), F.col("windows").alias(n)
+    of = lambda node, line: lines.select(
+        F.col("id").alias(node), F.col("line").cast("binary").alias(line)
     )
-    both = pairs.join(of("a", "left", "m"), "a").join(of("b", "right", "n"), "b")
-    # sets of very different size can't be alike
-    both = both.where(F.least("m", "n") >= F.lit(threshold) * F.greatest("m", "n") - 1e-9)
-    hashed = lambda c: F.array_distinct(F.transform(every_window(F.col(c), shingle), lambda w: F.xxhash64(w)))
-    sets = both.select("a", "b", hashed("left").alias("x"), hashed("right").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    sets = sets.withColumn("shared", shared)
-    every = F.size("x") + F.size("y") - F.col("shared")
-    return sets.where(F.col("shared") >= F.lit(threshold) * every - 1e-9).select("a", "b")
+    both = pairs.join(of("a", "left"), "a").join(of("b", "right"), "b")
+    return both.select("a", "b", "left", "right").mapInArrow(verify, "a BIGINT, b BIGINT")
 
 
 def _rooted(bucketed, edges):
@@ -125,7 +160,8 @@ def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, ro
 
     ``lines`` has a column ``line``; ``root`` is the least id of a component.
     """
-    keyed = stage(band_keys(lines, shingle, hashes, rows), "line-bands")
+    signed = stage(band_keys(lines, shingle, hashes, rows), "line-bands")
+    keyed = signed.select("id", F.explode(F.array(*signed.columns[1:])).alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     bucketed = stage(keyed.join(shared.select("band"), "band"), "line-buckets")
     wanted = stage(bucketed.select("id").distinct(), "line-ids")
@@ -133,9 +169,7 @@ def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, ro
         wanted = F.broadcast(wanted)
     texts = lines.withColumn("id", line_id(F.col("line"))).join(wanted, "id", "left_semi")
     # equal lines are one
-    texts = texts.groupBy("id").agg(F.first("line").alias("line"))
-    count = F.size(F.array_distinct(every_window(F.col("line"), shingle)))
-    texts = stage(texts.withColumn("windows", count), "line-texts")
+    texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
     edges = None
     for turn in range(rounds):
         members = stage(_rooted(bucketed, edges), "line-members")
