@@ -253,6 +253,29 @@ def test_windows_are_hashed_as_they_are():
     assert near.tolist() == want
 
 
+def test_only_lines_of_other_components_are_paired(spark):
+    """A hot band in nearly one component makes as many rows as there are pairs across."""
+    members = [(1, i, 0) for i in range(400)] + [(1, 1000 + i, 1000 + i // 2) for i in range(4)]
+    members += [(2, i, 0) for i in range(200)] + [(3, 5, 5), (3, 1000, 1000)]
+    held = spark.createDataFrame(members, "band BIGINT, id BIGINT, root BIGINT")
+    want = {
+        (a, b) for (s, a, x), (t, b, y) in itertools.product(members, repeat=2) if s == t and x != y and a < b
+    }
+    found = lines._across(held)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    joins, plan = [], [found._jdf.queryExecution().executedPlan()]
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if "Join" in node.nodeName():
+            joins.append(node.metrics().apply("numOutputRows").value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    assert joins and max(joins) <= len(want) + 1
+
+
 def test_lines_take_null_ids_and_empty_tables(spark):
     assert len(lines.dedup_lines(frame(spark, odd())).collect()) == len(odd())
     assert lines.dedup_lines(frame(spark, [])).count() == 0

@@ -20,6 +20,8 @@ THRESHOLD = 0.8
 HASHES = 52
 ROWS = 4
 ROUNDS = 2
+#: Rounds go on while one finds more links than this share of the lines in bands.
+MORE_ROUNDS = 0.001
 #: Ids of candidate lines are broadcast up to so many; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Bytes that one character takes while its line is hashed.
@@ -154,6 +156,23 @@ def _rooted(bucketed, edges):
     return joined.withColumn("root", F.coalesce("root", "id"))
 
 
+def _across(members):
+    """The pairs (a, b) of lines of a band that lie in different components.
+
+    The components of a band are paired first, so that lines of one component never are.
+    """
+    roots = members.select("band", "root").distinct()
+    mixed = roots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    roots = stage(roots.join(mixed, "band", "left_semi"), "line-roots")
+    both = roots.select("band", F.col("root").alias("low")).join(
+        roots.select("band", F.col("root").alias("high")), "band"
+    )
+    both = both.where("low < high")
+    of = lambda root, node: members.select("band", F.col("root").alias(root), F.col("id").alias(node))
+    pairs = both.join(of("low", "x"), ["band", "low"]).join(of("high", "y"), ["band", "high"])
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, rows=ROWS,
                   rounds=ROUNDS):
     """(node, root): which distinct lines hang together, for those that hang with another.
@@ -170,23 +189,19 @@ def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, ro
     texts = lines.withColumn("id", line_id(F.col("line"))).join(wanted, "id", "left_semi")
     # equal lines are one
     texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
-    edges = None
-    for turn in range(rounds):
+    edges, turn, more = None, 0, True
+    while more:
         members = stage(_rooted(bucketed, edges), "line-members")
         drawn = F.min(F.struct(F.xxhash64("band", "id", F.lit(turn)).alias("h"), "id", "root"))
         heads = members.groupBy("band").agg(drawn.alias("head"))
         pairs = members.join(heads, "band").where("root <> head.root")
         pairs = pairs.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
-        found = _verified(pairs.distinct(), texts, threshold, shingle)
-        edges = stage(found if edges is None else edges.union(found), "line-links")
+        found = stage(_verified(pairs.distinct(), texts, threshold, shingle), "line-found")
+        edges = found if edges is None else edges.union(found)
+        turn += 1
+        more = turn < rounds or found.count() > MORE_ROUNDS * members.count()
     members = stage(_rooted(bucketed, edges), "line-members")
-    mixed = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("low <> high").select("band")
-    open_members = members.join(mixed, "band", "left_semi")
-    other = open_members.select("band", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = open_members.select("band", F.col("id").alias("a"), "root").join(other, "band")
-    pairs = pairs.where("a < b AND root <> root_b").select("a", "b").distinct()
-    found = _verified(pairs, texts, threshold, shingle)
+    found = _verified(_across(members), texts, threshold, shingle)
     return connected_components(stage(edges.union(found), "line-links"))
 
 
