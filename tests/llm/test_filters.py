@@ -127,6 +127,18 @@ def test_rules_tell_junk_from_clean_text(spark):
     assert sum(junk) / len(junk) < 0.5
 
 
+@pytest.mark.parametrize("least, most, junk_kept", [(20, 79, 0.5), (80, 10**9, 0.3)])
+def test_rules_tell_junk_in_each_band_of_lengths(spark, least, most, junk_kept):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    judged = rules.quality_rules(docs, carry=["doc_id"]).join(labels, "doc_id")
+    rows = judged.where(f"NOT base_failed AND n_words BETWEEN {least} AND {most}").collect()
+    clean = [r.kept for r in rows if r.quality == 1]
+    junk = [r.kept for r in rows if r.quality == 0]
+    assert sum(clean) / len(clean) > 0.98
+    assert sum(junk) / len(junk) < junk_kept, (sum(junk), len(junk))
+
+
 def test_classifier_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
