@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, forest, lattice, lines, mixing, rules, shards, substrings, warc
+from . import (
+    classifier, decontam, forest, lattice, lines, middle, mixing, phrases, rules, shards, simhash,
+    substrings, warc,
+)
 
 SHARDS = 24
 
@@ -88,6 +91,20 @@ def op10_source_mix(spark, folder):
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_secondary_sort_middle(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return middle.fill_in_middle(docs, with_text=False)[["doc_id", *middle.ADDED]]
+
+
+def op12_byte_index_simhash(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return simhash.simhash_components(docs)[["doc_id", "fingerprint", "component_id"]]
+
+
+def op13_quotient_filter_phrases(spark, folder):
+    return phrases.collocations(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_prefix_decontamination": op2_prefix_decontamination,
@@ -99,6 +116,9 @@ QUERIES = {
     "op8_warc_round_trip": op8_warc_round_trip,
     "op9_fuzzy_line_dedup": op9_fuzzy_line_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_secondary_sort_middle": op11_secondary_sort_middle,
+    "op12_byte_index_simhash": op12_byte_index_simhash,
+    "op13_quotient_filter_phrases": op13_quotient_filter_phrases,
 }
 
 ORACLES = {
@@ -215,4 +235,62 @@ ORACLES = {
           coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_secondary_sort_middle": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h,
+            regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+          FROM documents),
+        g AS (
+          SELECT *, len(u) AS n, list_transform(range(4), lambda i:
+            CAST(concat('0x', substr(h, 8 * i + 1, 8)) AS BIGINT)) AS k FROM d),
+        c AS (
+          SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS x, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS y,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+              OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+          FROM g),
+        p AS (
+          SELECT *, array_to_string(u[1:x], '') AS prefix, array_to_string(u[x + 1:y], '') AS middle,
+            array_to_string(u[y + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form,
+          CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+          CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN t
+            WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+            ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+          sha256(t) AS restored_sha256
+        FROM p""",
+    "op13_quotient_filter_phrases": r"""
+        WITH p AS (
+          SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+          FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents)),
+        g AS (
+          SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3
+          FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p)),
+        f1 AS (SELECT lang, w1, count(*) AS f FROM g GROUP BY ALL),
+        f2 AS (SELECT lang, w1, w2, count(*) AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+        longer AS (
+          SELECT lang, x, y, max(f) AS f
+          FROM (SELECT lang, w1 AS x, w2 AS y, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        cut AS (
+          SELECT c.lang, concat_ws(' ', c.w1, c.w2) AS phrase, c.f AS a, 1 AS j, x.f AS l, y.f AS r
+          FROM f2 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2
+          LEFT JOIN longer o ON o.lang = c.lang AND o.x = c.w1 AND o.y = c.w2
+          WHERE o.f IS NULL OR 100 * o.f < 50 * c.f
+          UNION ALL
+          SELECT c.lang, concat_ws(' ', c.w1, c.w2, c.w3), c.f, 1, x.f, y.f
+          FROM f3 c JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1
+          JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+          UNION ALL
+          SELECT c.lang, concat_ws(' ', c.w1, c.w2, c.w3), c.f, 2, x.f, y.f
+          FROM f3 c JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2
+          JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+        scored AS (SELECT *, (CAST(a AS HUGEINT) * a * 1000000) // (CAST(l AS HUGEINT) * r) AS score FROM cut),
+        kept AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+        SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        JOIN n USING (lang) WHERE rank <= 2000""",
 }
