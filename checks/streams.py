@@ -3,17 +3,19 @@
 from pyspark.sql import functions as F
 
 from vitrine import schemas
+from vitrine.operators.ratings import train_als
 from vitrine.operators.tagging import KeywordTagger
 from vitrine.operators.upsert import read_current
 from vitrine.session import ROCKSDB, run_dir
 from vitrine.sources.files import scan_interactions, stream_ratings
+from vitrine.sources.models import latest_model, save_model
 from vitrine.streaming import comments, enrichment, ratings, signups, tasks
 
 from .base import check, stamp
 from .catalog import TAGGED
 from .comments import ANSWERS, BASE, HANDLE, N
 from .interactions import DECODED, log_text, shown
-from .ratings import RATED, rated
+from .ratings import RATED, SOLVED, bought, part_factors, rated, rounded_factors
 
 
 def landed(df, name, kind="json"):
@@ -98,6 +100,37 @@ def rating_stream(t):
     )
 
 
+def model_of_parts(t):
+    """A stored model of rank 2 whose products are the parts, with their fixed factors."""
+    path = run_dir(t.spark, "model")
+    some = bought(t).limit(50)
+    save_model(t.spark, train_als(some, {"maxIter": 1, "rank": 2}), path, 1.0)
+    folder = latest_model(t.spark, path)["folder"]
+    floats = part_factors(t).withColumn("features", F.col("features").cast("array<float>"))
+    floats.write.mode("overwrite").parquet(f"{folder}/itemFactors")
+    return path
+
+
+@check("fold_in_stream", SOLVED)
+def fold_in_stream(t):
+    """Ratings in several batches, one of them twice, leave the factors that all give at once."""
+    model = model_of_parts(t)
+    store, sums, kept, recs, checkpoint = folders(t, "store", "sums", "factors", "recs", "checkpoint")
+    source = landed(bought(t).repartition(4, "product"), "ratings")
+    options = {"params": {"regParam": 0.1}, "n": 3}
+    query = ratings.run_fold_in_stream(
+        stream_ratings(t.spark, source, files_per_trigger=2), model, store, sums, kept, recs, checkpoint, once=True,
+        **options,
+    )
+    query.awaitTermination()
+    last = t.spark.read.parquet(store).agg(F.max("batch_id")).first()[0]
+    again = t.spark.read.parquet(f"{store}/batch_id={last}").persist()
+    again.count()
+    ratings.fold_in_batch(t.spark, model, store, sums, kept, recs, **options)(again, last)
+    again.unpersist()
+    return rounded_factors(read_current(t.spark, kept))
+
+
 @check("comment_stream", ANSWERS.replace(f"AND {N} % 4 <> 0", ""), "comments", "videos")
 def comment_stream(t):
     """Comments in arrival order over several batches; one reply each."""

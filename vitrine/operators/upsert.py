@@ -65,6 +65,17 @@ def read_current(spark, path):
     return None if last is None else _rows(spark, path, _newest(log, last)).drop("bucket")
 
 
+def read_keys(spark, path, wanted, keys):
+    """Rows of the table whose keys are among ``wanted``, from the buckets of those alone, or
+    None before the first write."""
+    log, last = _commits(spark, path)
+    if last is None:
+        return None
+    wanted = _with_bucket(wanted.select(*keys).distinct(), keys, last["buckets"])
+    touched = _newest(log, last).join(wanted.select("bucket").distinct(), "bucket", "left_semi")
+    return _rows(spark, path, touched).drop("bucket").join(wanted, keys, "left_semi")
+
+
 def write_upsert(spark, path, changes, keys, buckets=None, order=None):
     """Upsert ``changes`` into the table at ``path``; returns the version.
 

@@ -1,5 +1,6 @@
 """Interaction log to a versioned model and the recommendations of all users."""
 
+from ..operators.factors import top_items
 from ..operators.interactions import (
     fill_interaction_nulls,
     interactions_to_ratings,
@@ -9,7 +10,6 @@ from ..operators.ratings import (
     BATCH_PARAMS,
     flatten_recs,
     id_maps,
-    recommend_all,
     rmse_value,
     score,
     split_ratings,
@@ -21,17 +21,22 @@ from ..sources.models import load_ids, load_model, save_model
 from ..sources.versions import publish
 
 
+#: Part of the error by which a model must be better: sums in another order differ by less.
+LEAST_GAIN = 1e-9
+
+
 def champion_challenger(spark, model, ratings, path, ids=None):
     """Save the model if it beats the stored one on ``ratings``; returns both errors.
 
     Without a stored model the new one is saved. A model that predicts nothing is
-    not better. Ratings have their own ids; each model is asked by its own indices.
+    not better, nor is one whose error differs by no more than LEAST_GAIN of the stored
+    model's. Ratings have their own ids; each model is asked by its own indices.
     """
     champion = load_model(spark, path)
     known = None if champion is None else with_indices(ratings, load_ids(spark, path))
     old = None if champion is None else rmse_value(score(champion, known))
     new = rmse_value(score(model, with_indices(ratings, ids)))
-    better = new is not None and (old is None or new < old)
+    better = new is not None and (old is None or new < old * (1 - LEAST_GAIN))
     version = save_model(spark, model, path, new, ids) if better else None
     return {"old": old, "new": new, "version": version}
 
@@ -62,5 +67,6 @@ def recommendations_job(spark, path, out, n=20):
     model = load_model(spark, path)
     if model is None:
         return None
-    flat = flatten_recs(recommend_all(model, n))
+    recs, _ = top_items(model.userFactors, model.itemFactors, n)
+    flat = flatten_recs(recs)
     return publish(with_ids(flat, load_ids(spark, path)), out)
