@@ -210,6 +210,11 @@ class Tables:
         self.spark, self.folder = spark, folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
+    @property
+    def cores(self):
+        """Tasks that run at once: what heavy text steps are spread over."""
+        return self.spark.sparkContext.defaultParallelism
+
     def read(self, name):
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

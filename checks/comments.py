@@ -193,7 +193,7 @@ def match_keywords_documents(t):
         F.lit("x").alias("affiliate_link"),
     )
     texts = t.documents.select("doc_id", F.col("text").alias("comment_text"))
-    found = M.match_keywords(texts, videos, keys=["doc_id"])
+    found = M.match_keywords(texts, videos, keys=["doc_id"], partitions=t.cores)
     return found.select("doc_id", F.col("video.id").alias("word"))
 
 

@@ -8,6 +8,7 @@ from vitrine.dims.scenes import scene_rows
 from vitrine.functions import content as C
 from vitrine.functions import payload, urls
 from vitrine.operators import content as P
+from vitrine.operators.grouping import spread_rows
 from vitrine.operators.upsert import read_current
 from vitrine.plans import content_plan
 from vitrine.session import run_dir
@@ -97,7 +98,8 @@ def product_category(t):
     f"SELECT doc_id, {sql_category('source', 'text')} AS category FROM documents",
 )
 def product_category_documents(t):
-    return t.documents.select("doc_id", C.product_category("source", "text").alias("category"))
+    rows = spread_rows(t.documents, t.cores)
+    return rows.select("doc_id", C.product_category("source", "text").alias("category"))
 
 
 @check(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import news as N
 from vitrine.functions import payload
 from vitrine.operators import news as W
+from vitrine.operators.grouping import spread_rows
 from vitrine.session import run_dir
 from vitrine.sources.files import scan_rss
 
@@ -196,7 +197,7 @@ def match_selected_story(t):
 )
 def direct_story(t):
     rows = titled(t).drop("title").withColumnRenamed("headed", "title")
-    return W.direct_story(rows, BRAND, DEFAULT_IMAGE).drop("original_title", "rss_description")
+    return W.direct_story(rows, BRAND, DEFAULT_IMAGE, t.cores).drop("original_title", "rss_description")
 
 
 @check(
@@ -247,7 +248,8 @@ def headline(t):
     f"SELECT doc_id, array_to_string({sql_hashtags('text', 'caps')}, ' ') AS tags FROM c",
 )
 def hashtags(t):
-    return t.documents.select("doc_id", F.array_join(N.hashtags("text"), " ").alias("tags"))
+    rows = spread_rows(t.documents, t.cores)
+    return rows.select("doc_id", F.array_join(N.hashtags("text"), " ").alias("tags"))
 
 
 @check(

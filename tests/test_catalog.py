@@ -9,7 +9,8 @@ from vitrine import schemas
 from vitrine.operators import catalog as C
 from vitrine.operators import deals as D
 from vitrine.operators import images as G
-from vitrine.operators.tagging import KeywordTagger, patient, tag_products, tag_results
+from vitrine.operators.calls import pause
+from vitrine.operators.tagging import KeywordTagger, tag_products, tag_results
 from vitrine.plans.catalogue import catalogue_job, fetch_new_products
 from vitrine.operators.upsert import read_current
 from vitrine.session import run_dir
@@ -149,23 +150,8 @@ def test_tagger(spark):
 
 
 def test_failed_calls_are_repeated_with_growing_waits():
-    waits, turns = [], []
-
-    def call():
-        turns.append(1)
-        if len(turns) < 4:
-            raise OSError("busy")
-        return "ok"
-
-    assert patient(call, sleep=waits.append) == "ok" and waits == [2.0, 4.0, 8.0]
-    turns.clear()
-    with pytest.raises(OSError):
-        patient(call, tries=3, sleep=waits.append)
-    assert len(turns) == 3
-    waits.clear()
-    with pytest.raises(ZeroDivisionError):
-        patient(lambda: 1 / 0, tries=7, sleep=waits.append)
-    assert max(waits) == 30.0
+    assert [pause(turn) for turn in range(3)] == [2.0, 4.0, 8.0]
+    assert max(pause(turn) for turn in range(7)) == 30.0
 
 
 def test_image_headers():

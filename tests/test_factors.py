@@ -104,7 +104,7 @@ def test_fold_in_stream_follows_a_newly_trained_model(spark, tmp_path):
     options = {"params": {"regParam": 0.1}, "n": 3}
     handle = S.fold_in_batch(spark, *places, **options)
     _, all_ratings = rated(spark)
-    parts = [all_ratings.where(F.col("product") % 3 == i) for i in range(3)]
+    parts = [all_ratings.where((F.col("product") + F.col("user")) % 3 == i) for i in range(3)]
     handle(parts[0], 0)
     assert read_current(spark, places[3]) is None
     handle(parts[1], 1)

@@ -8,7 +8,7 @@ from ..functions.social import reply_channel, reply_text
 from ..functions.text import trim_controls
 from ..session import materialize
 from .feed import newest_first
-from .grouping import written_lookup, spread_lookup, top_in_group
+from .grouping import spread_lookup, spread_rows, top_in_group, written_lookup
 
 KEYS = ["comment_id", "platform"]
 # Fixed value: shorter item words never match.
@@ -68,7 +68,7 @@ def match_post(comments, videos):
     )
     eligible = (F.lower("platform") == "instagram") & (F.col("post_id") != "")
     keyed = comments.withColumn("_post", F.when(eligible, F.col("post_id")))
-    return spread_lookup(keyed, posted, ["_post"], spread_by=KEYS).drop("_post")
+    return spread_lookup(keyed, posted, ["_post"], spread_by=KEYS, salts=1).drop("_post")
 
 
 def item_words(videos):
@@ -86,7 +86,7 @@ def item_words(videos):
     return words.where(units >= MIN_WORD).groupBy("word").agg(_newest())
 
 
-def match_keywords(comments, videos, keys=KEYS):
+def match_keywords(comments, videos, keys=KEYS, partitions=None):
     """Newest video with an item word found anywhere in the comment text.
 
     Item words hold no white space, so each hit lies within one token of the comment.
@@ -94,7 +94,10 @@ def match_keywords(comments, videos, keys=KEYS):
     words by equality: every joined pair is a true hit, and no pair of a comment and
     a word that merely look alike is ever produced. The matched tokens are computed
     and measured first, so that the comments' tokens need no shuffle while they fit.
+    ``partitions`` deals the comments out to so many tasks first, for texts that come in
+    few large row groups.
     """
+    comments = spread_rows(comments.select(*keys, "comment_text"), partitions)
     words = materialize(item_words(videos), "words")
     size = F.length("word")
     lengths, longest = words.agg(F.sort_array(F.collect_set(size)), F.max(size)).first()

@@ -122,11 +122,16 @@ def voice_for(requests, voice_table=None, name="model_name"):
 def resume_state(requests, cache, inflight):
     """Adds cached image, storyboard and open task per scene of each (product, model).
 
-    A storyboard is reused only if it has one image per planned scene.
+    A storyboard is reused only if it has one image per planned scene. Of a scene's open
+    tasks the newest counts, of equal times the greatest id; tasks without a scene or id
+    are none that could be resumed.
     """
-    newest = F.max_by("task_id", "ts") if "ts" in inflight.columns else F.max("task_id")
+    newest = F.max("task_id")
+    if "ts" in inflight.columns:
+        newest = F.max(F.struct("ts", "task_id"))["task_id"]
     tasks = (
-        inflight.groupBy(*REQUEST, "scene")
+        inflight.where(F.col("scene").isNotNull() & F.col("task_id").isNotNull())
+        .groupBy(*REQUEST, "scene")
         .agg(newest.alias("task_id"))
         .groupBy(*REQUEST)
         .agg(F.map_from_entries(F.collect_list(F.struct("scene", "task_id"))).alias("open_tasks"))

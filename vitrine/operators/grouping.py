@@ -8,6 +8,15 @@ from ..session import materialize
 SALTS = 8
 
 
+def spread_rows(df, partitions):
+    """The rows dealt out to so many tasks, or as they come for None.
+
+    For heavy expressions on texts that few row groups hold: Spark reads a row group in
+    one task. The rows are shuffled once, so a caller asks for it where they are worth that.
+    """
+    return df if partitions is None else df.repartition(partitions)
+
+
 def top_in_group(df, keys, order, n=1):
     """First ``n`` rows of each group in the given order, all columns kept.
 

@@ -8,7 +8,7 @@ from ..functions import as_col, non_empty
 from ..functions import news as N
 from ..functions.payload import parse_news_result
 from ..functions.urls import join_urls
-from .grouping import top_in_group
+from .grouping import spread_rows, top_in_group
 
 # Candidates shown for choice, and images that make a gallery full.
 CANDIDATES = 15
@@ -98,8 +98,12 @@ def match_selected_story(selections, stories, default_image, n=CANDIDATES):
     )
 
 
-def direct_story(stories, brand_tag, default_image):
-    """Post texts straight from story rows, for when no editor's choice is at hand."""
+def direct_story(stories, brand_tag, default_image, partitions=None):
+    """Post texts straight from story rows, for when no editor's choice is at hand.
+
+    ``partitions`` deals the stories out to so many tasks before their texts are worked on.
+    """
+    stories = spread_rows(stories, partitions)
     head = N.headline("title")
     tags = N.hashtags(head)
     slides = N.slide_texts("description")
@@ -123,20 +127,25 @@ def first_image(images, group="article"):
     )
 
 
-def _merge_images(start, urls):
-    """Append urls whose image id is new, keeping order."""
-    empty = F.array().cast("array<string>")
-    initial = start if start is not None else F.struct(empty.alias("ids"), empty.alias("urls"))
-    entries = F.transform(urls, lambda u: F.struct(N.image_id(u).alias("id"), u.alias("url")))
+def _first_of_each(urls):
+    """Urls with an image id not seen before, in order.
 
-    def step(acc, e):
-        fresh = F.struct(
-            F.concat(acc["ids"], F.array(e["id"])).alias("ids"),
-            F.concat(acc["urls"], F.array(e["url"])).alias("urls"),
+    Sorted by id and place, so that a long list costs n log n: the first of each run of
+    equal ids stays. Urls without an id all stay.
+    """
+    entries = F.transform(
+        urls, lambda u, i: F.struct(N.image_id(u).alias("id"), i.alias("at"), u.alias("url"))
+    )
+
+    def firsts(rows):
+        return F.filter(
+            rows,
+            lambda e, i: (i == 0) | e["id"].isNull() | ~e["id"].eqNullSafe(F.get(rows, i - 1)["id"]),
         )
-        return F.when(F.array_contains(acc["ids"], e["id"]), acc).otherwise(fresh)
 
-    return F.aggregate(entries, initial, step)
+    # the sorted list is bound to a name, or it would be sorted again for each entry
+    kept = F.transform(F.array(F.array_sort(entries)), firsts)[0]
+    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["at"], e["url"]))), lambda e: e["url"])
 
 
 def gallery(articles, main, link, html, description, name="gallery"):
@@ -149,15 +158,13 @@ def gallery(articles, main, link, html, description, name="gallery"):
     own = F.concat(head, F.coalesce(photos, none))
     extra = F.coalesce(N.description_images(description), none)
     return (
-        articles.withColumn("_own", _merge_images(None, own))
+        articles.withColumn("_own", _first_of_each(own))
         .withColumn(
             "_all",
-            F.when(F.size("_own.urls") < ENOUGH_IMAGES, _merge_images(F.col("_own"), extra))
+            F.when(F.size("_own") < ENOUGH_IMAGES, _first_of_each(F.concat("_own", extra)))
             .otherwise(F.col("_own")),
         )
-        .withColumn(
-            name, F.array_distinct(F.filter("_all.urls", lambda u: u.startswith("http")))
-        )
+        .withColumn(name, F.array_distinct(F.filter("_all", lambda u: u.startswith("http"))))
         .drop("_own", "_all")
     )
 

@@ -161,7 +161,7 @@ def seeded_ratings(pairs, ratings, seeds):
     seed = seeds.groupBy("user").agg(F.max("rating").alias("_seed"))
     given = pairs.join(known, ["user", "product"], "left")
     return (
-        spread_lookup(given, seed, ["user"])
+        spread_lookup(given, seed, ["user"], salts=1)
         .withColumn("rating", F.coalesce("_given", "_seed"))
         .where(F.col("rating").isNotNull())
         .select("user", "product", "rating")

@@ -1,6 +1,6 @@
 """Product tagging through an injected client, one per partition."""
 
-import time
+import itertools
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..dims.texts import CATEGORY_WORDS, DEFAULT_CATEGORY
 from ..functions.urls import proxy_image_url
+from .calls import DEADLINE, FIRST_WAIT, TRIES, WIDTH, windowed
 
 
 class KeywordTagger:
@@ -33,52 +34,41 @@ class KeywordTagger:
         }
 
 
-# Calls per product, and seconds to wait between them at least and at most.
-TRIES = 5
-FIRST_WAIT, LONGEST_WAIT = 2.0, 30.0
+#: Results that a task hands on together.
+GATHERED = 256
 
 
-def patient(call, tries=TRIES, first=FIRST_WAIT, longest=LONGEST_WAIT, sleep=time.sleep):
-    """The call's result, after up to ``tries`` tries with doubling waits between them."""
-    for turn in range(tries):
-        try:
-            return call()
-        except Exception:
-            if turn + 1 == tries:
-                raise
-            sleep(min(longest, first * 2**turn))
+def _frame(found):
+    """Results of calls as the rows of ``tag_results``."""
+    errors = [None if e is None else f"{type(e).__name__}: {e}" for _, _, e in found]
+    return pd.DataFrame(
+        {
+            "id": pd.Series([item[0] for item, _, _ in found], dtype="int64"),
+            "tags": pd.Series([tags for _, tags, _ in found], dtype="object"),
+            "error": pd.Series(errors, dtype="object"),
+        }
+    )
 
 
-def tag_results(products, client_factory, image_base, tries=TRIES, first=FIRST_WAIT):
+def tag_results(products, client_factory, image_base, tries=TRIES, first=FIRST_WAIT, width=WIDTH,
+                deadline=DEADLINE):
     """(id, tags, error) from a client's ``tag(image_url, description)``.
 
-    Products without a thumbnail or text are not sent. A failed call is repeated; one that
-    fails to the end gives a row with the error and without tags. The client is made once
-    per partition.
+    Products without a thumbnail or text are not sent. The client is made once per
+    partition and has up to ``width`` calls to answer at once, each within ``deadline``
+    seconds (``windowed``). A failed call is repeated; one that fails to the end gives a
+    row with the error and without tags. Rows come in the order of the answers.
     """
 
     def run(batches):
         client = client_factory()
-        for batch in batches:
-            ids, tags, errors = [], [], []
-            for row_id, url, text in zip(
-                batch["id"], batch["image_url"], batch["description"], strict=True
-            ):
-                ids.append(row_id)
-                try:
-                    found = patient(lambda u=url, t=text: client.tag(u, t), tries, first)
-                    tags.append(found)
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001 - one failed call must not end the job
-                    tags.append(None)
-                    errors.append(f"{type(error).__name__}: {error}")
-            yield pd.DataFrame(
-                {
-                    "id": pd.Series(ids, dtype="int64"),
-                    "tags": pd.Series(tags, dtype="object"),
-                    "error": pd.Series(errors, dtype="object"),
-                }
-            )
+        items = (
+            item for batch in batches
+            for item in zip(batch["id"], batch["image_url"], batch["description"], strict=True)
+        )
+        answers = windowed(items, lambda i: client.tag(i[1], i[2]), width, deadline, tries, first)
+        while found := list(itertools.islice(answers, GATHERED)):
+            yield _frame(found)
 
     sent = products.where(
         F.col("thumbnail").isNotNull() & F.col("product_details").isNotNull()

@@ -22,9 +22,15 @@ def upsert(target, changes, keys):
 
 
 def latest_changes(changes, keys, order):
-    """One row per key: the last in the given order, ties going to the largest row as text."""
-    text = F.to_json(F.struct(*[F.col(c) for c in changes.columns]))
-    return top_in_group(changes, keys, [*[F.desc(c) for c in order], F.desc(text)])
+    """One row per key: the last in the given order, ties going to the largest row.
+
+    Rows compare column by column as they stand; only columns that hold maps, which have
+    no order, compare as text.
+    """
+    mapped = {f.name for f in changes.schema if "map<" in f.dataType.simpleString()}
+    row = F.struct(*[F.to_json(c).alias(c) if c in mapped else F.col(c) for c in changes.columns if c not in keys])
+    ties = [F.desc(row)] if len(changes.columns) > len(keys) else []
+    return top_in_group(changes, keys, [*[F.desc(c) for c in order], *ties])
 
 
 def _with_bucket(df, keys, buckets):
