@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from vitrine.dims.texts import INSTAGRAM_REPLIES, LINK_REPLIES
 from vitrine.functions import social
 from vitrine.operators import comments as M
+from vitrine.operators.links import KeptLinks, update_links
+from vitrine.operators.membership import build_filter, might_contain
 from vitrine.plans.replies import answer_comments
+from vitrine.session import run_dir
 
 from .base import check, sql_draw, sql_list, sql_stamp, stamp
 
@@ -301,6 +304,34 @@ def answers(t):
     return rows.drop("replied_at").withColumn("received_at", stamp("received_at"))
 
 
+@check("answer_comments_indexed", ANSWERS, "comments", "videos")
+def answers_indexed(t):
+    """The same answers from an index of the videos that was kept as they came, in two parts."""
+    index = run_dir(t.spark, "links")
+    second = F.col("published").isNull() | F.col("published")
+    for part in (t.videos.where(~second), t.videos.where(second)):
+        update_links(t.spark, index, part, M.MIN_WORD)
+    n = F.split("comment_id", "-")[0].cast("bigint")
+    history = t.comments.where(n % 4 == 0)
+    rows = answer_comments(t.comments, KeptLinks(t.spark, index), history, HANDLE, BASE)
+    return rows.drop("replied_at").withColumn("received_at", stamp("received_at"))
+
+
+@check(
+    "likely_comments",
+    f"SELECT platform, count(*) AS stored, true AS few_others FROM comments WHERE {N} % 4 = 0 GROUP BY 1",
+    "comments",
+)
+def likely_comments(t):
+    """A filter of stored keys finds every stored comment and few others."""
+    stored = F.split("comment_id", "-")[0].cast("bigint") % 4 == 0
+    filters = build_filter(t.comments.where(stored), M.KEYS, 32)
+    likely = might_contain(t.comments.withColumn("_stored", stored), M.KEYS, filters, 32)
+    return likely.groupBy("platform").agg(
+        F.count_if("_stored").alias("stored"), (F.count_if(~F.col("_stored")) <= F.count("*") * 0.1).alias("few_others")
+    )
+
+
 @check(
     "comment_row",
     f"""

@@ -9,6 +9,7 @@ from ..functions.text import trim_controls
 from ..session import materialize
 from .feed import newest_first
 from .grouping import spread_lookup, spread_rows, top_in_group, written_lookup
+from .links import AllVideos, KeptLinks, link_of, newest_video
 
 KEYS = ["comment_id", "platform"]
 # Fixed value: shorter item words never match.
@@ -49,43 +50,26 @@ def drop_seen_comments(comments, history, order=("received_at",)):
     return fresh.join(seen, same[0] & same[1], "left_anti")
 
 
-def _newest():
-    """The newest video wins; ids settle equal times, unknown times come last."""
-    return F.max(F.struct("created_at", "id", "affiliate_link")).alias("video")
+def _source(videos):
+    """Where links come from: the given index, or the given table of videos."""
+    return videos if isinstance(videos, KeptLinks) else AllVideos(videos, MIN_WORD)
 
 
 def match_post(comments, videos):
     """Adds ``post_link``: the link of the video posted under the comment's post id.
 
-    Instagram only; an empty link does not count.
+    Instagram only; an empty link does not count. ``videos`` is a table or a ``KeptLinks``.
     """
+    eligible = (F.lower("platform") == "instagram") & (F.col("post_id") != "")
     posted = (
-        videos.where(F.col("instagram_post_id").isNotNull())
-        .groupBy(F.col("instagram_post_id").alias("_post"))
-        .agg(_newest())
-        .select("_post", non_empty("video.affiliate_link").alias("post_link"))
+        _source(videos).posts(comments.where(eligible))
+        .select(F.col("post").alias("_post"), link_of("video").alias("post_link"))
         .where(F.col("post_link").isNotNull())
-    )
-    eligible = (F.lower("platform") == "instagram") & (F.col("post_id") != "")
+    )
     keyed = comments.withColumn("_post", F.when(eligible, F.col("post_id")))
     return spread_lookup(keyed, posted, ["_post"], spread_by=KEYS, salts=1).drop("_post")
 
 
-def item_words(videos):
-    """Every usable item word with its newest video.
-
-    Length counts UTF-16 units, so that two emoji make a usable word.
-    """
-    words = videos.where(F.col("item_name").isNotNull()).select(
-        F.explode_outer(F.array_distinct(F.split(F.lower("item_name"), r"\s+"))).alias("word"),
-        "created_at",
-        "id",
-        "affiliate_link",
-    )
-    units = F.octet_length(F.encode("word", "UTF-16BE")) / 2
-    return words.where(units >= MIN_WORD).groupBy("word").agg(_newest())
-
-
 def match_keywords(comments, videos, keys=KEYS, partitions=None):
     """Newest video with an item word found anywhere in the comment text.
 
@@ -95,13 +79,12 @@ def match_keywords(comments, videos, keys=KEYS, partitions=None):
     a word that merely look alike is ever produced. The matched tokens are computed
     and measured first, so that the comments' tokens need no shuffle while they fit.
     ``partitions`` deals the comments out to so many tasks first, for texts that come in
-    few large row groups.
+    few large row groups. ``videos`` is a table or a ``KeptLinks``.
     """
     comments = spread_rows(comments.select(*keys, "comment_text"), partitions)
-    words = materialize(item_words(videos), "words")
-    size = F.length("word")
-    lengths, longest = words.agg(F.sort_array(F.collect_set(size)), F.max(size)).first()
-    window = F.lit((longest or 0) + WINDOW_STEP - 1)
+    source = _source(videos)
+    lengths = sorted(source.lengths())
+    window = F.lit(max(lengths, default=0) + WINDOW_STEP - 1)
     token = F.col("token")
 
     tokens = F.array_distinct(F.split(F.lower("comment_text"), r"\s+"))
@@ -131,7 +114,7 @@ def match_keywords(comments, videos, keys=KEYS, partitions=None):
         )
         .select("token", F.substr("token", F.col("at"), F.col("n")).alias("word"))
     )
-    found = spread_lookup(pieces, words, ["word"], how="inner")
+    found = spread_lookup(pieces, source.words(pieces), ["word"], how="inner")
     by_token = found.groupBy("token").agg(F.max("video").alias("video"))
     hits = written_lookup(pairs, by_token, ["token"], how="inner", spread_by=keys)
     return hits.groupBy(*keys).agg(F.max("video").alias("video"))
@@ -139,22 +122,12 @@ def match_keywords(comments, videos, keys=KEYS, partitions=None):
 
 def best_video(matches, keys=KEYS):
     """Newest video of each comment's candidate matches."""
-    return matches.groupBy(*keys).agg(_newest()).select(*keys, "video.*")
-
-
-def latest_link(videos, base_url):
-    """Scalar column: the newest video's link, or the base url when there is no video."""
-    newest = videos.agg(_newest()).select(
-        F.when(F.col("video").isNull(), F.lit(base_url))
-        .otherwise(F.col("video.affiliate_link"))
-        .alias("link")
-    )
-    return newest.scalar()
+    return matches.groupBy(*keys).agg(newest_video()).select(*keys, "video.*")
 
 
 def fallback_latest(comments, videos, base_url):
     """Adds ``fallback_link``, the same for every comment."""
-    return comments.withColumn("fallback_link", latest_link(videos, base_url))
+    return comments.withColumn("fallback_link", _source(videos).newest(base_url))
 
 
 def choose_links(comments, videos, base_url, keys=KEYS):

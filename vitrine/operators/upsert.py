@@ -72,14 +72,20 @@ def read_current(spark, path):
 
 
 def read_keys(spark, path, wanted, keys):
-    """Rows of the table whose keys are among ``wanted``, from the buckets of those alone, or
-    None before the first write."""
+    """Rows of the table whose keys are among ``wanted``, or None before the first write.
+
+    Only the folders of those keys' buckets are opened; they are listed, at most one a bucket.
+    """
     log, last = _commits(spark, path)
     if last is None:
         return None
     wanted = _with_bucket(wanted.select(*keys).distinct(), keys, last["buckets"])
     touched = _newest(log, last).join(wanted.select("bucket").distinct(), "bucket", "left_semi")
-    return _rows(spark, path, touched).drop("bucket").join(wanted, keys, "left_semi")
+    folders = [f"{path}/rows/version={r.version}/bucket={r.bucket}" for r in touched.collect()]
+    if not folders:
+        return spark.createDataFrame([], spark.read.parquet(f"{path}/rows").drop("bucket", "version").schema)
+    rows = spark.read.parquet(*folders)
+    return rows.join(wanted.select(*keys), keys, "left_semi")
 
 
 def write_upsert(spark, path, changes, keys, buckets=None, order=None):
