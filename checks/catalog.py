@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import text as X
 from vitrine.functions.urls import proxy_image_url
 from vitrine.operators import catalog as C
+from vitrine.operators import chains as H
 from vitrine.operators import deals as D
 from vitrine.plans.catalogue import catalogue_job, deals_job, fetch_new_products
 from vitrine.operators.upsert import read_current
@@ -494,3 +495,47 @@ def write_tags(t):
     store(t.spark, tags.where(F.col("id") % 2 == 0), path)
     store(t.spark, tags, path)
     return read_current(t.spark, path).select("id", "tags.category", "tags.color")
+
+
+# order lines as pages that name the next line of their order; returned ones are missing
+PAGES = """
+    SELECT concat(l_orderkey, '-', l_linenumber) AS url,
+      CASE WHEN l_linenumber < last THEN concat(l_orderkey, '-', l_linenumber + 1) END AS following,
+      l_orderkey, l_linenumber
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R')
+    JOIN (SELECT l_orderkey AS k, max(l_linenumber) AS last FROM lineitem GROUP BY 1) ON k = l_orderkey"""
+ISLANDS = f"""
+    p AS ({PAGES}),
+    i AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS island FROM p),
+    c AS (SELECT *, min(l_linenumber) OVER (PARTITION BY l_orderkey, island) AS first FROM i)"""
+
+
+def order_pages(t):
+    return t.sql(PAGES)
+
+
+@check(
+    "chain_places",
+    f"""
+    WITH {ISLANDS}
+    SELECT url, concat(l_orderkey, '-', first) AS head, CAST(l_linenumber - first AS BIGINT) AS place FROM c""",
+)
+def chain_places(t):
+    """Place of every page in its chain, by links alone."""
+    found = H.chain_places(order_pages(t), "url", "following")
+    return found.select(F.col("node").alias("url"), "head", "place")
+
+
+@check(
+    "chain_report",
+    f"""
+    WITH {ISLANDS}
+    SELECT concat(l_orderkey, '-', first) AS head, count(*) AS pages, CAST(count(*) AS BIGINT) AS repeats,
+      arg_max(url, l_linenumber) AS last,
+      CASE WHEN arg_max(coalesce(following, ''), l_linenumber) = '' THEN 'end' ELSE 'gap' END AS ends
+    FROM c GROUP BY l_orderkey, first""",
+)
+def chain_report(t):
+    """Chains with their lengths and how they end; every page is read twice."""
+    pages = order_pages(t)
+    return H.chain_report(H.chain_places(pages.unionByName(pages), "url", "following"))

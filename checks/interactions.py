@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import scoring
 from vitrine.operators import interactions as I
+from vitrine.operators import popularity as Q
 from vitrine.session import run_dir
 from vitrine.sources.files import scan_interactions
 
@@ -150,6 +151,29 @@ def popularity_scores_valid(t):
     return rounded(I.popularity_scores(t.interactions, AS_OF, drop_invalid=True))
 
 
+INSTANTS = ["2024-01-31 00:00:00", "2024-01-17 13:37:11", "2024-03-05 06:00:00"]
+
+
+def sql_at(instant):
+    sums = SUMS.removeprefix("s AS (").removesuffix(")").replace(AS_OF, instant)
+    return f"""SELECT '{instant}' AS as_of, productId, round(p, 6) AS popularity_score,
+      round({NORMAL}, 6) AS popularity_score_normal
+      FROM ({sums}) CROSS JOIN (SELECT min(p) AS lo, max(p) AS hi FROM ({sums}))"""
+
+
+@check("popularity_at", " UNION ALL ".join(map(sql_at, INSTANTS)), "interactions")
+def popularity_at(t):
+    """Scores at three instants from the same hourly partials, stored in three batches."""
+    path = run_dir(t.spark, "popularity")
+    third = F.pmod(F.xxhash64("id"), F.lit(3))
+    for batch in (0, 1, 2, 1):  # one of them twice
+        Q.add_interactions(t.interactions.where(third == batch), path, batch)
+    parts = [
+        rounded(Q.popularity_at(t.spark, path, instant)).withColumn("as_of", F.lit(instant)) for instant in INSTANTS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def rounded(scores):
     return scores.select(
         "productId",

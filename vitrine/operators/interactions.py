@@ -48,7 +48,11 @@ def minmax(df, column):
 def popularity_scores(interactions, as_of, score_map=None, drop_invalid=False):
     """Raw popularity and its min-max scaling; 1.0 everywhere when all are equal."""
     source = valid_interactions(interactions) if drop_invalid else interactions
-    raw = popularity_raw(source, as_of, score_map)
+    return scaled(popularity_raw(source, as_of, score_map))
+
+
+def scaled(raw):
+    """Adds the min-max scaling of the popularity; 1.0 everywhere when all are equal."""
     bounds = minmax(raw, "popularity_score").select(F.struct("lo", "hi").alias("b")).scalar()
     score, lo, hi = F.col("popularity_score"), F.col("_b.lo"), F.col("_b.hi")
     scaled = F.when(hi == lo, F.lit(1.0)).otherwise((score - lo) / F.nullif(hi - lo, F.lit(0.0)))
