@@ -57,6 +57,44 @@ def test_task_state(spark, tmp_path):
     assert [r.task_id for r in tasks.open_tasks(events).collect()] == ["task_vton_123"]
 
 
+def test_task_state_goes_by_event_time(spark, tmp_path):
+    """Open tasks are given up and finishes forgotten once the watermark has passed them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    source, out, checkpoint = tmp_path / "events", run_dir(spark, "out"), run_dir(spark, "checkpoint")
+
+    def run():
+        stream = spark.readStream.schema(schemas.TASK_EVENT).json(str(source))
+        tracked = tasks.track_tasks(stream, shards=2, keep_ms=20_000, late="5 seconds")
+        query = (
+            tracked.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(out)
+        )
+        assert query.awaitTermination(120)
+        state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        return {(r.product_id, r.scene, r.task_id, r.open) for r in spark.read.parquet(out).collect()}, state[-1]
+
+    write(source, "1.json", [
+        event("a", "m", "s1", "t1", "started", 1), event("b", "m", "s1", "t2", "started", 2),
+        event("b", None, None, None, "finished", 4),
+    ])
+    opened = {("a", "s1", "t1", True)}
+    rows, state = run()
+    assert rows == opened and state > 0
+    # within the watermark a late start is still told to be over
+    write(source, "2.json", [event("b", "m", "s2", "t3", "started", 3), event("a", "m", "s2", "t4", "started", 8)])
+    opened |= {("a", "s2", "t4", True)}
+    assert run()[0] == opened
+    write(source, "3.json", [event("c", None, None, None, "finished", 50)])
+    rows, state = run()
+    assert rows == opened | {("a", "s1", "t1", False), ("a", "s2", "t4", False)}
+    write(source, "4.json", [{**event("d", None, None, None, "finished", 0), "ts": "2024-01-01T00:05:00Z"}])
+    write(source, "5.json", [{**event("d", None, None, None, "finished", 0), "ts": "2024-01-01T00:04:00Z"}])
+    rows, last = run()
+    assert rows == opened | {("a", "s1", "t1", False), ("a", "s2", "t4", False)}
+    # both times only the newest finish is left: a, b and later c are gone
+    assert last == state
+
+
 def test_comment_stream_is_repeatable(spark, tmp_path):
     source = tmp_path / "hooks"
 

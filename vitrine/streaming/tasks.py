@@ -16,13 +16,17 @@ class TaskTracker(StatefulProcessor):
     """Keeps (model, scene) -> task; a finished run clears its product.
 
     Event times decide, so frames are taken one by one in any order: a start counts if
-    it is later than the last finish and than the scene's stored start.
+    it is later than the last finish and than the scene's stored start. With ``keep_ms`` a
+    timer in event time closes a task that is still open so long after its start, and
+    drops a finish once the watermark has passed it: what it could still close is late by
+    then, and dropped before it comes here.
     """
 
-    def __init__(self, ttl_ms=None):
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms=None, keep_ms=None):
+        self.ttl_ms, self.keep_ms = ttl_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.tasks = handle.getMapState(
             "tasks",
             "model_id STRING, scene STRING",
@@ -57,6 +61,8 @@ class TaskTracker(StatefulProcessor):
             if last_finish > finished:
                 finished = last_finish
                 out += self._finish(finished)
+                if self.keep_ms is not None:
+                    self.handle.registerTimer(finished // 1000 + 1)
             for scene, (at, task) in newest.items():
                 if at <= finished:
                     continue
@@ -64,9 +70,28 @@ class TaskTracker(StatefulProcessor):
                 if stored is None or (stored[1], stored[0]) < (at, task):
                     self.tasks.updateValue(scene, (task, at))
                     out.append((*scene, task, at, True))
-            result = pd.DataFrame(out, columns=["model_id", "scene", "task_id", "at", "open"])
-            result.insert(0, "product_id", key[0])
-            yield result.astype({"at": "int64", "open": "bool"})
+                    if self.keep_ms is not None:
+                        self.handle.registerTimer(at // 1000 + self.keep_ms + 1)
+            yield self._changes(key, out)
+
+    @staticmethod
+    def _changes(key, rows):
+        result = pd.DataFrame(rows, columns=["model_id", "scene", "task_id", "at", "open"])
+        result.insert(0, "product_id", key[0])
+        return result.astype({"at": "int64", "open": "bool"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        finish = self.finished.get()
+        if finish is not None and finish[0] // 1000 < passed:
+            self.finished.clear()
+        out = []
+        for (model, scene), (task, started) in list(self.tasks.iterator()):
+            if started // 1000 + self.keep_ms < passed:
+                self.tasks.removeKey((model, scene))
+                out.append((model, scene, task, started, False))
+        if out:
+            yield self._changes(key, out)
 
     def close(self) -> None:
         pass
@@ -83,22 +108,29 @@ def sharded(events, shards=SHARDS):
     return events.withColumn("shard", F.explode(targets))
 
 
-def track_tasks(events, ttl_ms=None, shards=SHARDS):
+def track_tasks(events, ttl_ms=None, shards=SHARDS, keep_ms=None, late="10 minutes"):
     """Stream of task changes; ``open`` tells started from cleared tasks.
 
-    Without a change for ``ttl_ms`` a product's state goes, so give it to a stream that
-    never ends. It needs processing time, by which a run over what is available now would
-    not end; None keeps the state.
+    State must not grow for ever. With ``keep_ms`` it goes by event time: a task still open so
+    long after its start is given up (``open`` false), and a finish goes once the watermark,
+    ``late`` behind the newest event, has passed it. Events older than the watermark are
+    dropped. A run over what is available now ends and leaves only what is still due.
+    ``ttl_ms`` lets a product's state go by processing time instead, by which such a run
+    would not end. With neither, state stays.
+
+    ``shards`` is how many tasks may track one product: about the events of the busiest
+    product in a batch over those that one task should take.
     """
-    timed = events.withColumn("at", F.unix_micros("ts")).drop("ts")
+    if ttl_ms and keep_ms is not None:
+        raise ValueError("state goes by event time or by processing time, not both")
+    timed = events.withColumn("at", F.unix_micros("ts"))
+    timed = timed.drop("ts") if keep_ms is None else timed.withWatermark("ts", late)
+    mode = "ProcessingTime" if ttl_ms else "None" if keep_ms is None else "EventTime"
     return (
         sharded(timed, shards)
         .groupBy("product_id", "shard")
         .transformWithStateInPandas(
-            TaskTracker(ttl_ms),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="ProcessingTime" if ttl_ms else "None",
+            TaskTracker(ttl_ms, keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode=mode
         )
     )
 
