@@ -124,12 +124,16 @@ def _packed(docs, buckets, window):
                 order = ranks(hashes, end - first)
                 begin, count, rank = stretches(order, text, window)
                 of_text = np.searchsorted(text, np.arange(len(data)))
-                words = [w for t in data for w in t.split()]
+                joined = b" ".join([w for t in data for w in t.split()])
+                edge = np.concatenate([[0], np.cumsum(end - first + 1)])
                 owner = text[begin]
-                rows = zip(begin.tolist(), count.tolist(), rank.tolist(), owner.tolist(), (begin - of_text[owner]).tolist())
-                for b, c, r, o, start in rows:
+                rows = zip(
+                    edge[begin].tolist(), (edge[begin + count + window - 1] - 1).tolist(), rank.tolist(),
+                    owner.tolist(), (begin - of_text[owner]).tolist(),
+                )
+                for b, e, r, o, start in rows:
                     at = group[o][0]
-                    outbox.add(r, b" ".join(words[b : b + c + window - 1]), ids[at], keys[at], start)
+                    outbox.add(r, joined[b:e], ids[at], keys[at], start)
                 if outbox.size >= HELD_BYTES:
                     yield send(outbox.flush())
         if outbox.held:
@@ -139,24 +143,35 @@ def _packed(docs, buckets, window):
 
 
 def repeated(strings, counts, docs, keys, starts, window):
-    """(doc, key, start) of each window in the given super-k-mers of one minimiser whose
-    words also start in a document with a smaller id."""
-    least = {}
-    at, items = 0, []
-    for string, count in zip(strings, counts):
+    """(docs, keys, starts) of each window in the given super-k-mers of one minimiser whose
+    words also start in a document with a smaller id.
+
+    Strings that several blobs hold are opened once, with all their places.
+    """
+    ends = np.cumsum(counts)
+    rows = {}
+    for i, string in enumerate(strings):
+        rows.setdefault(string, []).append(i)
+    items, least = [], {}
+    for string, own in rows.items():
+        place = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in own])
+        low = docs[place].min()
+        if len(rows) == 1:
+            items.append((np.full(string.count(b" ") + 2 - window, low), place))
+            break
         words = string.split(b" ")
         windows = [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
-        low = docs[at : at + count].min()
         for w in windows:
-            if least.get(w, ID_MAX) > low or w not in least:
+            if least.get(w, low) >= low:
                 least[w] = low
-        items.append((windows, at, at + count))
-        at += count
-    for windows, a, b in items:
-        first = np.array([least[w] for w in windows])
-        for i in range(a, b):
-            for j in np.flatnonzero(first < docs[i]):
-                yield docs[i], keys[i], starts[i] + j
+        items.append((windows, place))
+    out = []
+    for windows, place in items:
+        first = windows if len(rows) == 1 else np.fromiter(map(least.__getitem__, windows), np.int64, len(windows))
+        at, offset = np.nonzero(docs[place][:, None] > first[None, :])
+        at = place[at]
+        out.append((docs[at], keys[at], starts[at] + offset))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _hits(blobs, window):
@@ -177,23 +192,26 @@ def _hits(blobs, window):
         low = np.minimum.reduceat(np.minimum.reduceat(docs, bounds[:-1])[order], edges)
         high = np.maximum.reduceat(np.maximum.reduceat(docs, bounds[:-1])[order], edges)
         ends = np.append(edges[1:], len(order))
-        found = {}
+        found = []
         for g in np.flatnonzero(low != high):
             rows = order[edges[g] : ends[g]]
             place = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
-            for doc, key, start in repeated(
-                [strings[r] for r in rows], counts[rows], docs[place], keys[place], starts[place], window
-            ):
-                found.setdefault((int(doc), int(key)), []).append(int(start))
+            found.append(repeated([strings[r] for r in rows], counts[rows], docs[place], keys[place], starts[place], window))
         if not found:
             return None
+        docs, keys, starts = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((keys, docs))
+        docs, keys, starts = docs[order], keys[order], starts[order]
+        new = np.ones(len(docs), bool)
+        new[1:] = (np.diff(docs) != 0) | (np.diff(keys) != 0)
+        first = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.append(first, len(docs)), pa.int32()), pa.array(starts, pa.int32())
+        )
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()),
-                pa.array(list(found.values()), pa.list_(pa.int32())),
-            ],
+            [pa.array(docs[first], pa.int64()), pa.array(keys[first], pa.int64()), lists],
             names=["doc_id", "text_key", "starts"],
-        )
+        )
 
     def search(batches):
         held, bucket = [], None
