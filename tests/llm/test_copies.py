@@ -299,3 +299,36 @@ def test_components(spark):
     assert {(r.node, r.root) for r in found.collect()} == {(n, least[union.find(n)]) for n in nodes}
     none = components.connected_components(spark.createDataFrame([], "a BIGINT, b BIGINT"))
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_windows_are_told_apart_by_their_bytes(monkeypatch, collide):
+    """Random packed strings against a dictionary of windows, also if all hashes are equal."""
+    if collide:
+        windows_of = substrings.windows_of
+
+        def equal(strings, window):
+            text, first, end, hashes = windows_of(strings, window)
+            return text, first, end, hashes * np.uint64(0)
+
+        monkeypatch.setattr(substrings, "windows_of", equal)
+    rng = random.Random(1)
+    for _ in range(60):
+        strings = [b" ".join(rng.choice([b"a", b"bb", b"c"]) for _ in range(rng.randint(3, 6))) for _ in range(rng.randint(1, 8))]
+        counts = np.array([rng.randint(1, 3) for _ in strings])
+        docs = np.array([rng.randint(1, 6) for _ in range(counts.sum())])
+        keys, starts = docs * 10, np.arange(len(docs)) * 100
+        own = [s.split() for s, c in zip(strings, counts) for _ in range(c)]
+        least = {}
+        for words, doc in zip(own, docs.tolist()):
+            for i in range(len(words) - 2):
+                w = tuple(words[i : i + 3])
+                least[w] = min(least.get(w, doc), doc)
+        want = sorted(
+            (d, k, at + i)
+            for words, d, k, at in zip(own, docs.tolist(), keys.tolist(), starts.tolist())
+            for i in range(len(words) - 2)
+            if least[tuple(words[i : i + 3])] < d
+        )
+        got = substrings.repeated(strings, counts, docs, keys, starts, 3)
+        assert sorted(zip(*(x.tolist() for x in got))) == want

@@ -13,13 +13,15 @@ import zstandard
 from pyspark.sql import functions as F
 
 from .common import packed, stage, text_key
-from .hashing import grouped, mix, word_hashes
+from .hashing import gram_hashes, grouped, mix, word_hashes
 
 WINDOW = 13
 #: Bytes of packed strings that a task holds before it sends them to their buckets.
 HELD_BYTES = 24 * 2**20
 #: Buckets per shuffle partition.
 BUCKETS = 4
+#: Places of packed strings that are compared with their windows at once.
+PLACES = 2**17
 LONGEST = 31
 ID_MAX = np.iinfo(np.int64).max
 
@@ -142,35 +144,66 @@ def _packed(docs, buckets, window):
     return docs.mapInArrow(pack, "bucket INT, blob BINARY")
 
 
+def windows_of(strings, window):
+    """(string index, first byte, end byte, hash) of every window in distinct packed strings.
+
+    Windows of one string follow each other; bytes count in the strings joined by line feeds.
+    """
+    hashes, text, first, end = word_hashes(strings)
+    at = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :])
+    return text[at], first[at], end[at + window - 1], gram_hashes(hashes, window)[at]
+
+
+def least_documents(strings, low, window):
+    """(string index, least document) of each window, given the least document of each string.
+
+    Hashes bring equal windows together, and their bytes decide: should two differ, all
+    windows are told apart by their bytes alone.
+    """
+    text, first, end, hashes = windows_of(strings, window)
+    if not len(text):
+        return text, low[:0]
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.diff(hashes[order]) != 0
+    group = np.cumsum(new) - 1
+    least = np.empty(len(order), np.int64)
+    least[order] = np.minimum.reduceat(low[text[order]], np.flatnonzero(new))[group]
+    more = np.flatnonzero(~new)
+    one, other = order[more], order[np.flatnonzero(new)[group[more]]]
+    whole = b"\n".join(strings)
+    spans = zip(first[one].tolist(), end[one].tolist(), first[other].tolist(), end[other].tolist())
+    if any(whole[a:b] != whole[c:d] for a, b, c, d in spans):
+        known, own = {}, [whole[a:b] for a, b in zip(first.tolist(), end.tolist())]
+        for w, x in zip(own, low[text].tolist()):
+            known[w] = min(known.get(w, x), x)
+        least = np.array([known[w] for w in own], np.int64)
+    return text, least
+
+
 def repeated(strings, counts, docs, keys, starts, window):
-    """(docs, keys, starts) of each window in the given super-k-mers of one minimiser whose
-    words also start in a document with a smaller id.
+    """(docs, keys, starts) of each window in the given super-k-mers whose words also start
+    in a document with a smaller id.
 
+    ``counts`` has the places of each string, the others have them one after the other.
     Strings that several blobs hold are opened once, with all their places.
     """
-    ends = np.cumsum(counts)
-    rows = {}
-    for i, string in enumerate(strings):
-        rows.setdefault(string, []).append(i)
-    items, least = [], {}
-    for string, own in rows.items():
-        place = np.concatenate([np.arange(ends[i] - counts[i], ends[i]) for i in own])
-        low = docs[place].min()
-        if len(rows) == 1:
-            items.append((np.full(string.count(b" ") + 2 - window, low), place))
-            break
-        words = string.split(b" ")
-        windows = [b" ".join(words[i : i + window]) for i in range(len(words) - window + 1)]
-        for w in windows:
-            if least.get(w, low) >= low:
-                least[w] = low
-        items.append((windows, place))
+    number = {}
+    own = np.repeat(np.array([number.setdefault(s, len(number)) for s in strings], np.int64), counts)
+    distinct = list(number)
+    low = np.full(len(distinct), ID_MAX)
+    np.minimum.at(low, own, docs)
+    text, least = least_documents(distinct, low, window)
+    begin = np.searchsorted(text, np.arange(len(distinct)))
+    size = np.searchsorted(text, np.arange(len(distinct)), side="right") - begin
     out = []
-    for windows, place in items:
-        first = windows if len(rows) == 1 else np.fromiter(map(least.__getitem__, windows), np.int64, len(windows))
-        at, offset = np.nonzero(docs[place][:, None] > first[None, :])
-        at = place[at]
-        out.append((docs[at], keys[at], starts[at] + offset))
+    for a in range(0, len(own), PLACES):
+        some = own[a : a + PLACES]
+        place = np.repeat(np.arange(a, a + len(some)), size[some])
+        offset = np.arange(len(place)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        hit = docs[place] > least[begin[own[place]] + offset]
+        place, offset = place[hit], offset[hit]
+        out.append((docs[place], keys[place], starts[place] + offset))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -191,15 +224,15 @@ def _hits(blobs, window):
         # only groups that more than one document is in can hold a repeat
         low = np.minimum.reduceat(np.minimum.reduceat(docs, bounds[:-1])[order], edges)
         high = np.maximum.reduceat(np.maximum.reduceat(docs, bounds[:-1])[order], edges)
-        ends = np.append(edges[1:], len(order))
-        found = []
-        for g in np.flatnonzero(low != high):
-            rows = order[edges[g] : ends[g]]
-            place = np.concatenate([np.arange(bounds[r], bounds[r + 1]) for r in rows])
-            found.append(repeated([strings[r] for r in rows], counts[rows], docs[place], keys[place], starts[place], window))
-        if not found:
+        several = np.flatnonzero(np.repeat(low != high, np.diff(np.append(edges, len(order)))))
+        if not len(several):
+            return None
+        rows = order[several]
+        size = counts[rows]
+        place = np.repeat(bounds[rows], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        docs, keys, starts = repeated([strings[r] for r in rows], size, docs[place], keys[place], starts[place], window)
+        if not len(docs):
             return None
-        docs, keys, starts = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((keys, docs))
         docs, keys, starts = docs[order], keys[order], starts[order]
         new = np.ones(len(docs), bool)
