@@ -21,7 +21,7 @@ HELD_BYTES = 24 * 2**20
 #: Buckets per shuffle partition.
 BUCKETS = 4
 #: Places of packed strings that are compared with their windows at once.
-PLACES = 2**17
+PLACES = 2**15
 LONGEST = 31
 ID_MAX = np.iinfo(np.int64).max
 
@@ -148,10 +148,17 @@ def windows_of(strings, window):
     """(string index, first byte, end byte, hash) of every window in distinct packed strings.
 
     Windows of one string follow each other; bytes count in the strings joined by line feeds.
+    Some strings are hashed at a time, which takes some fifty bytes for each of theirs.
     """
-    hashes, text, first, end = word_hashes(strings)
-    at = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :])
-    return text[at], first[at], end[at + window - 1], gram_hashes(hashes, window)[at]
+    parts, before, byte = [], 0, 0
+    for group in grouped(strings, len):
+        hashes, text, first, end = word_hashes(group)
+        at = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :])
+        parts.append((
+            text[at] + before, first[at] + byte, end[at + window - 1] + byte, gram_hashes(hashes, window)[at],
+        ))
+        before, byte = before + len(group), byte + sum(map(len, group)) + len(group)
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def least_documents(strings, low, window):
