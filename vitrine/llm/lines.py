@@ -3,10 +3,16 @@
 A line's shingles are its windows of ten characters, lower-cased and with single spaces.
 Every line is signed on all of them. Band keys bring lines together; there each is compared
 with one line per round, drawn anew, and only with lines that it doesn't hang together with
-yet, before the pairs left between components are compared one by one. Signatures and
-comparisons are numpy inside tasks; Spark deals out the lines, bands and pairs.
+yet. Of the pairs left between components the likeliest of each two components is compared
+first, then the rest of those still apart. Before any text is read, a pair must agree in
+enough of the min-hashes of a longer signature that lines sharing a band get, and in size.
+Signatures and comparisons of texts are numpy inside tasks; Spark deals out the lines, bands
+and pairs.
 """
 
+from functools import reduce
+from math import comb
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -19,6 +25,14 @@ THRESHOLD = 0.8
 #: 13 bands of 4: at the threshold a pair shares a band with a probability of 0.9989.
 HASHES = 52
 ROWS = 4
+#: Min-hashes, independent of those of the bands, by which a pair is judged before its texts
+#: are read, and the probability that this loses a pair at the threshold.
+SKETCH = 126
+MISS = 1e-6
+#: A min-hash of a sketch is a byte; seven to a value leave the sum of two bytes room.
+PACK = 7
+SEVENS = 0x007F7F7F7F7F7F7F
+TOPS = 0x0080808080808080
 ROUNDS = 2
 #: Rounds go on while one finds more links than this share of the lines in bands.
 MORE_ROUNDS = 0.001
@@ -64,14 +78,20 @@ def window_hashes(lines, shingle=SHINGLE):
     return mix((sums[last] - sums[first]) * powers(INVERSE, n + 1)[first]), starts
 
 
-def signed_bands(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS):
-    """A key for each ``rows`` min-hashes of all windows, one row of keys per line."""
-    found, starts = window_hashes(lines, shingle)
+def min_hashes(found, starts, hashes, before=0):
+    """``hashes`` minima of each line, by the multipliers behind the first ``before``."""
     found = (found >> np.uint64(32)).astype(np.uint32)
-    multipliers = (mix(np.arange(1, hashes + 1, dtype=np.uint64) * BASE) | np.uint64(1)).astype(np.uint32)
-    mins = np.empty((len(lines), hashes), np.uint64)
+    numbers = np.arange(before + 1, before + hashes + 1, dtype=np.uint64)
+    multipliers = (mix(numbers * BASE) | np.uint64(1)).astype(np.uint32)
+    mins = np.empty((len(starts), hashes), np.uint64)
     for i, m in enumerate(multipliers):
         mins[:, i] = np.minimum.reduceat(found * m, starts)
+    return mins
+
+
+def signed_bands(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS):
+    """A key for each ``rows`` min-hashes of all windows, one row of keys per line."""
+    mins = min_hashes(*window_hashes(lines, shingle), hashes)
     mins = mins.reshape(len(lines), hashes // rows, rows)
     keys = np.broadcast_to(np.arange(hashes // rows, dtype=np.uint64), mins.shape[:2]).copy()
     for r in range(rows):
@@ -105,24 +125,99 @@ def band_keys(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS):
     return signed.groupBy("id").agg(*[F.first(c).alias(c) for c in names])
 
 
-def alike(left, right, threshold=THRESHOLD, shingle=SHINGLE):
-    """Whether the lines of each pair have at least the threshold's Jaccard similarity."""
-    bits = max(1, (len(left) - 1).bit_length())
+def distinct_windows(lines, shingle=SHINGLE):
+    """(sets, ends): the sorted distinct window hashes of each line, those of a line together,
+    and where those of each line end."""
+    found, starts = window_hashes(lines, shingle)
+    bits = np.uint64(max(1, (len(lines) - 1).bit_length()))
+    owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(starts, append=len(found)))
+    # the number of the line stands before the hash
+    keys = np.unique(owner << np.uint64(64) - bits | found >> bits)
+    sizes = np.bincount((keys >> np.uint64(64) - bits).astype(np.int64), minlength=len(lines))
+    return keys << bits, np.cumsum(sizes)
+
+
+def sketched(lines, shingle=SHINGLE, hashes=SKETCH, before=HASHES):
+    """(windows, sketch): how many distinct windows each line has, and a byte of each of
+    ``hashes`` min-hashes, PACK to a value."""
+    found, starts = window_hashes(lines, shingle)
+    mins = mix(min_hashes(found, starts, hashes, before)).astype(np.uint8)
+    rows = np.zeros((len(lines), hashes // PACK, 8), np.uint8)
+    rows[:, :, :PACK] = mins.reshape(len(lines), hashes // PACK, PACK)
+    windows = np.diff(distinct_windows(lines, shingle)[1], prepend=0)
+    return windows, rows.view("<i8")[:, :, 0]
 
-    def sets(lines):
-        found, starts = window_hashes(lines, shingle)
-        counts = np.diff(starts, append=len(found))
-        owner = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
-        # the number of the pair stands before the hash
-        return np.unique(owner << np.uint64(64 - bits) | found >> np.uint64(bits))
 
-    def sizes(keys):
-        return np.bincount((keys >> np.uint64(64 - bits)).astype(np.int64), minlength=len(left))
+def line_sketches(texts, shingle=SHINGLE, hashes=SKETCH, before=HASHES):
+    """(id, sketch): a struct of the line's distinct windows ``n`` and its sketch s0, s1, ..."""
+    names = ["n", *[f"s{i}" for i in range(hashes // PACK)]]
+
+    def sketch(batches):
+        import pyarrow as pa
 
-    x, y = sets(left), sets(right)
+        for batch in batches:
+            rows = list(zip(batch.column("id").to_pylist(), _decoded(batch.column("line"))))
+            for group in grouped(rows, lambda x: CHAR_BYTES * len(x[1])):
+                windows, values = sketched([x for _, x in group], shingle, hashes, before)
+                columns = [pa.array(np.ascontiguousarray(c)) for c in (windows, *values.T)]
+                ids = pa.array([i for i, _ in group], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", *names])
+
+    rows = texts.select("id", F.col("line").cast("binary").alias("line"))
+    rows = rows.mapInArrow(sketch, ", ".join(f"{c} BIGINT" for c in ["id", *names]))
+    return rows.select("id", F.struct(*names).alias("sketch"))
+
+
+def least_agreement(threshold, hashes=SKETCH, miss=MISS):
+    """The most min-hashes that may be asked for, so that a pair at the threshold has fewer
+    in common with a probability of at most ``miss``."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += comb(hashes, k) * threshold**k * (1 - threshold) ** (hashes - k)
+        if below > miss:
+            return k
+    return hashes
+
+
+def agreement(left, right, hashes=SKETCH):
+    """How many min-hashes two sketches have in common, as a column expression."""
+    differ = []
+    for i in range(hashes // PACK):
+        x = F.col(f"{left}.s{i}").bitwiseXOR(F.col(f"{right}.s{i}"))
+        # the top bit of a byte tells whether it differs
+        apart = (x.bitwiseAND(F.lit(SEVENS)) + F.lit(SEVENS)).bitwiseOR(x).bitwiseAND(F.lit(TOPS))
+        differ.append(F.bit_count(apart))
+    return F.lit(hashes) - reduce(lambda a, b: a + b, differ)
+
+
+def _may_be_alike(left, right, threshold):
+    """Whether the sizes allow the threshold and the sketches agree often enough."""
+    x, y = F.col(f"{left}.n"), F.col(f"{right}.n")
+    sizes = F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - F.lit(1e-9)
+    return sizes & (agreement(left, right) >= least_agreement(threshold))
+
+
+def alike(left, right, threshold=THRESHOLD, shingle=SHINGLE):
+    """Whether the lines of each pair have at least the threshold's Jaccard similarity."""
+    # a line of many pairs is cut into windows once
+    place = {x: i for i, x in enumerate(dict.fromkeys([*left, *right]))}
+    sets, ends = distinct_windows(list(place), shingle)
+    starts = np.concatenate([[0], ends[:-1]])
+    bits = np.uint64(max(1, (len(left) - 1).bit_length()))
+    pair = np.arange(len(left), dtype=np.uint64)
+
+    def keys(lines):
+        at = np.fromiter((place[x] for x in lines), np.int64, len(lines))
+        sizes = ends[at] - starts[at]
+        before = np.cumsum(sizes) - sizes
+        taken = np.arange(sizes.sum()) + np.repeat(starts[at] - before, sizes)
+        return np.repeat(pair << np.uint64(64) - bits, sizes) | sets[taken] >> bits, sizes
+
+    (x, n), (y, m) = keys(left), keys(right)
     every = np.sort(np.concatenate([x, y]))
-    shared = sizes(every[1:][every[1:] == every[:-1]])
-    return shared >= threshold * (sizes(x) + sizes(y) - shared) - 1e-9
+    both = every[1:][every[1:] == every[:-1]] >> np.uint64(64) - bits
+    shared = np.bincount(both.astype(np.int64), minlength=len(left))
+    return shared >= threshold * (n + m - shared) - 1e-9
 
 
 def _verified(pairs, lines, threshold, shingle):
@@ -143,23 +238,25 @@ def _verified(pairs, lines, threshold, shingle):
     of = lambda node, line: lines.select(
         F.col("id").alias(node), F.col("line").cast("binary").alias(line)
     )
-    both = pairs.join(of("a", "left"), "a").join(of("b", "right"), "b")
+    both = pairs.select("a", "b").join(of("a", "left"), "a").join(of("b", "right"), "b")
     return both.select("a", "b", "left", "right").mapInArrow(verify, "a BIGINT, b BIGINT")
 
 
-def _rooted(bucketed, edges):
-    """The members of the bands with the component that they are in so far."""
+def _rooted(rows, edges, node="id", root="root"):
+    """The rows with the component that their ``node`` is in so far."""
     if edges is None:
-        return bucketed.withColumn("root", F.col("id"))
-    known = connected_components(edges).withColumnRenamed("node", "id")
-    joined = bucketed.join(known, "id", "left")
-    return joined.withColumn("root", F.coalesce("root", "id"))
+        return rows.withColumn(root, F.col(node))
+    known = connected_components(edges).select(F.col("node").alias(node), F.col("root").alias("_root"))
+    joined = rows.join(known, node, "left")
+    return joined.withColumn(root, F.coalesce("_root", node)).drop("_root")
 
 
-def _across(members):
+def _across(members, threshold=None):
     """The pairs (a, b) of lines of a band that lie in different components.
 
     The components of a band are paired first, so that lines of one component never are.
+    With a threshold only pairs stay whose sketches let them reach it, with their components
+    ``low`` and ``high`` and the number of min-hashes in common, ``agree``.
     """
     roots = members.select("band", "root").distinct()
     mixed = roots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
@@ -168,9 +265,31 @@ def _across(members):
         roots.select("band", F.col("root").alias("high")), "band"
     )
     both = both.where("low < high")
-    of = lambda root, node: members.select("band", F.col("root").alias(root), F.col("id").alias(node))
+    held = [c for c in members.columns if c == "sketch"]
+    of = lambda root, node: members.select(
+        "band", F.col("root").alias(root), F.col("id").alias(node), *[F.col(c).alias(f"_{node}") for c in held]
+    )
     pairs = both.join(of("low", "x"), ["band", "low"]).join(of("high", "y"), ["band", "high"])
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    names = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    if threshold is not None:
+        pairs = pairs.where(_may_be_alike("_x", "_y", threshold))
+        names += ["low", "high", agreement("_x", "_y").alias("agree")]
+    return pairs.select(*names).distinct()
+
+
+def _links_across(members, edges, texts, threshold, shingle):
+    """The links found so far and those between their components, as far as they join any."""
+    pairs = stage(_across(members, threshold), "line-across")
+    likeliest = F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b"))
+    first = pairs.groupBy("low", "high").agg(likeliest.alias("p")).select("p.*").distinct()
+    edges = edges.union(stage(_verified(first, texts, threshold, shingle), "line-found"))
+    known = stage(connected_components(edges), "line-components")
+    of = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+    # what two components hang on is the same for all pairs between them
+    apart = pairs.join(of("low"), "low", "left").join(of("high"), "high", "left")
+    apart = apart.where(F.coalesce("_low", "low") != F.coalesce("_high", "high"))
+    rest = apart.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    return edges.union(_verified(rest, texts, threshold, shingle))
 
 
 def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, rows=ROWS,
@@ -189,20 +308,23 @@ def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, ro
     texts = lines.withColumn("id", line_id(F.col("line"))).join(wanted, "id", "left_semi")
     # equal lines are one
     texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    sketches = stage(line_sketches(texts, shingle, SKETCH, hashes), "line-sketches")
+    bucketed = stage(bucketed.join(sketches, "id"), "line-members")
     edges, turn, more = None, 0, True
     while more:
-        members = stage(_rooted(bucketed, edges), "line-members")
-        drawn = F.min(F.struct(F.xxhash64("band", "id", F.lit(turn)).alias("h"), "id", "root"))
+        members = stage(_rooted(bucketed, edges), "line-members") if turn else _rooted(bucketed, None)
+        drawn = F.min(F.struct(F.xxhash64("band", "id", F.lit(turn)).alias("h"), "id", "root", "sketch"))
         heads = members.groupBy("band").agg(drawn.alias("head"))
         pairs = members.join(heads, "band").where("root <> head.root")
+        pairs = pairs.where(_may_be_alike("sketch", "head.sketch", threshold))
         pairs = pairs.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
         found = stage(_verified(pairs.distinct(), texts, threshold, shingle), "line-found")
         edges = found if edges is None else edges.union(found)
         turn += 1
-        more = turn < rounds or found.count() > MORE_ROUNDS * members.count()
+        more = turn < rounds or found.count() > MORE_ROUNDS * bucketed.count()
     members = stage(_rooted(bucketed, edges), "line-members")
-    found = _verified(_across(members), texts, threshold, shingle)
-    return connected_components(stage(edges.union(found), "line-links"))
+    links = _links_across(members, edges, texts, threshold, shingle)
+    return connected_components(stage(links, "line-links"))
 
 
 def removed_lines(docs, key="doc_id", text="text", **options):
