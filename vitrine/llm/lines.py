@@ -132,7 +132,8 @@ def distinct_windows(lines, shingle=SHINGLE):
     bits = np.uint64(max(1, (len(lines) - 1).bit_length()))
     owner = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(starts, append=len(found)))
     # the number of the line stands before the hash
-    keys = np.unique(owner << np.uint64(64) - bits | found >> bits)
+    keys = np.sort(owner << np.uint64(64) - bits | found >> bits)
+    keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
     sizes = np.bincount((keys >> np.uint64(64) - bits).astype(np.int64), minlength=len(lines))
     return keys << bits, np.cumsum(sizes)
 
