@@ -11,6 +11,7 @@ CELL_BITS = 21
 CHUNK_BITS = 16
 ORDER_DIGITS = 3
 BLOCK_WORDS = 256
+SPARE = 4
 
 
 def with_sizes(docs, key="doc_id", source="source", text="text"):
@@ -83,21 +84,19 @@ def spans(sized, seed=0):
     )
 
 
-def schedule(spark, targets, block_words=BLOCK_WORDS):
-    """(slot, source, rank): which source fills each slot, and its how-manieth block that is.
+def _drawn(spark, needs, spare):
+    """(slot, source, chunk): which source each slot falls to.
 
-    Slot i lies at the golden-ratio point ``i * GOLDEN mod 2^31``; points are mapped
-    through the cumulative targets, so every stretch of slots is near the mix.
-    Points and intervals meet on coarse cells, and slots are ranked in chunks that are
-    shifted by the counts of the chunks before: no task sees a whole source.
+    Slot i lies at the golden-ratio point ``i * GOLDEN mod 2^31``; points are mapped through
+    the cumulative ``need + spare`` of the sources, which is also the number of slots. Points
+    and intervals meet on coarse cells.
     """
-    targets = targets.where("target > 0")
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    count = -(-int(total) // block_words) + 1 if total else 0
-    grid, cell = 2**GRID_BITS, 2**CELL_BITS
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    high = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
-    edges = targets.select("source", (high / total * grid).cast("bigint").alias("high"))
+    width = F.col("need") + F.lit(spare)
+    count = needs.agg(F.sum(width)).first()[0] or 0
+    grid, cell = 2**GRID_BITS, 2**CELL_BITS
+    high = F.sum(width).over(by_name.rowsBetween(Window.unboundedPreceding, 0))
+    edges = needs.select("source", (high.cast("double") / max(count, 1) * grid).cast("bigint").alias("high"))
     edges = edges.withColumn("low", F.lag("high", 1, 0).over(by_name))
     last = F.lead("high").over(by_name).isNull()
     edges = edges.withColumn("high", F.when(last, F.lit(grid)).otherwise(F.col("high")))
@@ -108,14 +107,36 @@ def schedule(spark, targets, block_words=BLOCK_WORDS):
     at = (F.col("slot") % grid * GOLDEN) % grid
     slots = slots.withColumn("at", at).withColumn("cell", F.expr(f"at div {cell}"))
     drawn = slots.join(edges, "cell").where("low <= at AND at < high")
-    drawn = drawn.select("slot", "source", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
-    counts = drawn.groupBy("chunk", "source").count()
+    return drawn.select("slot", "source", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
+
+
+def schedule(spark, targets, block_words=BLOCK_WORDS, spare=SPARE):
+    """(slot, source, rank): which source fills each slot, and its how-manieth block that is.
+
+    A source needs as many blocks as its target fills. It is given ``spare`` more slots, as
+    points may miss its share of the slots by a few; ``spare`` doubles until every source
+    has its need. A source whose target is met skips its further slots, so the schedule
+    alone decides what is read, and every stretch of it is near the mix. Slots are ranked in
+    chunks that are shifted by the counts of the chunks before: no task sees a whole source.
+    """
+    need = F.ceil(F.round("target") / block_words).cast("bigint").alias("need")
+    needs = stage(targets.select("source", need).where("need > 0").coalesce(1), "mix-needs")
+    while True:
+        drawn = _drawn(spark, needs, spare)
+        counts = stage(drawn.groupBy("chunk", "source").count(), "mix-counts")
+        filled = counts.groupBy("source").agg(F.sum("count").alias("_slots"))
+        enough = needs["source"].eqNullSafe(filled["source"]) & (F.col("_slots") >= F.col("need"))
+        if needs.join(filled, enough, "left_anti").isEmpty():
+            break
+        spare *= 2
     chunks = Window.partitionBy("source").orderBy("chunk").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = counts.select(
         "chunk", "source", F.coalesce(F.sum("count").over(chunks), F.lit(0)).alias("_shift")
     )
+    starts = starts.alias("s").join(needs.alias("n"), F.col("s.source").eqNullSafe(F.col("n.source")))
+    starts = starts.select("s.*", "n.need")
     inside = Window.partitionBy("chunk", "source").orderBy("slot")
     ranked = drawn.withColumn("_rank", F.row_number().over(inside) - 1)
     joined = ranked.alias("r").join(
@@ -123,8 +144,8 @@ def schedule(spark, targets, block_words=BLOCK_WORDS):
         F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.chunk") == F.col("s.chunk")),
     )
     return joined.select(
-        "r.slot", "r.source", (F.col("r._rank") + F.col("s._shift")).alias("rank")
-    )
+        "r.slot", "r.source", (F.col("r._rank") + F.col("s._shift")).alias("rank"), "s.need"
+    ).where("rank < need").drop("need")
 
 
 def mix_sources(docs, weights=(5, 2, 1), share=1.5, most=2, block_words=BLOCK_WORDS, seed=0,
@@ -136,8 +157,8 @@ def mix_sources(docs, weights=(5, 2, 1), share=1.5, most=2, block_words=BLOCK_WO
     rank, first, words): ``words`` words of the document from its word ``first`` on are read
     in ``slot``. The documents of a source, shuffled, form a stream that starts again at its
     end; block ``rank`` of ``block_words`` words fills the rank-th slot that the schedule
-    gives to the source. The last block is cut at the source's target, rounded to words.
-    A source that the schedule leaves short is read on behind the last slot (slot null).
+    gives to the source, and what no slot asks for is not read. The last block is cut at the
+    source's target, rounded to words.
 
     Rows without words or with null texts give no pieces; null sources form a source; rows
     with equal ids count as rows of their own; empty tables give empty frames.
@@ -169,7 +190,6 @@ def mix_sources(docs, weights=(5, 2, 1), share=1.5, most=2, block_words=BLOCK_WO
     pieces = cut.alias("c").join(
         slots.alias("s"),
         F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.rank") == F.col("s.rank")),
-        "left",
     )
     return placed, targets, pieces.select("s.slot", "c.*")
 
