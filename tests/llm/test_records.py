@@ -5,7 +5,9 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import struct
+import time
 import zlib
 
 import pytest
@@ -108,6 +110,27 @@ def test_mix_is_in_proportion_all_along(spark):
     assert set(blocks.values()) <= {50} | {math.floor(t + 0.5) % 50 for t in shares.values()}
 
 
+def test_the_schedule_decides_what_is_taken(spark, monkeypatch):
+    """Without some slots their blocks are not read; small sources fill their need too."""
+    rows = [(i, "w " * 100, "en", "big", 0, "k", "w", 7, "s", 3, "c", 1) for i in range(200)]
+    rows += [(900 + i, "w " * 9, "en", f"small{i}", 0, "k", "w", 7, "s", 3, "c", 1) for i in range(7)]
+    docs = frame(spark, rows)
+
+    def taken():
+        found = mixing.words_taken(*mixing.mix_sources(docs, block_words=50)).collect()
+        return sum(r.taken for r in found if r.source == "big"), {r.source: r.taken for r in found}
+
+    whole, of = taken()
+    _, targets, pieces = mixing.mix_sources(docs, block_words=50)
+    want = {r.source: math.floor(r.target + 0.5) for r in targets.collect()}
+    assert whole == want["big"] and all(of[s] == n for s, n in want.items() if s != "big")
+    assert all(p.slot is not None for p in pieces.collect())
+    given_slots = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: given_slots(*a).where("source <> 'big' OR rank % 10 <> 3"))
+    blocks = -(-want["big"] // 50)
+    assert taken()[0] == want["big"] - 50 * sum(r % 10 == 3 for r in range(blocks))
+
+
 def test_empty_mix(spark):
     placed, targets, pieces = mixing.mix_sources(frame(spark, []))
     assert targets.count() == 0 and mixing.words_taken(placed, targets, pieces).count() == 0
@@ -180,6 +203,20 @@ def test_dictionary_comes_first():
     assert list(warc.frames(one)) == many_records()[:1]
 
 
+def test_frames_are_read_in_linear_time():
+    def seconds(count):
+        records = [warc.record(i, "http://h/", b"<html>%d" % i + b"text " * (i % 90)) for i in range(count)]
+        content = warc.pack(records)
+        start = time.process_time()
+        assert list(warc.frames(content)) == records
+        return time.process_time() - start
+
+    few = seconds(10_000)
+    assert seconds(80_000) < 8 * 4 * few
+    long = [warc.record(1, "http://h/", random.Random(3).randbytes(3 * 10**6)), warc.record(2, "http://h/", b"x")]
+    assert list(warc.frames(warc.pack(long))) == long
+
+
 def test_faults_are_found():
     content = warc.pack(many_records())
     size = struct.unpack_from("<I", content, 4)[0]

@@ -25,6 +25,7 @@ ARCHIVE_BYTES = 8 * 2**20
 DICTIONARY_BYTES = 16 * 2**10
 SAMPLES = 200
 LEVEL = 3
+FIRST_PIECE = 2**12
 MAX_RECORD = 2**31 - 1
 
 ARCHIVES = "archive STRING, content BINARY"
@@ -107,7 +108,11 @@ def leading_dictionary(content):
 
 
 def frames(content):
-    """The decoded frames of an archive in order; later skippable frames are passed over."""
+    """The decoded frames of an archive in order; later skippable frames are passed over.
+
+    A frame is fed in pieces that double, so what is read beyond its end is no longer than
+    itself or the first piece, and an archive takes time in proportion to its length.
+    """
     dictionary, at = leading_dictionary(content)
     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
     view = memoryview(content)
@@ -116,14 +121,17 @@ def frames(content):
             at += 8 + struct.unpack_from("<I", content, at + 4)[0]
             continue
         decoder = reader.decompressobj()
+        parts, end, piece = [], at, FIRST_PIECE
         try:
-            data = decoder.decompress(view[at:])
+            while not decoder.eof and end < len(content):
+                parts.append(decoder.decompress(view[end : end + piece]))
+                end, piece = min(end + piece, len(content)), 2 * piece
         except zstandard.ZstdError as error:
             raise ArchiveError(f"frame at byte {at}: {error}") from error
         if not decoder.eof:
             raise ArchiveError(f"the frame at byte {at} is cut off")
-        at = len(content) - len(decoder.unused_data)
-        yield data
+        at = end - len(decoder.unused_data)
+        yield b"".join(parts)
 
 
 def split_headers(data, first):
