@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -117,6 +118,18 @@ def test_rules(spark, rows):
         assert not (r.base_failed and r.kept)
 
 
+def test_rules_judge_languages_of_few_words(spark):
+    """A language of under 1000 words is compared as well, by limits that rise smoothly."""
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(90)), "xx") for i in range(8)]
+    rows.append((99, " ".join(f"|{rng.randrange(10**6)}#" for _ in range(60)), "xx"))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    assert sum(len(r[1].split()) for r in rows) < 1000
+    kept = {r.doc_id: r.kept for r in rules.quality_rules(docs).collect()}
+    assert kept == {**{i: True for i in range(8)}, 99: False}
+
+
 def test_rules_tell_junk_from_clean_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

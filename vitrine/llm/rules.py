@@ -14,14 +14,15 @@ COMMON_WORDS = 64
 #: Jensen-Shannon distances above which a text is unlike its language.
 MOST_CHAR_DISTANCE = 0.30
 MOST_WORD_DISTANCE = 0.41
-#: Short texts lie further off by chance: from ``n`` words the limit is at least
-#: sqrt(SHORT_BASE^2 + SHORT_SPREAD / n), which is above MOST_WORD_DISTANCE below 77 words.
+#: Short texts lie further off by chance, and so do texts of a language that few words are
+#: known of: from ``n`` words against ``m`` the limit for words is at least
+#: sqrt(SHORT_BASE^2 + SHORT_SPREAD / n + SHORT_SPREAD / m), which is above MOST_WORD_DISTANCE
+#: below 77 words; that for characters is sqrt(MOST_CHAR_DISTANCE^2 + SHORT_SPREAD / m).
 SHORT_BASE = 0.30
 SHORT_SPREAD = 6.0
-#: Texts and references with less than this are not compared.
+#: Texts with less than this are not compared.
 LEAST_CHARS = 200
 LEAST_WORDS = 20
-LEAST_REFERENCE_WORDS = 1000
 
 
 def _term(p, q):
@@ -168,7 +169,8 @@ def quality_rules(docs, text="text", lang="lang", most_char=MOST_CHAR_DISTANCE,
     text holds twice or more. Others are compared with their language, whose histograms
     come from all documents: characters from ``least_chars`` code points on, words from
     ``least_words`` words on, by a limit that rises smoothly from ``most_word`` as texts get
-    short, each only if the language itself has enough words.
+    short. Both limits rise smoothly as the words of the whole language get few; no language
+    is left out.
 
     A null text is an empty one and fails the base; a null language is a language of its
     own; rows with equal ids are judged each for itself; an empty table stays empty. Input
@@ -197,12 +199,12 @@ def quality_rules(docs, text="text", lang="lang", most_char=MOST_CHAR_DISTANCE,
     )
     rows = char_distance(rows.select("m.*", "c.class_shares"))
     base = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    compared = F.coalesce(F.col("ref_words"), F.lit(0)) >= LEAST_REFERENCE_WORDS
-    by_chance = F.sqrt(F.lit(SHORT_BASE**2) + F.lit(SHORT_SPREAD) / F.greatest("n_words", F.lit(1)))
-    word_limit = F.greatest(F.lit(float(most_word)), by_chance)
-    unlike = compared & (
-        ((F.col("word_chars") >= least_chars) & (F.col("char_distance") > most_char))
-        | ((F.col("n_words") >= least_words) & (F.col("word_distance") > word_limit))
+    of = lambda n: F.lit(SHORT_SPREAD) / F.greatest(F.coalesce(n, F.lit(0)), F.lit(1))
+    own, known = of(F.col("n_words")), of(F.col("ref_words"))
+    word_limit = F.greatest(F.lit(float(most_word)), F.sqrt(F.lit(SHORT_BASE**2) + own + known))
+    char_limit = F.sqrt(F.lit(float(most_char) ** 2) + known)
+    unlike = ((F.col("word_chars") >= least_chars) & (F.col("char_distance") > char_limit)) | (
+        (F.col("n_words") >= least_words) & (F.col("word_distance") > word_limit)
     )
     rows = rows.withColumn("base_failed", base).withColumn("kept", ~base & ~unlike)
     return rows.select("_row.*", *added)
