@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import vitrine
 from vitrine.llm import classifier, decontam, forest, mixing, shards
-from vitrine.llm.common import same, stage
+from vitrine.llm.common import packed, same, stage
 
 # Python workers get the package with the tasks and need no copy of their own.
 cloudpickle.register_pickle_by_value(vitrine)
@@ -48,14 +48,13 @@ def mixing_stage(spark, docs, sf_dir):
     # rows alike in id, source and size are told apart by nothing else: they share the times
     alike = ["doc_id", "source", "size"]
     times = times.groupBy(*alike).agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows"))
-    sized = docs.withColumn("size", F.size(mixing.words(F.col("text"))).cast("bigint"))
-    joined = sized.join(times, same(sized, times, alike)).select(
-        *[docs_column for docs_column in (sized[c] for c in docs.columns)], "_times", "_rows"
-    )
+    size = F.size(mixing.words(F.col("text"))).cast("bigint").alias("size")
+    sized = docs.select(packed(docs, docs.columns), "doc_id", "source", size)
+    joined = sized.join(times, same(sized, times, alike)).select("_row", "_times", "_rows")
     each = F.greatest(F.round(F.col("_times") / F.col("_rows")).cast("int"), F.lit(0))
     return joined.withColumn("_copy", F.explode(F.expr("sequence(1, 2)"))).where(
         F.col("_copy") <= each
-    ).select(*docs.columns)
+    ).select("_row.*")
 
 
 def sharding(spark, docs, sf_dir):

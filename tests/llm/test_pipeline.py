@@ -69,6 +69,18 @@ def test_stages_take_odd_rows_and_none(spark):
             assert docs.count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    """Input columns named like those the mix works on come out as they went in."""
+    rows = [(i, "w " * (10 + i), f"s{i % 2}", -i, "x", 5) for i in range(40)]
+    docs = spark.createDataFrame(
+        rows, "doc_id BIGINT, text STRING, source STRING, size BIGINT, _times STRING, start INT"
+    )
+    found = corpus_pipeline.mixing_stage(spark, docs, SMALL)
+    assert found.columns == docs.columns
+    found = found.collect()
+    assert found and {tuple(r) for r in found} <= set(rows)
+
+
 def test_entry_has_every_operator():
     names = entry.queries()
     assert "pipeline" in names
