@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -253,6 +254,39 @@ def test_windows_are_hashed_as_they_are():
     assert near.tolist() == want
 
 
+def test_sketches_agree_as_often_as_lines_are_alike(spark):
+    """Counted natively as counted in plain Python; near lines pass, unlike ones mostly don't."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(120):
+        line = [rng.choice("abcdefgh ") for _ in range(200)]
+        other = list(line)
+        for _ in range((1, 2, 20)[i % 3]):
+            other[rng.randrange(200)] = "Z"
+        texts += [(2 * i, "".join(line)), (2 * i + 1, "".join(other))]
+    windows, values = lines.sketched([t for _, t in texts])
+    sets = [{t[j : j + 10] for j in range(len(t) - 9)} for _, t in texts]
+    assert windows.tolist() == [len(s) for s in sets]
+    held = lines.line_sketches(spark.createDataFrame(texts, "id BIGINT, line STRING"))
+    left = held.where("id % 2 = 0").selectExpr("id div 2 AS i", "sketch AS x")
+    right = held.where("id % 2 = 1").selectExpr("id div 2 AS i", "sketch AS y")
+    both = left.join(right, "i")
+    got = {r.i: (r.n, r.near) for r in both.select(
+        "i", lines.agreement("x", "y").alias("n"), lines._may_be_alike("x", "y", 0.8).alias("near")
+    ).collect()}
+    bytes_of = values.copy().view(np.uint8).reshape(len(texts), -1, 8)[:, :, :7].reshape(len(texts), -1)
+    for i in range(120):
+        x, y = sets[2 * i], sets[2 * i + 1]
+        assert got[i][0] == int((bytes_of[2 * i] == bytes_of[2 * i + 1]).sum())
+        if len(x & y) >= 0.8 * len(x | y):
+            assert got[i][1]
+        if len(x & y) < 0.4 * len(x | y):
+            assert not got[i][1]
+    least = lines.least_agreement(0.8)
+    below = sum(math.comb(126, k) * 0.8**k * 0.2 ** (126 - k) for k in range(least))
+    assert below <= 1e-6 < below + math.comb(126, least) * 0.8**least * 0.2 ** (126 - least)
+
+
 def test_only_lines_of_other_components_are_paired(spark):
     """A hot band in nearly one component makes as many rows as there are pairs across."""
     members = [(1, i, 0) for i in range(400)] + [(1, 1000 + i, 1000 + i // 2) for i in range(4)]
