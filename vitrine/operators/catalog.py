@@ -13,7 +13,7 @@ NETWORK = "pepper"
 
 def exclude_stores(stores, codes=EXCLUDED_STORES):
     """Drop the given store codes; a null code stays."""
-    return stores.where(F.col("code").isNull() | ~F.col("code").isin(codes))
+    return stores.where(F.col("code").isNull() | ~F.col("code").isin(list(codes)))
 
 
 def has_required_urls(catalog):

@@ -1,6 +1,7 @@
 """Landed catalogue pages to stored products, coupons to deals."""
 
 from ..operators.catalog import (
+    EXCLUDED_STORES,
     accept_limit,
     attach_cashback,
     catalog_minimal,
@@ -15,13 +16,13 @@ from ..sources.sinks import batched_upsert
 from ..sources.versions import publish
 
 
-def catalogue_job(spark, catalog, stores, path, loaded_at, images=None):
+def catalogue_job(spark, catalog, stores, path, loaded_at, images=None, excluded=EXCLUDED_STORES):
     """Map the catalogue of all but the excluded stores and store it by SKU.
 
     With ``images`` only rows whose landed image is a real one are kept.
     """
     rows = valid_images(catalog, images) if images is not None else catalog
-    kept = exclude_stores(stores)
+    kept = exclude_stores(stores, excluded)
     products = catalog_to_product(attach_cashback(rows, kept), loaded_at)
     return batched_upsert(spark, products, path)
 
