@@ -48,3 +48,25 @@ def test_rates_of_ties_are_those_of_the_sql(spark, tmp_path):
         want = dict(c.execute(f"SELECT sku, cashback FROM ({CHECKS['catalog_to_product'][1]})").fetchall())
     rows = CHECKS["catalog_to_product"][0](spark, folder).collect()
     assert {r.sku: r.cashback for r in rows} == want and len(want) == len(balances)
+
+
+def test_task_state_holds_buckets_of_products(spark, tmp_path, monkeypatch):
+    """Products share the keys of the state, which were four for each of them."""
+    from vitrine import schemas
+    from vitrine.session import ROCKSDB
+    from vitrine.streaming import tasks
+
+    monkeypatch.setattr(tasks, "BUCKETS", 8, raising=False)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = spark.range(200).selectExpr(
+        "concat('p', id % 100) AS product_id", "'m' AS model_id", "'s' AS scene", "concat('t', id) AS task_id",
+        "CASE WHEN id < 100 THEN 'started' ELSE 'finished' END AS kind", "timestamp_seconds(id * (id % 3)) AS ts",
+    )
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schemas.TASK_EVENT).parquet(f"{tmp_path}/in")
+    query = tasks.track_tasks(stream).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c")
+    query = query.trigger(availableNow=True).start(f"{tmp_path}/out")
+    assert query.awaitTermination(120)
+    assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 8
+    found = {r.task_id for r in spark.read.parquet(f"{tmp_path}/out").where("open").collect()}
+    assert found == {r.task_id for r in tasks.open_tasks(rows).collect()} and 20 < len(found) < 80

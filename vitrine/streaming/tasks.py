@@ -10,16 +10,23 @@ SHARDS = 4
 OUTPUT = (
     "product_id STRING, model_id STRING, scene STRING, task_id STRING, at BIGINT, open BOOLEAN"
 )
+STATE = (
+    "finishes ARRAY<STRUCT<product_id: STRING, at: BIGINT>>, "
+    "tasks ARRAY<STRUCT<product_id: STRING, model_id: STRING, scene: STRING, task_id: STRING, at: BIGINT>>"
+)
+#: Keys of the state: products that hash alike are tracked together. Fixed once a stream runs.
+BUCKETS = 4096
 
 
 class TaskTracker(StatefulProcessor):
-    """Keeps (model, scene) -> task; a finished run clears its product.
-
-    Event times decide, so frames are taken one by one in any order: a start counts if
-    it is later than the last finish and than the scene's stored start. With ``keep_ms`` a
-    timer in event time closes a task that is still open so long after its start, and
-    drops a finish once the watermark has passed it: what it could still close is late by
-    then, and dropped before it comes here.
+    """Keeps the open tasks and last finishes of a bucket of products; a finish clears its product.
+
+    Event times decide, so rows are taken in any order: a start counts if it is later than
+    the last finish and than the scene's stored start. A bucket is one value of the state, read
+    and written once a batch, since each access is a call to the JVM. With ``keep_ms`` a
+    timer in event time, at the first time that is due in the bucket, closes tasks
+    that are still open so long after their start, and drops finishes once the watermark has
+    passed them: what they could still close is late by then, and dropped before it comes here.
     """
 
     def __init__(self, ttl_ms=None, keep_ms=None):
@@ -27,71 +34,74 @@ class TaskTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.tasks = handle.getMapState(
-            "tasks",
-            "model_id STRING, scene STRING",
-            "task_id STRING, at BIGINT",
-            ttlDurationMs=self.ttl_ms,
-        )
-        self.finished = handle.getValueState(
-            "finished", "at BIGINT", ttlDurationMs=self.ttl_ms
-        )
-
-    def _finish(self, at):
-        """Close the tasks started up to then."""
-        closed = []
-        for (model, scene), (task, started) in list(self.tasks.iterator()):
-            if started <= at:
-                self.tasks.removeKey((model, scene))
-                closed.append((model, scene, task, started, False))
-        self.finished.update((at,))
-        return closed
+        self.kept = handle.getValueState("kept", STATE, ttlDurationMs=self.ttl_ms)
+
+    def _read(self):
+        """({product: last finish}, {product: {(model, scene): (start, task)}})"""
+        finishes, rows = self.kept.get() or ([], [])
+        tasks = {}
+        for product, model, scene, task, at in rows:
+            tasks.setdefault(product, {})[model, scene] = (at, task)
+        return {product: at for product, at in finishes}, tasks
+
+    def _write(self, finished, tasks):
+        rows = [(p, *scene, task, at) for p, own in tasks.items() for scene, (at, task) in own.items()]
+        if not finished and not rows:
+            self.kept.clear()
+            return
+        self.kept.update((list(finished.items()), rows))
+        if self.keep_ms is not None:
+            due = [at // 1000 + 1 for at in finished.values()]
+            due += [row[-1] // 1000 + self.keep_ms + 1 for row in rows]
+            self.handle.registerTimer(min(due))
 
     def handleInputRows(self, key, rows, timerValues):
+        last, newest = {}, {}
         for frame in rows:
-            last_finish, newest = -1, {}
-            columns = (frame[c] for c in ("kind", "at", "model_id", "scene", "task_id"))
-            for kind, at, model, scene, task in zip(*columns, strict=True):
+            columns = (frame[c] for c in ("product_id", "kind", "at", "model_id", "scene", "task_id"))
+            for product, kind, at, model, scene, task in zip(*columns, strict=True):
                 if kind == "finished":
-                    last_finish = max(last_finish, int(at))
+                    last[product] = max(last.get(product, -1), int(at))
                 else:
-                    newest[model, scene] = max(newest.get((model, scene), (-1, "")), (int(at), task))
-            out = []
-            finished = (self.finished.get() or (-1,))[0]
-            if last_finish > finished:
-                finished = last_finish
-                out += self._finish(finished)
-                if self.keep_ms is not None:
-                    self.handle.registerTimer(finished // 1000 + 1)
-            for scene, (at, task) in newest.items():
-                if at <= finished:
-                    continue
-                stored = self.tasks.getValue(scene)
-                if stored is None or (stored[1], stored[0]) < (at, task):
-                    self.tasks.updateValue(scene, (task, at))
-                    out.append((*scene, task, at, True))
-                    if self.keep_ms is not None:
-                        self.handle.registerTimer(at // 1000 + self.keep_ms + 1)
-            yield self._changes(key, out)
+                    own, start = newest.setdefault(product, {}), (int(at), task)
+                    own[model, scene] = max(own.get((model, scene), (-1, "")), start)
+        finished, tasks = self._read()
+        out = []
+        for product, at in last.items():
+            if at > finished.get(product, -1):
+                finished[product] = at
+                own = tasks.get(product, {})
+                closed = [scene for scene, (started, _) in own.items() if started <= at]
+                out += [self._change(product, scene, own.pop(scene), False) for scene in closed]
+        for product, starts in newest.items():
+            for scene, start in starts.items():
+                own = tasks.setdefault(product, {})
+                if start[0] > finished.get(product, -1) and (scene not in own or own[scene] < start):
+                    own[scene] = start
+                    out.append(self._change(product, scene, start, True))
+        self._write(finished, tasks)
+        yield self._frame(out)
+
+    @staticmethod
+    def _change(product, scene, start, opened):
+        return (product, *scene, start[1], start[0], opened)
 
     @staticmethod
-    def _changes(key, rows):
-        result = pd.DataFrame(rows, columns=["model_id", "scene", "task_id", "at", "open"])
-        result.insert(0, "product_id", key[0])
-        return result.astype({"at": "int64", "open": "bool"})
+    def _frame(rows):
+        columns = ["product_id", "model_id", "scene", "task_id", "at", "open"]
+        return pd.DataFrame(rows, columns=columns).astype({"at": "int64", "open": "bool"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        finish = self.finished.get()
-        if finish is not None and finish[0] // 1000 < passed:
-            self.finished.clear()
+        finished, tasks = self._read()
+        finished = {product: at for product, at in finished.items() if at // 1000 >= passed}
         out = []
-        for (model, scene), (task, started) in list(self.tasks.iterator()):
-            if started // 1000 + self.keep_ms < passed:
-                self.tasks.removeKey((model, scene))
-                out.append((model, scene, task, started, False))
+        for product, own in tasks.items():
+            late = [scene for scene, (at, _) in own.items() if at // 1000 + self.keep_ms < passed]
+            out += [self._change(product, scene, own.pop(scene), False) for scene in late]
+        self._write(finished, tasks)
         if out:
-            yield self._changes(key, out)
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
@@ -115,8 +125,9 @@ def track_tasks(events, ttl_ms=None, shards=SHARDS, keep_ms=None, late="10 minut
     long after its start is given up (``open`` false), and a finish goes once the watermark,
     ``late`` behind the newest event, has passed it. Events older than the watermark are
     dropped. A run over what is available now ends and leaves only what is still due.
-    ``ttl_ms`` lets a product's state go by processing time instead, by which such a run
-    would not end. With neither, state stays.
+    ``ttl_ms`` lets a bucket's state go by processing time instead, by which such a run
+    would not end. With neither, state stays. Products are tracked in buckets, so what
+    Python costs per key does not grow with the number of products.
 
     ``shards`` is how many tasks may track one product: about the events of the busiest
     product in a batch over those that one task should take.
@@ -128,7 +139,8 @@ def track_tasks(events, ttl_ms=None, shards=SHARDS, keep_ms=None, late="10 minut
     mode = "ProcessingTime" if ttl_ms else "None" if keep_ms is None else "EventTime"
     return (
         sharded(timed, shards)
-        .groupBy("product_id", "shard")
+        .withColumn("bucket", F.pmod(F.xxhash64("product_id", "shard"), F.lit(BUCKETS)))
+        .groupBy("bucket")
         .transformWithStateInPandas(
             TaskTracker(ttl_ms, keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode=mode
         )
