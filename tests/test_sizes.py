@@ -70,3 +70,15 @@ def test_task_state_holds_buckets_of_products(spark, tmp_path, monkeypatch):
     assert query.recentProgress[0]["stateOperators"][0]["numRowsTotal"] <= 8
     found = {r.task_id for r in spark.read.parquet(f"{tmp_path}/out").where("open").collect()}
     assert found == {r.task_id for r in tasks.open_tasks(rows).collect()} and 20 < len(found) < 80
+
+
+def test_equal_factors_make_no_blocks(spark):
+    """A thousand items of one vector hold no more than the least ids for anyone."""
+    from vitrine.operators import factors as X
+
+    items = spark.range(1000).select(F.col("id").cast("int").alias("id"), F.expr("array(1D + id % 2, -3D)").alias("features"))
+    users = spark.createDataFrame([(7, [-1.0, 0.0]), (8, [1.0, 0.0])], "id INT, features ARRAY<DOUBLE>")
+    recs, report = X.top_items(users, items, n=3, head=4, block=2)
+    found = {r["user"]: [(x["product"], x["rating"]) for x in r["recommendations"]] for r in recs.collect()}
+    assert found == {7: [(0, -1.0), (2, -1.0), (4, -1.0)], 8: [(1, 2.0), (3, 2.0), (5, 2.0)]}
+    assert {r["blocks"] for r in report.collect()} == {1}
