@@ -208,8 +208,9 @@ def enrichment_stream(t):
         .json(source)
     )
     query = enrichment.run_enrichment_stream(
-        stream, KeywordTagger, "https://img.example.com", store, checkpoint, once=True
-    )
+        stream, KeywordTagger, "https://img.example.com", store, checkpoint, once=True,
+        partitions=t.cores,
+    )
     query.awaitTermination()
     return read_current(t.spark, store).select("id", "tags.category", "tags.color")
 

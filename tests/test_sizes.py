@@ -82,3 +82,25 @@ def test_equal_factors_make_no_blocks(spark):
     found = {r["user"]: [(x["product"], x["rating"]) for x in r["recommendations"]] for r in recs.collect()}
     assert found == {7: [(0, -1.0), (2, -1.0), (4, -1.0)], 8: [(1, 2.0), (3, 2.0), (5, 2.0)]}
     assert {r["blocks"] for r in report.collect()} == {1}
+
+
+def test_calls_share_threads():
+    """Many short calls are served by as many threads as may run at once, not by one each."""
+    import threading
+
+    from vitrine.operators.calls import windowed
+
+    served = set()
+    found = list(windowed(range(3000), lambda i: served.add(threading.current_thread()) or i, width=4))
+    assert sorted(i for i, _, _ in found) == list(range(3000)) and len(served) <= 4
+    for thread in served:
+        thread.join(5)
+    assert not any(thread.is_alive() for thread in served)
+
+
+def test_tagging_is_dealt_out(spark, small):
+    """One row group of products is tagged by every task there is."""
+    from checks.catalog import tagged
+
+    rows, tags = tagged(small)
+    assert rows.rdd.getNumPartitions() == 1 and tags.rdd.getNumPartitions() == small.cores

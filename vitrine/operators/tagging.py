@@ -9,6 +9,7 @@ from .. import schemas
 from ..dims.texts import CATEGORY_WORDS, DEFAULT_CATEGORY
 from ..functions.urls import proxy_image_url
 from .calls import DEADLINE, FIRST_WAIT, TRIES, WIDTH, windowed
+from .grouping import spread_rows
 
 
 class KeywordTagger:
@@ -51,13 +52,14 @@ def _frame(found):
 
 
 def tag_results(products, client_factory, image_base, tries=TRIES, first=FIRST_WAIT, width=WIDTH,
-                deadline=DEADLINE):
+                deadline=DEADLINE, partitions=None):
     """(id, tags, error) from a client's ``tag(image_url, description)``.
 
     Products without a thumbnail or text are not sent. The client is made once per
     partition and has up to ``width`` calls to answer at once, each within ``deadline``
     seconds (``windowed``). A failed call is repeated; one that fails to the end gives a
     row with the error and without tags. Rows come in the order of the answers.
+    ``partitions`` deals the products out to so many tasks before, each with a client.
     """
 
     def run(batches):
@@ -77,10 +79,10 @@ def tag_results(products, client_factory, image_base, tries=TRIES, first=FIRST_W
         proxy_image_url(image_base, "thumbnail").alias("image_url"),
         F.col("product_details").alias("description"),
     )
-    return sent.mapInPandas(run, f"{schemas.TAGGED_PRODUCT}, error STRING")
+    return spread_rows(sent, partitions).mapInPandas(run, f"{schemas.TAGGED_PRODUCT}, error STRING")
 
 
-def tag_products(products, client_factory, image_base, tries=TRIES, first=FIRST_WAIT):
+def tag_products(products, client_factory, image_base, tries=TRIES, first=FIRST_WAIT, partitions=None):
     """(id, tags) of the products whose call succeeded."""
-    results = tag_results(products, client_factory, image_base, tries, first)
+    results = tag_results(products, client_factory, image_base, tries, first, partitions=partitions)
     return results.where(F.col("error").isNull()).select("id", "tags")
