@@ -1,11 +1,12 @@
 """News: feeds, images, texts, posts."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import news as N
 from vitrine.functions import payload
 from vitrine.operators import news as W
-from vitrine.operators.grouping import spread_rows
+from vitrine.operators.grouping import spread_rows, top_in_group
 from vitrine.session import run_dir
 from vitrine.sources.files import scan_rss
 
@@ -148,18 +149,29 @@ SELECTED = """
         min(image_url) AS image_url FROM picks GROUP BY batch)"""
 
 
+#: Ranks of the stories that are chosen, as in ``SELECTED``.
+RANKS = (3, 5, 20)
+
+
 def selections(t):
     """One choice per source: some by link, some by title, some beyond the candidates."""
     batched = W.complete_stories(t.stories).withColumn("batch", F.col("source"))
-    return batched, t.sql(_selection_sql(t))
-
-
-def _selection_sql(t):
-    from .base import INPUTS
-
-    return (
-        f"WITH stories AS ({INPUTS['stories']}), {SELECTED.strip()} SELECT * FROM selections"
+    # no story behind the last of the ranks is shuffled
+    first = top_in_group(batched.select("batch", "pos", "title", "link"), ["batch"], ["pos"], max(RANKS))
+    rank = F.row_number().over(Window.partitionBy("batch").orderBy("pos"))
+    rn = F.col("rn")
+    other = F.concat(F.lit("About "), F.col("title"), F.lit("!"))
+    picks = first.withColumn("rn", rank).where(rn.isin(*RANKS)).select(
+        "batch", "rn",
+        F.when(rn == 3, F.col("link")).otherwise("https://elsewhere").alias("original_link"),
+        F.when(rn == 3, "other").otherwise(other).alias("original_title"),
+        F.when(rn % 2 == 0, "None").otherwise("https://given/i.jpg").alias("image_url"),
+    )
+    chosen = picks.groupBy("batch").agg(
+        F.max(rn == 3).alias("third"), *[F.min(c).alias(c) for c in ("original_link", "original_title", "image_url")]
     )
+    # a null source is in no list of batches
+    return batched, chosen.where("third AND batch IS NOT NULL").drop("third")
 
 
 @check(

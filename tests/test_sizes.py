@@ -104,3 +104,11 @@ def test_tagging_is_dealt_out(spark, small):
 
     rows, tags = tagged(small)
     assert rows.rdd.getNumPartitions() == 1 and tags.rdd.getNumPartitions() == small.cores
+
+
+def test_selections_shuffle_first_stories_only(small):
+    """The ranks that choices are made of are limited within the tasks that read the stories."""
+    from checks.news import selections
+
+    plan = selections(small)[1]._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan
