@@ -178,8 +178,8 @@ def _against_blocks(active, blocks, n):
 def top_items(user_factors, item_factors, n, head=HEAD, block=BLOCK):
     """(recommendations, report): the exact ``n`` best items of every user, and what it took.
 
-    Of items with equal factors only the ``n`` of the least ids are compared, since every user
-    scores them alike. Items go by falling norm. Each user is compared with the ``head`` longest; a block of others
+    Where most items repeat the factors of others, only the ``n`` of the least ids are compared
+    of each, since every user scores them alike. Items go by falling norm. Each user is compared with the ``head`` longest; a block of others
     can only hold a better item if the product of its longest norm and the user's reaches the
     n-th score found so far (Cauchy-Schwarz), so a user meets no block beyond the first that
     fails this. Only those (user, block) pairs are shuffled. What every task holds
@@ -190,9 +190,11 @@ def top_items(user_factors, item_factors, n, head=HEAD, block=BLOCK):
     tables in the shared folder. Users or items without factors are left out.
     """
     ready = [F.col("id").cast("bigint").alias("id"), F.col("features").cast("array<double>").alias("features")]
+    known = item_factors.where("features IS NOT NULL").select(*ready)
     # equal factors score alike for every user, and ties go by id
-    items = top_in_group(item_factors.where("features IS NOT NULL").select(*ready), ["features"], ["id"], n)
-    items = materialize(items.withColumn("norm", norm(F.col("features"))), "items")
+    items = materialize(top_in_group(known, ["features"], ["id"], n).withColumn("norm", norm(F.col("features"))), "items")
+    if items.count() * 2 > known.count():
+        items = materialize(known.withColumn("norm", norm(F.col("features"))), "items")
     first = items.orderBy(F.desc("norm"), "id").limit(head).collect()
     edge = first[-1] if len(first) == head else None
     rest = items.where(F.lit(False)) if edge is None else items.where(
