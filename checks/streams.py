@@ -6,7 +6,7 @@ from vitrine import schemas
 from vitrine.operators.ratings import train_als
 from vitrine.operators.tagging import KeywordTagger
 from vitrine.operators.upsert import read_current
-from vitrine.session import ROCKSDB, run_dir
+from vitrine.session import ROCKSDB, materialize, run_dir
 from vitrine.sources.files import scan_interactions, stream_ratings
 from vitrine.sources.models import latest_model, save_model
 from vitrine.streaming import comments, enrichment, ratings, signups, tasks
@@ -143,11 +143,13 @@ def comment_stream(t):
     hooks = t.comments.select("platform", flat.alias("payload"), "received_at")
     source = landed(hooks.unionByName(hooks), "webhooks")
     store, checkpoint = folders(t, "store", "checkpoint")
+    # each batch reads the videos several times, so they are a stored table
+    videos = materialize(t.videos, "videos")
     stream = (
         t.spark.readStream.schema(schemas.WEBHOOK).option("maxFilesPerTrigger", 2).json(source)
     )
     query = comments.run_comment_stream(
-        stream, t.videos, store, checkpoint, HANDLE, BASE, once=True
+        stream, videos, store, checkpoint, HANDLE, BASE, once=True
     )
     query.awaitTermination()
     rows = comments.stored_comments(t.spark, store).drop("replied_at")

@@ -112,3 +112,27 @@ def test_selections_shuffle_first_stories_only(small):
 
     plan = selections(small)[1]._jdf.queryExecution().sparkPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def captured(monkeypatch, module, name, place):
+    """Frames that a step is called with; the first call ends the query."""
+    frames = []
+
+    def stop(*args, **options):
+        frames.append(args[place])
+        raise StopIteration
+
+    monkeypatch.setattr(module, name, stop)
+    return frames
+
+
+def test_batches_of_comments_read_stored_videos(spark, small, monkeypatch):
+    """The orders and parts that videos are made of are joined once, not several times in each batch."""
+    import pytest
+    from checks import streams
+
+    frames = captured(monkeypatch, streams.comments, "run_comment_stream", 1)
+    with pytest.raises(StopIteration):
+        CHECKS["comment_stream"][0](spark, small.folder)
+    assert "Join" not in frames[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert frames[0].count() == small.videos.count()
