@@ -8,7 +8,7 @@ from vitrine.operators import comments as M
 from vitrine.operators.links import KeptLinks, update_links
 from vitrine.operators.membership import build_filter, might_contain
 from vitrine.plans.replies import answer_comments
-from vitrine.session import run_dir
+from vitrine.session import materialize, run_dir
 
 from .base import check, sql_draw, sql_list, sql_stamp, stamp
 
@@ -304,12 +304,18 @@ def answers(t):
     return rows.drop("replied_at").withColumn("received_at", stamp("received_at"))
 
 
+#: Columns of a video that links are found by.
+LINKED = ["id", "affiliate_link", "item_name", "instagram_post_id", "created_at"]
+
+
 @check("answer_comments_indexed", ANSWERS, "comments", "videos")
 def answers_indexed(t):
     """The same answers from an index of the videos that was kept as they came, in two parts."""
     index = run_dir(t.spark, "links")
     second = F.col("published").isNull() | F.col("published")
-    for part in (t.videos.where(~second), t.videos.where(second)):
+    # an index reads its videos several times, so they are a stored table
+    videos = materialize(t.videos.select("published", *LINKED), "videos")
+    for part in (videos.where(~second), videos.where(second)):
         update_links(t.spark, index, part, M.MIN_WORD)
     n = F.split("comment_id", "-")[0].cast("bigint")
     history = t.comments.where(n % 4 == 0)

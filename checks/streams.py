@@ -13,7 +13,7 @@ from vitrine.streaming import comments, enrichment, ratings, signups, tasks
 
 from .base import check, stamp
 from .catalog import TAGGED
-from .comments import ANSWERS, BASE, HANDLE, N
+from .comments import ANSWERS, BASE, HANDLE, LINKED, N
 from .interactions import DECODED, log_text, shown
 from .ratings import RATED, SOLVED, bought, part_factors, rated, rounded_factors
 
@@ -144,7 +144,7 @@ def comment_stream(t):
     source = landed(hooks.unionByName(hooks), "webhooks")
     store, checkpoint = folders(t, "store", "checkpoint")
     # each batch reads the videos several times, so they are a stored table
-    videos = materialize(t.videos, "videos")
+    videos = materialize(t.videos.select(*LINKED), "videos")
     stream = (
         t.spark.readStream.schema(schemas.WEBHOOK).option("maxFilesPerTrigger", 2).json(source)
     )

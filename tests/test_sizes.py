@@ -136,3 +136,14 @@ def test_batches_of_comments_read_stored_videos(spark, small, monkeypatch):
         CHECKS["comment_stream"][0](spark, small.folder)
     assert "Join" not in frames[0]._jdf.queryExecution().optimizedPlan().toString()
     assert frames[0].count() == small.videos.count()
+
+
+def test_index_of_links_is_made_of_stored_videos(spark, small, monkeypatch):
+    """The same for the index: its entries are taken from one stored table."""
+    import pytest
+    from checks import comments
+
+    frames = captured(monkeypatch, comments, "update_links", 2)
+    with pytest.raises(StopIteration):
+        CHECKS["answer_comments_indexed"][0](spark, small.folder)
+    assert "Join" not in frames[0]._jdf.queryExecution().optimizedPlan().toString()
