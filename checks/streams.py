@@ -100,10 +100,13 @@ def rating_stream(t):
     )
 
 
-def model_of_parts(t):
-    """A stored model of rank 2 whose products are the parts, with their fixed factors."""
+def model_of_parts(t, ratings):
+    """A stored model of rank 2 whose products are the parts, with their fixed factors.
+
+    ``ratings`` are read several times by the training, so they should be stored ones.
+    """
     path = run_dir(t.spark, "model")
-    some = bought(t).limit(50)
+    some = ratings.limit(50)
     save_model(t.spark, train_als(some, {"maxIter": 1, "rank": 2}), path, 1.0)
     folder = latest_model(t.spark, path)["folder"]
     floats = part_factors(t).withColumn("features", F.col("features").cast("array<float>"))
@@ -114,9 +117,9 @@ def model_of_parts(t):
 @check("fold_in_stream", SOLVED)
 def fold_in_stream(t):
     """Ratings in several batches, one of them twice, leave the factors that all give at once."""
-    model = model_of_parts(t)
     store, sums, kept, recs, checkpoint = folders(t, "store", "sums", "factors", "recs", "checkpoint")
     source = landed(bought(t).repartition(4, "product"), "ratings")
+    model = model_of_parts(t, t.spark.read.schema(schemas.RATING).json(source))
     options = {"params": {"regParam": 0.1}, "n": 3}
     query = ratings.run_fold_in_stream(
         stream_ratings(t.spark, source, files_per_trigger=2), model, store, sums, kept, recs, checkpoint, once=True,

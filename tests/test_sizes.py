@@ -147,3 +147,14 @@ def test_index_of_links_is_made_of_stored_videos(spark, small, monkeypatch):
     with pytest.raises(StopIteration):
         CHECKS["answer_comments_indexed"][0](spark, small.folder)
     assert "Join" not in frames[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_model_of_the_fold_in_stream_reads_stored_ratings(spark, small, monkeypatch):
+    """Training reads its ratings several times, so they are not the join of orders and lineitem."""
+    import pytest
+    from checks import streams
+
+    frames = captured(monkeypatch, streams, "train_als", 0)
+    with pytest.raises(StopIteration):
+        CHECKS["fold_in_stream"][0](spark, small.folder)
+    assert "Join" not in frames[0]._jdf.queryExecution().optimizedPlan().toString()
