@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given as cases
 from hypothesis import settings
 from hypothesis import strategies as st
+from pyspark.sql import functions
 
 from vitrine.llm import components, forest, hashing, lines, substrings
 
@@ -310,6 +311,28 @@ def test_only_lines_of_other_components_are_paired(spark):
     assert joins and max(joins) <= len(want) + 1
 
 
+def test_pairs_across_are_made_once(spark):
+    """A component is looked up from the smaller side, and two lines meet in one of the bands they share."""
+    members = [(band, i, 0 if i < 300 else i) for band in range(3) for i in range(310)]
+    held = spark.createDataFrame(members, "band BIGINT, id BIGINT, root BIGINT")
+    texts = held.select("id").distinct().withColumn("line", functions.lit("one and the same line"))
+    mixed = lines._of_mixed(held, lines.line_sketches(texts))
+    found = lines._across(mixed, 0.8)
+    want = {(a, b) for a in range(310) for b in range(max(300, a + 1), 310)}
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted(want)
+    joins, plan = [], [found._jdf.queryExecution().executedPlan()]
+    while plan:
+        node = plan.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if "Join" in node.nodeName():
+            joins.append(node.metrics().apply("numOutputRows").value())
+        plan += [node.children().apply(i) for i in range(node.children().size())]
+    assert joins and max(joins) <= len(want)
+
+
 def test_lines_take_null_ids_and_empty_tables(spark):
     assert len(lines.dedup_lines(frame(spark, odd())).collect()) == len(odd())
     assert lines.dedup_lines(frame(spark, [])).count() == 0

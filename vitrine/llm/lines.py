@@ -16,6 +16,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..session import delete_folder, run_dir
 from .common import packed, stage, text_key
 from .components import connected_components
 from .hashing import BASE, INVERSE, grouped, mix, powers
@@ -103,26 +104,35 @@ def _decoded(column):
     return [x.decode("utf-8", "replace") for x in column.to_pylist()]
 
 
-def band_keys(lines, shingle=SHINGLE, hashes=HASHES, rows=ROWS):
-    """(id, b0, b1, ...) of every distinct line: its band keys."""
-    names = [f"b{i}" for i in range(hashes // rows)]
+def signed_occurrences(seen, shingle=SHINGLE, hashes=HASHES, rows=ROWS):
+    """(doc_id, text_key, pos, id, line, bands) of every occurrence; ``line`` is null and
+    ``bands``, the band keys of the line, is empty where the same batch has them already."""
 
     def sign(batches):
         import pyarrow as pa
 
         for batch in batches:
-            # equal lines of a batch are signed once
-            texts = dict(zip(batch.column("id").to_pylist(), _decoded(batch.column("line"))))
-            for group in grouped(texts.items(), lambda x: CHAR_BYTES * len(x[1])):
-                keys = signed_bands([x for _, x in group], shingle, hashes, rows)
-                ids = pa.array([i for i, _ in group], pa.int64())
-                columns = [pa.array(np.ascontiguousarray(keys[:, b])) for b in range(len(names))]
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", *names])
-
-    each = lines.where("line IS NOT NULL")
-    each = each.select(line_id(F.col("line")).alias("id"), F.col("line").cast("binary").alias("line"))
-    signed = each.mapInArrow(sign, ", ".join(f"{c} BIGINT" for c in ["id", *names]))
-    return signed.groupBy("id").agg(*[F.first(c).alias(c) for c in names])
+            ids = batch.column("id").to_numpy()
+            firsts = np.sort(np.unique(ids, return_index=True)[1])
+            texts = _decoded(batch.column("line").take(pa.array(firsts)))
+            groups = grouped(texts, lambda x: CHAR_BYTES * len(x))
+            keys = [signed_bands(g, shingle, hashes, rows).ravel() for g in groups]
+            new = np.zeros(len(ids), bool)
+            new[firsts] = True
+            ends = np.concatenate([[0], np.cumsum(new * (hashes // rows))]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*keys, ids[:0]])))
+            line = batch.column("line").take(pa.array(np.arange(len(ids)), mask=~new))
+            places = [batch.column(c) for c in ("doc_id", "text_key", "pos", "id")]
+            yield pa.RecordBatch.from_arrays([*places, line, bands], names=names)
+
+    each = seen.where("line IS NOT NULL").select(
+        "doc_id", "text_key", "pos", line_id(F.col("line")).alias("id"), F.col("line").cast("binary").alias("line")
+    )
+    # both added columns may lack a value
+    added = [F.lit(None).cast(kind).alias(c) for c, kind in (("line", "binary"), ("bands", "array<bigint>"))]
+    schema = each.drop("line").select("*", *added).schema
+    names = schema.names
+    return each.mapInArrow(sign, schema)
 
 
 def distinct_windows(lines, shingle=SHINGLE):
@@ -243,89 +253,119 @@ def _verified(pairs, lines, threshold, shingle):
     return both.select("a", "b", "left", "right").mapInArrow(verify, "a BIGINT, b BIGINT")
 
 
-def _rooted(rows, edges, node="id", root="root"):
-    """The rows with the component that their ``node`` is in so far."""
-    if edges is None:
-        return rows.withColumn(root, F.col(node))
-    known = connected_components(edges).select(F.col("node").alias(node), F.col("root").alias("_root"))
-    joined = rows.join(known, node, "left")
-    return joined.withColumn(root, F.coalesce("_root", node)).drop("_root")
+def _near(pairs, sketches, threshold):
+    """The pairs (a, b) whose sizes and sketches let them reach the threshold."""
+    of = lambda node, name: sketches.select(F.col("id").alias(node), F.col("sketch").alias(name))
+    both = pairs.join(of("a", "_x"), "a").join(of("b", "_y"), "b")
+    return both.where(_may_be_alike("_x", "_y", threshold)).select("a", "b")
+
+
+def _rooted(rows, known):
+    """The rows with the component that their ``id`` is in so far."""
+    if known is None:
+        return rows.withColumn("root", F.col("id"))
+    roots = known.select(F.col("a").alias("id"), F.col("b").alias("_root"))
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("_root", "id")).drop("_root")
+
+
+def _stars(edges):
+    """(a, b): every linked line with the least one of its component, itself with itself."""
+    return stage(connected_components(edges).select(F.col("node").alias("a"), F.col("root").alias("b")), "line-components")
+
+
+def _of_mixed(members, sketches):
+    """The members of bands with lines of several components, with their sketches and
+    all such bands of their line."""
+    mixed = members.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = mixed.where("least <> most").select("band")
+    some = stage(members.join(mixed, "band", "left_semi"), "line-mixed")
+    own = some.groupBy("id").agg(F.collect_list("band").alias("bands")).join(sketches, "id")
+    return stage(some.join(own, "id"), "line-mixed")
 
 
 def _across(members, threshold=None):
     """The pairs (a, b) of lines of a band that lie in different components.
 
-    The components of a band are paired first, so that lines of one component never are.
-    With a threshold only pairs stay whose sketches let them reach it, with their components
-    ``low`` and ``high`` and the number of min-hashes in common, ``agree``.
+    The components of a band are paired first, so that lines of one component never are, and
+    the lines of the smaller one are looked up first. With a threshold only pairs stay whose
+    sketches let them reach it, each in the least band that its lines share, with their
+    components ``low`` and ``high`` and the number of min-hashes in common, ``agree``.
     """
-    roots = members.select("band", "root").distinct()
-    mixed = roots.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    roots = stage(roots.join(mixed, "band", "left_semi"), "line-roots")
-    both = roots.select("band", F.col("root").alias("low")).join(
-        roots.select("band", F.col("root").alias("high")), "band"
-    )
-    both = both.where("low < high")
-    held = [c for c in members.columns if c == "sketch"]
+    roots = stage(members.groupBy("band", "root").agg(F.count("*").alias("n")), "line-roots")
+    of = lambda root: roots.select("band", F.col("root").alias(root), F.col("n").alias(f"_{root}"))
+    both = of("few").join(of("many"), "band").where(F.struct("_few", "few") < F.struct("_many", "many"))
+    both = both.select("band", "few", "many")
+    held = [c for c in members.columns if c in ("sketch", "bands")]
     of = lambda root, node: members.select(
-        "band", F.col("root").alias(root), F.col("id").alias(node), *[F.col(c).alias(f"_{node}") for c in held]
+        "band", F.col("root").alias(root), F.col("id").alias(node), *[F.col(c).alias(f"_{node}_{c}") for c in held]
     )
-    pairs = both.join(of("low", "x"), ["band", "low"]).join(of("high", "y"), ["band", "high"])
+    pairs = both.join(of("few", "x"), ["band", "few"]).join(of("many", "y"), ["band", "many"])
     names = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    if threshold is not None:
-        pairs = pairs.where(_may_be_alike("_x", "_y", threshold))
-        names += ["low", "high", agreement("_x", "_y").alias("agree")]
-    return pairs.select(*names).distinct()
+    if threshold is None:
+        return pairs.select(*names).distinct()
+    shared = F.array_min(F.array_intersect("_x_bands", "_y_bands"))
+    pairs = pairs.where(_may_be_alike("_x_sketch", "_y_sketch", threshold) & (shared == F.col("band")))
+    ends = [F.least("few", "many").alias("low"), F.greatest("few", "many").alias("high")]
+    return pairs.select(*names, *ends, agreement("_x_sketch", "_y_sketch").alias("agree"))
 
 
-def _links_across(members, edges, texts, threshold, shingle):
+def _links_across(members, known, texts, threshold, shingle):
     """The links found so far and those between their components, as far as they join any."""
     pairs = stage(_across(members, threshold), "line-across")
     likeliest = F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b"))
     first = pairs.groupBy("low", "high").agg(likeliest.alias("p")).select("p.*").distinct()
-    edges = edges.union(stage(_verified(first, texts, threshold, shingle), "line-found"))
-    known = stage(connected_components(edges), "line-components")
-    of = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+    known = _stars(known.union(stage(_verified(first, texts, threshold, shingle), "line-found")))
+    of = lambda name: known.select(F.col("a").alias(name), F.col("b").alias(f"_{name}"))
     # what two components hang on is the same for all pairs between them
     apart = pairs.join(of("low"), "low", "left").join(of("high"), "high", "left")
     apart = apart.where(F.coalesce("_low", "low") != F.coalesce("_high", "high"))
-    rest = apart.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    return edges.union(_verified(rest, texts, threshold, shingle))
+    rest = apart.select("a", "b").join(first, ["a", "b"], "left_anti")
+    return known.union(_verified(rest, texts, threshold, shingle))
 
 
-def fuzzy_classes(lines, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, rows=ROWS,
+def fuzzy_classes(seen, threshold=THRESHOLD, shingle=SHINGLE, hashes=HASHES, rows=ROWS,
                   rounds=ROUNDS):
-    """(node, root): which distinct lines hang together, for those that hang with another.
+    """(classes, places): (node, root) of the distinct lines that hang together with another,
+    and (doc_id, text_key, pos, id) of every occurrence.
 
-    ``lines`` has a column ``line``; ``root`` is the least id of a component.
+    ``seen`` are ``occurrences``; ``root`` is the least id of a component.
     """
-    signed = stage(band_keys(lines, shingle, hashes, rows), "line-bands")
-    keyed = signed.select("id", F.explode(F.array(*signed.columns[1:])).alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    bucketed = stage(keyed.join(shared.select("band"), "band"), "line-buckets")
+    spark = seen.sparkSession
+    path = run_dir(spark, "line-bands")
+    signed = signed_occurrences(seen, shingle, hashes, rows)
+    signed.write.option("compression", "zstd").parquet(path)
+    signed = spark.read.schema(signed.schema).parquet(path)
+    # dealt out by band once, for the counts and for what is looked up in them
+    keyed = signed.select("id", F.explode("bands").alias("band")).repartition("band")
+    shared = keyed.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shared = shared.where("least <> most").select("band")
+    bucketed = stage(keyed.join(shared.hint("shuffle_hash"), "band").distinct(), "line-buckets")
     wanted = stage(bucketed.select("id").distinct(), "line-ids")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = lines.withColumn("id", line_id(F.col("line"))).join(wanted, "id", "left_semi")
+    texts = signed.where("line IS NOT NULL").select("id", "line").join(wanted, "id", "left_semi")
     # equal lines are one
     texts = stage(texts.groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    places = stage(signed.drop("line", "bands"), "line-occurrences")
+    # all that is still read of the largest table is written
+    delete_folder(spark, path)
     sketches = stage(line_sketches(texts, shingle, SKETCH, hashes), "line-sketches")
-    bucketed = stage(bucketed.join(sketches, "id"), "line-members")
-    edges, turn, more = None, 0, True
+    known, turn, more = None, 0, True
+    members = _rooted(bucketed, None)
     while more:
-        members = stage(_rooted(bucketed, edges), "line-members") if turn else _rooted(bucketed, None)
-        drawn = F.min(F.struct(F.xxhash64("band", "id", F.lit(turn)).alias("h"), "id", "root", "sketch"))
+        drawn = F.min(F.struct(F.xxhash64("band", "id", F.lit(turn)).alias("h"), "id", "root"))
         heads = members.groupBy("band").agg(drawn.alias("head"))
         pairs = members.join(heads, "band").where("root <> head.root")
-        pairs = pairs.where(_may_be_alike("sketch", "head.sketch", threshold))
         pairs = pairs.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
-        found = stage(_verified(pairs.distinct(), texts, threshold, shingle), "line-found")
-        edges = found if edges is None else edges.union(found)
+        near = _near(pairs.distinct(), sketches, threshold)
+        found = stage(_verified(near, texts, threshold, shingle), "line-found")
+        # what is known already goes on as stars, which take few rounds to join
+        known = _stars(found if known is None else known.union(found))
+        members = stage(_rooted(bucketed, known), "line-members")
         turn += 1
         more = turn < rounds or found.count() > MORE_ROUNDS * bucketed.count()
-    members = stage(_rooted(bucketed, edges), "line-members")
-    links = _links_across(members, edges, texts, threshold, shingle)
-    return connected_components(stage(links, "line-links"))
+    links = _links_across(_of_mixed(members, sketches), known, texts, threshold, shingle)
+    return connected_components(stage(links, "line-links")), places
 
 
 def removed_lines(docs, key="doc_id", text="text", **options):
@@ -334,8 +374,7 @@ def removed_lines(docs, key="doc_id", text="text", **options):
     Of each class of like lines the first occurrence, by id and then position, stays.
     """
     seen = occurrences(docs, key, text)
-    classes = fuzzy_classes(seen.select("line"), **options)
-    places = seen.select("doc_id", "text_key", "pos", line_id(F.col("line")).alias("id"))
+    classes, places = fuzzy_classes(seen, **options)
     places = places.join(classes.withColumnRenamed("node", "id"), "id", "left")
     places = stage(
         places.select("doc_id", "text_key", "pos", F.coalesce("root", "id").alias("root")), "line-places"
